@@ -53,19 +53,21 @@ def locate_usage(payloads: DataFrame, payload: str = "payload", max_depth: int =
     else:
         root = payload
     folded = "regexp_replace(lower(e.key), '[^a-z0-9]', '')"
-    decoded = (
-        f"if({V.sql_text('e.value')} rlike '^\\\\\\\\s*[\\\\\\\\[{{]' and schema_of_variant(e.value) = 'STRING', "
-        f"try_parse_json({V.sql_text('e.value')}), e.value)"
-    )
+    def decoded(v: str) -> str:
+        return (
+            f"if(schema_of_variant({v}) = 'STRING' and {V.sql_text(v)} rlike '^\\s*[\\[{{]', "
+            f"try_parse_json({V.sql_text(v)}), {v})"
+        )
+
     place = "lpad(cast(p as string), 6, '0')"
     of_object = (
         f"transform(map_entries({V.sql_map('n.v')}), (e, p) -> named_struct("
         f"'k', concat(n.k, if({folded} in {_sql_set(_CONTAINERS)}, '0', '2'), {place}, '/'), "
-        f"'v', {decoded}, 'open', true))"
+        f"'v', {decoded('e.value')}, 'open', true))"
     )
     of_list = (
         f"transform({V.sql_list('n.v')}, (q, p) -> named_struct("
-        f"'k', concat(n.k, '2', {place}, '/'), 'v', q, 'open', true))"
+        f"'k', concat(n.k, '2', {place}, '/'), 'v', {decoded('q')}, 'open', true))"
     )
     itself = "array(named_struct('k', concat(n.k, '1'), 'v', n.v, 'open', false))"
     grown = (
