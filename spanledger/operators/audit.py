@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanledger.functions import rules
 from spanledger.functions.hashing import base64url, digest_of, hmac_sha256, json_string, padded_keys, sha
 from spanledger.operators.cost import lookup_or_broadcast
+from spanledger.operators.skew import lookup_join
 
 #: Domain prefix of receipt signatures.
 RECEIPT_CONTEXT = "spanledger/audit-receipt/v1"
@@ -161,7 +162,7 @@ def build_receipts(fresh: DataFrame, existing: DataFrame, signing_key_id: str, k
         F.max("sequence").alias("head_sequence"), F.max_by("receipt_hash", "sequence").alias("head_hash")
     )
     ready = (
-        fresh.join(heads, "job_id", "left")
+        lookup_join(fresh, heads, ["job_id"])
         .withColumn("head_sequence", F.coalesce("head_sequence", F.lit(0)).cast("bigint"))
         .withColumn("prefix", material_prefix())
     )
