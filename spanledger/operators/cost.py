@@ -54,10 +54,8 @@ def locate_usage(payloads: DataFrame, payload: str = "payload", max_depth: int =
         root = payload
     folded = "regexp_replace(lower(e.key), '[^a-z0-9]', '')"
     def decoded(v: str) -> str:
-        return (
-            f"if(schema_of_variant({v}) = 'STRING' and {V.sql_text(v)} rlike '^\\s*[\\[{{]', "
-            f"try_parse_json({V.sql_text(v)}), {v})"
-        )
+        head = f"left(trim(leading ' \\n\\t\\r' from {V.sql_text(v)}), 1)"
+        return f"if(schema_of_variant({v}) = 'STRING' and {head} in ('[', '{{'), try_parse_json({V.sql_text(v)}), {v})"
 
     place = "lpad(cast(p as string), 6, '0')"
     of_object = (

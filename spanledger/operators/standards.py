@@ -14,7 +14,7 @@ from spanledger.functions.text import (
     looks_like_article,
 )
 from spanledger.operators.skew import lookup_join
-from spanledger.session import BROADCAST_ROWS
+from spanledger.session import BROADCAST_ROWS, materialize
 
 Tables = dict[str, DataFrame]
 
@@ -180,8 +180,12 @@ def _phrase_matches(features: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def match_standards(tokens: DataFrame, tables: Tables, minimum_score: float = 0.0) -> DataFrame:
-    """Score of every standard that shares something with a subject (STD-04)."""
+    """Score of every standard that shares something with a subject (STD-04).
+
+    The tokens are read by several branches, so they are written once.
+    """
     c = F.col
+    tokens = materialize(tokens)
     features, articles, annex = subject_inputs(tokens)
     phrases = tables["characteristics"].union(tables["evidence_characteristics"])
     matched = _phrase_matches(features, phrases)

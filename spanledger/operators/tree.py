@@ -14,28 +14,43 @@ from spanledger.operators.skew import lookup_join
 from spanledger.session import materialize
 
 
-def _nodes(spans: DataFrame) -> DataFrame:
-    """One row per (trace, span); an empty parent is no parent."""
-    return (
-        spans.groupBy("trace_id", "span_id")
-        .agg(F.min(F.nullif("parent_span_id", F.lit(""))).alias("parent_span_id"))
-        .filter(F.col("span_id").isNotNull())
-    )
+class _Nodes:
+    """The (trace, span, parent) triples of a span table, written once and counted."""
+
+    def __init__(self, triples: DataFrame) -> None:
+        self.rows = materialize(triples)
+        self.count = self.rows.count()
+
+    @classmethod
+    def of(cls, spans: DataFrame) -> _Nodes:
+        """One row per (trace, span); an empty parent is no parent."""
+        return cls(
+            spans.groupBy("trace_id", "span_id")
+            .agg(F.min(F.nullif("parent_span_id", F.lit(""))).alias("parent_span_id"))
+            .filter(F.col("span_id").isNotNull())
+        )
 
+    def parents(self) -> DataFrame:
+        """Distinct spans of the trace that are a parent, with their own parent."""
+        named = (
+            self.rows.filter(F.col("parent_span_id").isNotNull())
+            .select("trace_id", F.col("parent_span_id").alias("span_id"))
+            .distinct()
+        )
+        return self.rows.join(named, ["trace_id", "span_id"], "left_semi")
 
-def _inner(nodes: DataFrame) -> DataFrame:
+    def lookup(self, left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        return lookup_join(left, right, on, left_rows=self.count)
+
+
+def _inner(nodes: _Nodes) -> DataFrame:
     """``(trace_id, span_id, anc, dist)`` of spans that are a parent.
 
     ``anc`` is the parent when it exists in the trace, else null.
     """
-    parents = (
-        nodes.filter(F.col("parent_span_id").isNotNull())
-        .select("trace_id", F.col("parent_span_id").alias("span_id"))
-        .distinct()
-    )
-    inner = nodes.join(parents, ["trace_id", "span_id"], "left_semi")
+    inner = nodes.parents()
     known = inner.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known"))
-    linked = lookup_join(inner, known, ["trace_id", "parent_span_id"])
+    linked = nodes.lookup(inner, known, ["trace_id", "parent_span_id"])
     return linked.select(
         "trace_id",
         "span_id",
@@ -48,14 +63,15 @@ def _double(inner: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(resolved, looping)``: distances to the top, and rows that never end.
 
     A round that closes no row shows that no open row reaches a top. Once
-    2**k jumps exceed the number of such rows, every pointer has left the tail
-    of its path and stands on a cycle.
+    2**k jumps exceed the largest number of such rows in a trace, every pointer
+    has left the tail of its path and stands on a cycle.
     """
     state = materialize(inner)
     jumps, previous = 1, None
     while True:
-        open_rows = state.filter(F.col("anc").isNotNull()).count()
-        if open_rows == 0 or (open_rows == previous and jumps > open_rows):
+        per_trace = state.filter(F.col("anc").isNotNull()).groupBy("trace_id").agg(F.count("*").alias("n"))
+        open_rows, longest = per_trace.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if open_rows == 0 or (open_rows == previous and jumps > longest):
             break
         previous = open_rows
         step = state.select(
@@ -81,22 +97,23 @@ def _double(inner: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def span_depths(spans: DataFrame) -> DataFrame:
-    """0-based depth per span; null below a cycle. A missing parent counts as none."""
-    nodes = _nodes(spans)
-    resolved, _ = _double(_inner(nodes))
-    tops = resolved.select(
-        "trace_id", F.col("span_id").alias("parent_span_id"), F.col("dist").alias("parent_depth")
+    """0-based depth per span; null on or below a cycle. A missing parent counts as none."""
+    return _depths(_Nodes.of(spans))
+
+
+def _depths(nodes: _Nodes) -> DataFrame:
+    resolved, looping = _double(_inner(nodes))
+    # Every inner span is in one of the two; a looping one has no depth.
+    parents = resolved.select("trace_id", "span_id", "dist").unionByName(
+        looping.select("trace_id", "span_id", F.lit(None).cast("long").alias("dist"))
+    )
+    tops = parents.select(
+        "trace_id",
+        F.col("span_id").alias("parent_span_id"),
+        F.lit(True).alias("exists"),
+        F.col("dist").alias("parent_depth"),
     )
-    # A parent that is a span of the trace is an inner span: resolved, or on or below a cycle.
-    ids = nodes.join(
-        nodes.filter(F.col("parent_span_id").isNotNull())
-        .select("trace_id", F.col("parent_span_id").alias("span_id"))
-        .distinct(),
-        ["trace_id", "span_id"],
-        "left_semi",
-    ).select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("exists"))
-    parents = ids.join(tops, ["trace_id", "parent_span_id"], "left")
-    joined = lookup_join(nodes, parents, ["trace_id", "parent_span_id"])
+    joined = nodes.lookup(nodes.rows, tops, ["trace_id", "parent_span_id"])
     return joined.select(
         "trace_id",
         "span_id",
@@ -106,7 +123,11 @@ def span_depths(spans: DataFrame) -> DataFrame:
 
 def cycle_spans(spans: DataFrame) -> DataFrame:
     """Spans that lie on a parent cycle."""
-    _, looping = _double(_inner(_nodes(spans)))
+    return _cycles(_Nodes.of(spans))
+
+
+def _cycles(nodes: _Nodes) -> DataFrame:
+    _, looping = _double(_inner(nodes))
     return looping.select("trace_id", F.col("anc").alias("span_id")).distinct()
 
 
@@ -119,12 +140,12 @@ def max_depths(spans: DataFrame) -> DataFrame:
 
 def call_tree_depth(spans: DataFrame) -> DataFrame:
     """Tolerant 1-based depth: missing parents are roots, cycle members count once."""
-    loops = cycle_spans(spans).withColumn("looped", F.lit(True))
-    nodes = _nodes(spans).join(loops, ["trace_id", "span_id"], "left")
-    opened = nodes.withColumn(
-        "parent_span_id", F.when(F.col("looped").isNull(), F.col("parent_span_id"))
-    ).drop("looped")
-    return span_depths(opened).groupBy("trace_id").agg((F.max("depth") + 1).alias("depth"))
+    nodes = _Nodes.of(spans)
+    loops = _cycles(nodes).withColumn("looped", F.lit(True))
+    opened = nodes.rows.join(loops, ["trace_id", "span_id"], "left").select(
+        "trace_id", "span_id", F.when(F.col("looped").isNull(), F.col("parent_span_id")).alias("parent_span_id")
+    )
+    return _depths(_Nodes(opened)).groupBy("trace_id").agg((F.max("depth") + 1).alias("depth"))
 
 
 def reference_counts(spans: DataFrame) -> DataFrame:

@@ -584,7 +584,7 @@ def _event_records(spark, folder) -> DataFrame:
     """Events as span records in several spellings, by event type."""
     c = F.col
     millis = F.unix_micros("ts").cast("string")
-    base = table(spark, folder, "events").withColumn("row", c("event_id"))
+    base = table(spark, folder, "events").withColumn("row", c("event_id")).withColumn("ts", c("ts").cast("timestamp"))
     trace, span = F.concat(F.lit('"u'), "user_id", F.lit('"')), F.lower(F.hex("event_id"))
     bare = F.concat(
         F.lit('{"traceId":'), trace, F.lit(',"spanId":"'), span, F.lit('","name":"'), "event_type",

@@ -86,9 +86,10 @@ def catalog_issues(catalog: DataFrame) -> DataFrame:
     c = F.col
 
     def repeated(column: str, issue: str) -> DataFrame:
+        keyed = catalog.select(c(column).alias("key"), c("standard_id").alias("named"))
         return (
-            catalog.groupBy(column)
-            .agg(F.count("*").alias("n"), F.min("standard_id").alias("standard_id"))
+            keyed.groupBy("key")
+            .agg(F.count("*").alias("n"), F.min("named").alias("standard_id"))
             .filter("n > 1")
             .select("standard_id", F.lit(issue).alias("issue"))
         )
@@ -159,6 +160,11 @@ def _amount(text: Column) -> Column:
     return plain.try_cast("decimal(38,18)")
 
 
+def _rates_of(kind: str, per_million) -> Column:
+    """Distinct rates per million tokens that the tagged entries give for one kind."""
+    return F.array_distinct(F.transform(F.filter("tagged", lambda t: t["tag"][0] == kind), per_million))
+
+
 def read_rate_cards(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rate_cards, rejects)`` from one ``card`` VARIANT per row.
 
@@ -166,35 +172,37 @@ def read_rate_cards(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
     units that disagree, foreign currencies and bad numbers are rejected.
     """
     nested = V.sql_first("card", tuple(rules.PRICING_CONTAINERS) + ("priceCard", "rateCard"))
+    # One lookup per entry says which rate and unit its key stands for.
+    alias_of = {}
+    for (kind, factor), names in rules.RATE_ALIASES.items():
+        alias_of |= {key: f"{kind}|{factor}" for key in rules.squash(names)}
+    alias_of |= {key: "model|0" for key in rules.squash(rules.MODEL_ALIASES)}
+    alias_of |= {key: "currency|0" for key in rules.squash(rules.CURRENCY_ALIASES)}
+    literal = ", ".join(f"'{key}', '{tag}'" for key, tag in alias_of.items())
+    tagged = F.expr(
+        "transform(filter(entries, e -> not is_variant_null(e.value)), e -> named_struct("
+        f"'tag', split(try_element_at(map({literal}), e.key), '[|]'), 'txt', trim({V.sql_text('e.value')})))"
+    )
     opened = cards.withColumn(
         "entries",
         F.concat(
             F.coalesce(folded_entries(nested), F.array().cast("array<struct<key:string,value:variant>>")),
             folded_entries("card"),
         ),
-    )
+    ).withColumn("tagged", tagged)
     kinds = ("input", "output", "cached_input", "reasoning")
-    staged = opened.select(
-        "*",
-        _values_of("entries", rules.MODEL_ALIASES).alias("models"),
-        _values_of("entries", rules.CURRENCY_ALIASES).alias("currencies"),
-        *(
-            _values_of("entries", names).alias(f"{kind}_{factor}")
-            for (kind, factor), names in rules.RATE_ALIASES.items()
-        ),
-    )
 
-    def rate_values(kind: str) -> Column:
-        return F.concat(
-            *(_scaled(f"{kind}_{factor}", factor) for name, factor in rules.RATE_ALIASES if name == kind)
-        )
+    def texts(name: str) -> Column:
+        return F.transform(F.filter("tagged", lambda t: t["tag"][0] == name), lambda t: t["txt"])
 
-    def _scaled(column: str, factor: int) -> Column:
-        return F.transform(column, lambda t: (_amount(t) * F.lit(factor).cast("decimal(10,0)")).try_cast("decimal(30,12)"))
+    def per_million(t: Column) -> Column:
+        return (_amount(t["txt"]) * t["tag"][1].cast("decimal(10,0)")).try_cast("decimal(30,12)")
 
-    rated = staged.select(
-        "*",
-        *(F.array_distinct(rate_values(kind)).alias(f"{kind}_rates") for kind in kinds),
+    rated = opened.select(
+        "card",
+        texts("model").alias("models"),
+        texts("currency").alias("currencies"),
+        *(_rates_of(k, per_million).alias(f"{k}_rates") for k in kinds),
     )
     currency = F.upper(F.coalesce(F.get("currencies", F.lit(0)), F.lit("EUR")))
     limit = F.lit(rules.MAX_RATE).cast("decimal(30,12)")
