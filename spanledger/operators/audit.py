@@ -13,6 +13,7 @@ from spanledger.functions import rules
 from spanledger.functions.hashing import base64url, digest_of, hmac_sha256, json_string, padded_keys, sha
 from spanledger.operators.cost import lookup_or_broadcast
 from spanledger.operators.skew import lookup_join
+from spanledger.session import hold
 
 #: Domain prefix of receipt signatures.
 RECEIPT_CONTEXT = "spanledger/audit-receipt/v1"
@@ -53,7 +54,7 @@ def prepare_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when((c("actor_type") != "human") & human_event, F.lit("review without a human actor")),
         )
     )
-    checked = staged.withColumn("problems", problems)
+    checked = hold(staged.withColumn("problems", problems))
     good = checked.filter(F.size("problems") == 0).drop("problems", "payload").withColumn(
         "payload_sha256", sha(c("canonical_payload"))
     ).withColumnRenamed("canonical_payload", "payload")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanledger.functions import rules
 from spanledger.functions import variants as V
 from spanledger.operators.skew import lookup_join
-from spanledger.session import broadcast_if_small
+from spanledger.session import broadcast_if_small, hold
 from spanledger.sources.tables import _values_of, folded_entries
 
 MONEY = "decimal(38,12)"
@@ -86,7 +86,7 @@ def locate_usage(payloads: DataFrame, payload: str = "payload", max_depth: int =
     best = (
         f"array_sort({candidates}, (a, b) -> case when a.k < b.k then -1 when a.k > b.k then 1 else 0 end)"
     )
-    return payloads.withColumn("usage", F.expr(f"get({best}, 0).v"))
+    return hold(payloads.withColumn("usage", F.expr(f"get({best}, 0).v")))
 
 
 def _count(text: Column) -> Column:
@@ -167,6 +167,7 @@ def extract_token_usage(
             F.when(F.size("problems") == 0, usage_problems()).otherwise(F.array().cast("array<string>")),
         ),
     ).drop("reported_total")
+    checked = hold(checked)
     good = checked.filter(F.size("problems") == 0).drop("problems")
     bad = checked.filter(F.size("problems") > 0).select(
         *usage_rows.columns, F.array_join("problems", "; ").alias("reason")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import rules
 from spanledger.functions import variants as V
+from spanledger.session import hold
 
 #: AnyValue arrays and key/value lists are decoded to this nesting.
 NESTING = 4
@@ -364,7 +365,7 @@ def normalize_spans(records: DataFrame) -> DataFrame:
             _issue(F.exists("links", lambda e: e["span_id"].isNull()), "span link is invalid"),
         )
     )
-    return staged.select(
+    normalized = staged.select(
         F.col("t.id").alias("trace_id"),
         F.col("s.id").alias("span_id"),
         F.col("p.id").alias("parent_span_id"),
@@ -384,6 +385,7 @@ def normalize_spans(records: DataFrame) -> DataFrame:
         issues.alias("issues"),
         "raw",
     )
+    return hold(normalized)
 
 
 SPAN_COLUMNS = (
@@ -407,7 +409,10 @@ SPAN_COLUMNS = (
 
 
 def split_valid(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(spans, quarantine)`` of a permissive read; no record is lost."""
+    """``(spans, quarantine)`` of a permissive read; no record is lost.
+
+    Both outputs parse the records; write ``normalized`` first to use both.
+    """
     spans = normalized.filter(F.size("issues") == 0).select(*SPAN_COLUMNS)
     rejected = normalized.filter(F.size("issues") > 0).select(
         "source",

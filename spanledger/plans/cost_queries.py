@@ -227,7 +227,7 @@ def _payloads(spark, folder) -> DataFrame:
     f"""select event_id, {_K} as input_tokens, case event_type when 'click' then 7 when 'view' then 3 else 5 end::bigint as output_tokens,
     {_K} + case event_type when 'click' then 7 when 'view' then 3 else 5 end as total_tokens,
     case when event_type = 'purchase' then 1 else 0 end::bigint as cached_input_tokens, case when event_type = 'purchase' then 2 else 0 end::bigint as reasoning_tokens
-    from events where (event_type = 'click' and (value <= 40 or {_K} = 0)) or (event_type = 'view' and value <= 40)
+    from events where (event_type = 'click' and value <= 40) or (event_type = 'view' and value <= 40)
       or (event_type = 'purchase' and value <= 40 and {_K} >= 1)""",
 )
 def usage_from_payloads(spark, folder):
@@ -237,10 +237,10 @@ def usage_from_payloads(spark, folder):
 
 @query(
     "usage_rejects",
-    f"""select event_id, case event_type when 'click' then 'cached exceeds input' when 'view' then 'total differs from input + output'
+    f"""select event_id, case event_type when 'click' then case when {_K} > 0 then 'cached exceeds input' else 'no usage object found' end when 'view' then 'total differs from input + output'
       when 'signup' then 'only a total was reported' when 'purchase' then case when value > 40 then 'conflicting input counts' else 'cached exceeds input' end
       else 'no usage object found' end as reason
-    from events where event_type in ('signup', 'error') or (event_type = 'click' and value > 40 and {_K} > 0) or (event_type = 'view' and value > 40)
+    from events where event_type in ('signup', 'error') or (event_type = 'click' and value > 40) or (event_type = 'view' and value > 40)
       or (event_type = 'purchase' and (value > 40 or {_K} < 1))""",
 )
 def usage_rejects(spark, folder):

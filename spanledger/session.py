@@ -65,3 +65,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep later filters above the columns of ``df``.
+
+    A filter on a derived column is otherwise pushed into the scan with the
+    whole derivation copied into it, and everything is computed twice. Filters
+    on the output of a generator stay where they are.
+    """
+    held = df.select(F.explode(F.array(F.struct(*df.columns))).alias("held"))
+    return held.select(*(F.col(f"held.{name}").alias(name) for name in df.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import rules
 from spanledger.functions import variants as V
+from spanledger.session import hold
 from spanledger.functions.text import annex_number, article_number, designation, feature_token
 
 _CATALOG_SCHEMA = """
@@ -217,7 +218,7 @@ def read_rate_cards(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
             *(F.when(F.exists(f"{k}_rates", lambda r: r.isNull() | (r > limit)), F.lit(f"{k} rate is invalid")) for k in kinds),
         )
     )
-    checked = rated.withColumn("problems", problems)
+    checked = hold(rated.withColumn("problems", problems))
     good = checked.filter(F.size("problems") == 0).select(
         F.coalesce(F.get("models", F.lit(0)), F.lit("unspecified")).alias("model"),
         *(F.get(f"{k}_rates", F.lit(0)).cast("decimal(24,12)").alias(f"{k}_rate") for k in kinds),
@@ -283,7 +284,7 @@ def read_reviews(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
             ),
         )
     )
-    checked = staged.withColumn("problems", problems)
+    checked = hold(staged.withColumn("problems", problems))
     plain = [name for name in reviews.columns if name not in ("actor", "decision", "trace_sha256", "scope", "signed_at")]
     good = checked.filter(F.size("problems") == 0).select(
         *plain,
