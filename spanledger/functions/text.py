@@ -26,10 +26,15 @@ def casefold(c: Column) -> Column:
     return F.when(is_ascii(c), F.lower(c)).when(c.isNotNull(), folded)
 
 
+#: Blank runs other than one plain space; single spaces need no replacement.
+_BLANKS = r"[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
+
+
 def fold_text(c: Column) -> Column:
     """Case-folded text with every run of blanks turned into one space."""
-    folded = casefold(c)
-    return F.trim(F.regexp_replace(folded, r"(?U)[\s\x1c-\x1f]+", " "))
+    plain = F.regexp_replace(F.lower(c), _BLANKS, " ")
+    folded = F.regexp_replace(casefold(c), "(?U)" + _BLANKS, " ")
+    return F.trim(F.when(is_ascii(c), plain).when(c.isNotNull(), folded))
 
 
 def fold_key(c: Column) -> Column:

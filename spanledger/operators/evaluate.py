@@ -43,23 +43,37 @@ def _contains_any(c: Column, markers) -> Column:
 # --- rules on one text -------------------------------------------------------
 
 
+def _spaced(letters: str) -> str:
+    """Pattern of the letters with any separators between them."""
+    return "[^a-z0-9]*".join(letters)
+
+
+#: Necessary for any compact marker: its first letters, however separated.
+_COMPACT_START = "|".join(_spaced(start) for start in ("ignoreall", "bypassall", "revealyour"))
+
+
 def _pattern_hits(folded: Column) -> Column:
-    """``array<struct<code, rank>>`` of the injection rules a folded text meets."""
-    combined = "|".join(f"(?:{pattern})" for _, pattern, _ in rules.INJECTION_PATTERNS)
+    """``array<struct<code, rank>>`` of the injection rules a folded text meets.
+
+    Plain substring tests come first; a regex runs only on texts that hold one
+    of its anchor words.
+    """
     squeezed = compact(folded)
 
     def hit(code: str, severity: str, when: Column) -> Column:
         return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(_RANK[severity]).alias("rank")))
 
-    spoken = F.array_compact(
-        F.array(*(hit(c, s, word_match(folded, p)) for c, p, s in rules.INJECTION_PATTERNS))
-    )
+    spoken = [
+        hit(code, severity, _contains_any(folded, rules.PATTERN_ANCHORS[code]) & word_match(folded, pattern))
+        for code, pattern, severity in rules.INJECTION_PATTERNS
+    ]
     packed = F.array_compact(
         F.array(*(hit(c, s, squeezed.contains(m)) for c, m, s in rules.COMPACT_PATTERNS))
     )
-    # The combined pattern answers "none of the seven" in a single pass.
     none = F.array().cast("array<struct<code:string,rank:int>>")
-    return F.concat(F.when(word_match(folded, combined), spoken).otherwise(none), packed)
+    return F.concat(
+        F.array_compact(F.array(*spoken)), F.when(folded.rlike(_COMPACT_START), packed).otherwise(none)
+    )
 
 
 def _is_injection_label(folded: Column) -> Column:
@@ -67,10 +81,10 @@ def _is_injection_label(folded: Column) -> Column:
 
 
 def _is_disclosure(raw: Column, folded: Column) -> Column:
-    negated = word_match(folded, rules.NOTICE_NEGATION) | compact(folded).isin(*rules.NEGATED_NOTICES)
     pattern = rules.DISCLOSURE_PATTERN
     found = F.when(is_ascii(raw), raw.rlike(pattern)).otherwise(raw.rlike("(?U)" + pattern))
-    return (raw != "") & found & ~negated
+    negated = word_match(folded, rules.NOTICE_NEGATION) | compact(folded).isin(*rules.NEGATED_NOTICES)
+    return F.when(_contains_any(folded, rules.DISCLOSURE_ANCHORS), found & ~negated).otherwise(F.lit(False))
 
 
 def scan_text(df: DataFrame, text_col: str) -> DataFrame:

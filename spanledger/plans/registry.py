@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.session import configure
+from spanledger.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,10 +15,13 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
+#: Tables whose rows are worth an even spread over the cores.
+_LARGE = {"orders", "lineitem", "events", "documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in _LARGE else rows
 
 
 def view(spark: SparkSession, folder: str, sql: str) -> DataFrame:

@@ -76,3 +76,16 @@ def hold(df: DataFrame) -> DataFrame:
     """
     held = df.select(F.explode(F.array(F.struct(*df.columns))).alias("held"))
     return held.select(*(F.col(f"held.{name}").alias(name) for name in df.columns))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A single small file is one partition however many cores there are. Large
+    inputs already have more partitions than cores and pass unchanged, without
+    a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
