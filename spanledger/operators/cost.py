@@ -135,14 +135,14 @@ def extract_token_usage(
         F.when(F.exists(f"n_{f}", lambda n: n.isNull()), F.lit(f"{f} count is not an exact integer"))
         for f in rules.USAGE_ALIASES
     ]
-    no_parts = value["input"].isNull() & value["output"].isNull()
+    no_parts = (F.size("n_input") == 0) & (F.size("n_output") == 0)
     if not allow_missing:
         problems.append(F.when(c("usage").isNull(), F.lit("no usage object found")))
     problems.append(
-        F.when(c("usage").isNotNull() & no_parts & value["total"].isNull(), F.lit("no input or output count"))
+        F.when(c("usage").isNotNull() & no_parts & (F.size("n_total") == 0), F.lit("no input or output count"))
     )
     if not allow_total_only:
-        problems.append(F.when(no_parts & value["total"].isNotNull(), F.lit("only a total was reported")))
+        problems.append(F.when(no_parts & (F.size("n_total") > 0), F.lit("only a total was reported")))
     filled = counted.withColumn("problems", F.array_compact(F.array(*problems))).select(
         *usage_rows.columns,
         "problems",

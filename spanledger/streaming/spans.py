@@ -47,7 +47,7 @@ class _ConflictProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         known = self._first.get()[0] if self._first.exists() else None
         for batch in rows:
-            for digest in batch["sha256"]:
+            for digest in batch["sha256"].unique():
                 if known is None:
                     known = digest
                     self._first.update((digest,))
@@ -64,7 +64,11 @@ CONFLICT_SCHEMA = "trace_id string, span_id string, first_sha256 string, other_s
 
 
 def stream_conflicts(spans: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Spans whose key was seen before with another digest."""
+    """Spans whose key was seen before with another digest.
+
+    Without ``ttl_ms`` a key is remembered for good. Copies of one digest are
+    skipped per Arrow batch, so a burst of copies costs no state updates.
+    """
     return (
         spans.select("trace_id", "span_id", "sha256")
         .groupBy("trace_id", "span_id")
@@ -72,7 +76,7 @@ def stream_conflicts(spans: DataFrame, ttl_ms: int | None = None) -> DataFrame:
             statefulProcessor=_ConflictProcessor(ttl_ms),
             outputStructType=CONFLICT_SCHEMA,
             outputMode="Append",
-            timeMode="ProcessingTime",
+            timeMode="ProcessingTime" if ttl_ms else "None",
         )
     )
 
