@@ -11,6 +11,7 @@ from spanledger.operators import audit, digests, evaluate, governance, jobs, pac
 from spanledger.plans import views as v
 from spanledger.plans.registry import plain, query, table, view
 from spanledger.plans.trace_queries import _evaluation_sql, _verdicts, _VERDICTS, CONV
+from spanledger.session import materialize
 from spanledger.sources.tables import review_problem_counts
 
 JOBS = plain(v.JOBS)
@@ -539,8 +540,9 @@ def _pack_inputs(spark, folder):
     """Conversations with their evaluations, signed reviews and decisions."""
     c = F.col
     spans = v.conv_spans(spark, folder)
-    evaluations = evaluate.evaluate_traces(spans, _verdicts(spark, folder))
-    traces = digests.trace_digests(spans)
+    # Both are read by several sections of the pack.
+    evaluations = materialize(evaluate.evaluate_traces(spans, _verdicts(spark, folder)))
+    traces = materialize(digests.trace_digests(spans))
     jobs_of = traces.select(F.concat(F.lit("job-"), "trace_id").alias("job_id"), "trace_id")
     requests = jobs_of.select(c("trace_id").alias("request_id"), "job_id", "trace_id", F.lit("export").alias("requested_action"))
     plain_traces = traces.select(

@@ -15,6 +15,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .appName("spanledger-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.showConsoleProgress", "false")
