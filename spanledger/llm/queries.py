@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm import line_dedup, mixing, packing, sharding
+from spanledger.llm import language, line_dedup, mixing, packing, quality_model, quality_rules, sharding
 from spanledger.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = language.fold("doc_id", 3) == 1
+    model = language.fit_languages(docs.filter(~held_out))
+    found = language.identify_languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "language")
+
+
 @query("op2_sharding")
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """DuckDB has no CRC-32, so there is no reference SQL; tests compare with a plain version."""
@@ -36,6 +45,16 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(docs, [1.0] * 8, grown_weight=1.0).withColumn("law", F.lit("key"))
 
 
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = language.fold("doc_id", 4) == 2
+    # The labels learned from are at most SAMPLE_ROWS rows, so they are the side to broadcast.
+    labels = quality_model.sample_labels(_table(spark, folder, "labels").filter(~held_out))
+    model = quality_model.fit_quality(docs.join(F.broadcast(labels), "doc_id"))
+    return quality_model.score_quality(docs, model).withColumn("held_out", held_out)
+
+
 @query(
     "op4_line_dedup",
     r"""
@@ -65,6 +84,11 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
 
 
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_report(_table(spark, folder, "documents"))
+
+
 @query(
     "op9_mixing",
     r"""
