@@ -1,8 +1,12 @@
-"""Spark-native evidence analytics over AI-agent execution traces.
+"""Evidence analytics over AI-agent execution traces, expressed as Spark DataFrames."""
 
-Every public function takes DataFrames (or a path) and returns DataFrames.
-"""
+import sys
+
+from pyspark import cloudpickle
 
 from spanledger.session import configure
 
+# Functions that run in Python workers travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["configure"]
