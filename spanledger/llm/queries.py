@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm import language, line_dedup, mixing, packing, quality_model, quality_rules, sharding
+from spanledger.llm import language, line_dedup, mixing, neighbours, packing, quality_model, quality_rules, sharding
 from spanledger.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,11 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return report.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op6_neighbours")
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
