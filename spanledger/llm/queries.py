@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm import language, line_dedup, mixing, neighbours, packing, quality_model, quality_rules, sharding
+from spanledger.llm import jaccard_join, language, line_dedup, mixing, neighbours, packing, quality_model, quality_rules, sharding
 from spanledger.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,35 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.mix_records(_table(spark, folder, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query(
+    "op10_jaccard_join",
+    r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), sets AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+      FROM words
+    ), items AS MATERIALIZED (
+      SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+    ), links AS MATERIALIZED (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), reach AS (
+      SELECT a AS doc_id, a AS other FROM links
+      UNION
+      SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+    ), least AS (
+      SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+    FROM sets LEFT JOIN least USING (doc_id)
+    """,
+)
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    groups = jaccard_join.jaccard_groups(_table(spark, folder, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
