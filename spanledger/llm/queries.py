@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm import jaccard_join, language, line_dedup, mixing, neighbours, packing, quality_model, quality_rules, sharding
+from spanledger.llm import jaccard_join, language, line_dedup, mixing, neighbours, packing, quality_model, quality_rules, sharding, suffix_dedup
 from spanledger.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,19 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return report.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op6_neighbours")
 def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
