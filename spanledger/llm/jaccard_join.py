@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.llm.bytearrays import LOWER, Hashed, mix, pieces, utf8, word_spans
-from spanledger.llm.common import pack_row, unpack_row
+from spanledger.llm.common import key_text, pack_row, unpack_row
 from spanledger.llm.components import connected_components
 from spanledger.session import materialize
 
@@ -584,7 +584,8 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("id", "check")
         .unionByName(groups.filter("n_shingles = 0").select("id", "check").distinct())
     )
-    rows = docs.select(pack_row(docs), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("check"))
-    same = rows["id"].eqNullSafe(kept["id"]) & (rows["check"] == kept["check"])
-    joined = rows.join(kept, same, "left_semi")
-    return unpack_row(joined.dropDuplicates(["id", "check"]), docs.columns)
+    # One text key for ids of any kind, null included, so that join and choice share a partitioning.
+    kept = kept.select(key_text(F.col("id")).alias("name"), "check")
+    rows = docs.select(pack_row(docs), key_text(F.col(id_col)).alias("name"), F.xxhash64(text_col).alias("check"))
+    joined = rows.join(kept, ["name", "check"], "left_semi")
+    return unpack_row(joined.dropDuplicates(["name", "check"]), docs.columns)
