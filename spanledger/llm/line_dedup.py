@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +51,8 @@ def _filler(bits: int):
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            hashes, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
+            values = batch.column(0).flatten().drop_null().to_numpy(zero_copy_only=False)
+            hashes, counts = np.unique(values, return_counts=True)
             first, second = _positions(hashes, bits)
             again = (counts > 1) | ((_get(once, first) & _get(once, second)) == 1)
             _put(twice, first[again])
@@ -96,7 +97,7 @@ def _merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def twice_filter(hashes: DataFrame, bits: int) -> bytes:
-    """Bloom filter of the hashes (one long column) that occur at least twice.
+    """Bloom filter of the hashes (one column, arrays of longs) that occur at least twice.
 
     Each task fills a filter of what it saw and one of what it saw again. Merged,
     a bit counts as seen twice if a task saw it twice or two tasks saw it once;
@@ -115,14 +116,34 @@ def twice_filter(hashes: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def _suspecting(shared, bits: int):
-    @F.pandas_udf("boolean")
-    def suspected(hashes: pd.Series) -> pd.Series:
-        filter_ = np.frombuffer(shared.value, np.uint8)
-        first, second = _positions(hashes.to_numpy(), bits)
-        return pd.Series((_get(filter_, first) & _get(filter_, second)) == 1)
+def _suspects(shared, bits: int):
+    """Rows (id, check, text, hashes) to the suspected lines with the digests of their keys."""
 
-    return suspected
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            lists = batch.column("hashes")
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            values = lists.flatten()
+            known = ~values.is_null().to_numpy(zero_copy_only=False)
+            first, second = _positions(values.fill_null(0).to_numpy(zero_copy_only=False), bits)
+            hit = np.flatnonzero(known & ((_get(filter_, first) & _get(filter_, second)) == 1))
+            starts = np.concatenate(([0], np.cumsum(counts)))
+            rows = np.searchsorted(starts, hit, side="right") - 1
+            lines = hit - starts[rows]
+            digests, last, split = [], -1, []
+            for row, line in zip(rows.tolist(), lines.tolist(), strict=True):
+                if row != last:
+                    last, split = row, batch.column("text")[row].as_py().encode().split(b"\n")
+                # Bytes lower-case A to Z only.
+                digests.append(hashlib.sha256(split[line].strip(SPACES.encode()).lower()).digest())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(at), batch.column("check").take(at), pa.array(lines, pa.int32()), pa.array(digests, pa.binary())],
+                ["id", "check", "line", "digest"],
+            )
+
+    return find
 
 
 def filter_bits(rows: int, per_row: int = BITS_PER_DOCUMENT) -> int:
@@ -139,20 +160,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     decides. ``check`` is a hash of the text: rows that share an id but not the
     text are told apart, equal rows get equal answers.
     """
-    keyed = docs.select(
+    text = F.col(text_col)
+
+    def hashed(line: Column) -> Column:
+        key = line_key(line)
+        return F.when(F.char_length(key) >= LEAST_KEY, F.xxhash64(key))
+
+    rows = docs.select(
         F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("check"),
-        F.posexplode(lines_of(F.col(text_col))).alias("line", "whole"),
-    ).withColumn("key", line_key(F.col("whole")))
-    keyed = keyed.filter(F.char_length("key") >= LEAST_KEY).select("id", "check", "line", "key", F.xxhash64("key").alias("hash"))
-    bits = filter_bits(docs.count())
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(twice_filter(keyed.select("hash"), bits))
-    suspects = materialize(
-        keyed.filter(_suspecting(shared, bits)("hash")).select(
-            "id", "check", "line", F.unhex(F.sha2("key", 256)).alias("digest")
-        )
+        F.xxhash64(text).alias("check"),
+        F.coalesce(text, F.lit(_NO_TEXT)).alias("text"),
+        F.transform(lines_of(text), hashed).alias("hashes"),
     )
+    bits = filter_bits(docs.count())
+    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(rows.select("hashes"), bits))
+    kind = rows.schema["id"].dataType.simpleString()
+    suspects = materialize(rows.mapInArrow(_suspects(shared, bits), f"id {kind}, check long, line int, digest binary"))
     found = suspects.groupBy("digest").agg(
         F.min("id").alias("keeper"), F.max("id").alias("other"), F.max(F.col("id").isNull()).alias("nameless")
     )
