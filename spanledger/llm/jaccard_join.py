@@ -533,7 +533,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     # One row of each node brings its text along.
     chosen = (
-        rows.filter(F.col("digest").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.min_by("check", "id").alias("check")).join(able, "node")
+        rows.filter(F.col("digest").isNotNull())
+        .groupBy("node")
+        # A set that only rows without id have still has a text.
+        .agg(F.min("id").alias("id"), F.coalesce(F.min_by("check", "id"), F.min("check")).alias("check"))
+        .join(able, "node")
     )
     same = texts["id"].eqNullSafe(chosen["id"]) & (texts["check"] == chosen["check"])
     asked = materialize(texts.join(chosen, same).select("node", "n", texts["id"], texts["check"], "text"))
