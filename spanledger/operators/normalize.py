@@ -9,9 +9,6 @@ from spanledger.functions import rules
 from spanledger.functions import variants as V
 from spanledger.session import hold
 
-#: AnyValue arrays and key/value lists are decoded to this nesting.
-NESTING = 4
-
 
 def _id_sql(v: str, width: int | None) -> str:
     """``struct<id, ok, empty>``: hex ids are padded, others kept lower-case."""
@@ -111,45 +108,21 @@ def normalize_status(v: Column) -> Column:
     return F.when(v.isNull(), F.lit("unset")).otherwise(found)
 
 
-_TEXT = ("stringValue", "string_value")
-_BOOLEAN = ("boolValue", "bool_value")
-_INTEGER = ("intValue", "int_value")
-_DOUBLE = ("doubleValue", "double_value")
-_BINARY = ("bytesValue", "bytes_value")
-_ARRAY = ("arrayValue", "array_value")
-_PAIRS = ("kvlistValue", "kvlist_value", "kvListValue")
-
-
-def _bytes(v: Column) -> Column:
-    return F.try_to_binary(V.text(v), F.lit("base64"))
-
+def _decode_sql(v: str) -> str:
+    """Typed scalar to a plain value as SQL text; other values pass unchanged.
 
-def _decode_sql(v: str, nesting: int = NESTING) -> str:
-    """AnyValue to a plain value as SQL text; other values pass unchanged."""
-    x, e, i = f"x{nesting}", f"e{nesting}", f"i{nesting}"
+    Containers are plain already (:func:`spanledger.functions.anyvalue.parse_record`).
+    """
     parts = [
-        V.sql_first(x, _TEXT),
-        V.sql_first(x, _BOOLEAN),
-        f"cast(try_cast({V.sql_text(V.sql_first(x, _INTEGER))} as bigint) as variant)",
-        f"cast(try_cast({V.sql_text(V.sql_first(x, _DOUBLE))} as double) as variant)",
-        f"cast(make_valid_utf8(cast(try_to_binary({V.sql_text(V.sql_first(x, _BINARY))}, 'base64')"
+        V.sql_first("x", rules.ANY_TEXT),
+        V.sql_first("x", rules.ANY_BOOLEAN),
+        f"cast(try_cast({V.sql_text(V.sql_first('x', rules.ANY_INTEGER))} as bigint) as variant)",
+        f"cast(try_cast({V.sql_text(V.sql_first('x', rules.ANY_DOUBLE))} as double) as variant)",
+        f"cast(make_valid_utf8(cast(try_to_binary({V.sql_text(V.sql_first('x', rules.ANY_BINARY))}, 'base64')"
         " as string)) as variant)",
+        "x",
     ]
-    if nesting:
-        paired = f"{V.sql_first(x, _PAIRS)} is not null"
-        values = V.sql_list(V.sql_get(V.sql_first(x, (*_ARRAY, *_PAIRS)), "values"))
-        inner = _decode_sql(f"if({paired}, {V.sql_get(e, 'value')}, {e})", nesting - 1)
-        items = (
-            f"transform({values}, {e} -> named_struct("
-            f"'key', try_variant_get({e}, '$.key', 'string'), 'value', {inner}))"
-        )
-        parts.append(
-            f"get(transform(array({items}), {i} -> if({paired}, "
-            f"to_variant_object(map_from_entries({i})), "
-            f"to_variant_object(transform({i}, y -> y.value)))), 0)"
-        )
-    decoded = "coalesce(" + ", ".join([*parts, x]) + ")"
-    return f"get(transform(array({v}), {x} -> if({V.sql_map(x)} is null, {x}, {decoded})), 0)"
+    return f"get(transform(array({v}), x -> if({V.sql_map('x')} is null, x, coalesce({', '.join(parts)}))), 0)"
 
 
 def _attributes_sql(v: str) -> str:
@@ -177,14 +150,14 @@ def decode_attributes(v: str) -> Column:
 
 
 def attribute_error(v: str) -> Column:
-    """Whether an attribute list has a nameless entry or an ill-typed AnyValue."""
+    """Whether one of the attribute layers has a nameless entry or an ill-typed AnyValue."""
     values = (
         f"coalesce(transform({V.sql_list('a')}, e -> {V.sql_get('e', 'value')}), "
         f"map_values({V.sql_map('a')}))"
     )
     nameless = f"exists({V.sql_list('a')}, e -> coalesce(try_variant_get(e, '$.key', 'string'), '') = '')"
-    boolean, integer = V.sql_first("x", _BOOLEAN), V.sql_first("x", _INTEGER)
-    double, binary = V.sql_first("x", _DOUBLE), V.sql_first("x", _BINARY)
+    boolean, integer = V.sql_first("x", rules.ANY_BOOLEAN), V.sql_first("x", rules.ANY_INTEGER)
+    double, binary = V.sql_first("x", rules.ANY_DOUBLE), V.sql_first("x", rules.ANY_BINARY)
     number = f"try_cast({V.sql_text(double)} as double)"
     ill_typed = (
         f"({boolean} is not null and schema_of_variant({boolean}) <> 'BOOLEAN')"
@@ -197,7 +170,7 @@ def attribute_error(v: str) -> Column:
         f" or coalesce(exists({values}, x -> {V.sql_map('x')} is not null and ({ill_typed})), false)"
         f" or (a is not null and {V.sql_map('a')} is null and {V.sql_list('a')} is null)"
     )
-    return F.expr(f"get(transform(array({v}), a -> {bad}), 0)")
+    return F.expr(f"exists({v}, a -> {bad})")
 
 
 _EMPTY_MAP = "cast(map() as map<string,variant>)"
@@ -277,6 +250,7 @@ def normalize_spans(records: DataFrame) -> DataFrame:
         "item",
         "span",
         "layers",
+        F.col("error") if "error" in records.columns else F.lit(None).cast("string").alias("error"),
         *(
             F.expr(sql).alias(name)
             for name, sql in {
@@ -311,6 +285,7 @@ def normalize_spans(records: DataFrame) -> DataFrame:
         "block",
         "row",
         "item",
+        "error",
         normalize_id("trace", 32).alias("t"),
         normalize_id("id", 16).alias("s"),
         normalize_id("parent", 16).alias("p"),
@@ -324,7 +299,7 @@ def normalize_spans(records: DataFrame) -> DataFrame:
         F.expr(
             f"nullif(trim({V.sql_text(f'coalesce(message, if({status_map}, {status_text}, null))')}), '')"
         ).alias("status_message"),
-        attribute_error("own").alias("bad_attributes"),
+        attribute_error("concat(layers, array(own))").alias("bad_attributes"),
         F.to_variant_object(merge_layers("concat(layers, array(own))")).alias("attributes"),
         events_of("event_list").alias("events"),
         links_of("link_list").alias("links"),
@@ -382,7 +357,7 @@ def normalize_spans(records: DataFrame) -> DataFrame:
         "block",
         "row",
         "item",
-        issues.alias("issues"),
+        F.when(F.col("error").isNotNull(), F.array("error")).otherwise(issues).alias("issues"),
         "raw",
     )
     return hold(normalized)

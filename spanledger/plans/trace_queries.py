@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.functions import rules
+from spanledger.functions.anyvalue import parse_record
 from spanledger.operators import digests, evaluate, jobs, leaves, normalize, packs, tree, validate
 from spanledger.plans import views as v
 from spanledger.plans.registry import plain, query, table, view
@@ -577,7 +578,7 @@ def _raw(df: DataFrame, body) -> DataFrame:
     """Records of a table as the rows a file read gives."""
     return df.select(
         F.lit("table").alias("source"), F.lit(0).cast("bigint").alias("block"), F.col("row"), body.alias("text")
-    ).withColumn("doc", F.try_parse_json("text"))
+    ).withColumn("doc", parse_record(F.col("text")))
 
 
 def _event_records(spark, folder) -> DataFrame:
@@ -604,9 +605,22 @@ def _event_records(spark, folder) -> DataFrame:
         trace, F.lit(',"spanId":"'), span, F.lit('","name":"'), "event_type", F.lit('","startTimeUnixNano":"'), millis, F.lit('000","attributes":[{"key":"k","value":{"intValue":"'),
         F.get_json_object("props", "$.k"), F.lit('"}},{"key":"list","value":{"arrayValue":{"values":[{"boolValue":true},{"kvlistValue":{"values":[{"key":"deep","value":{"doubleValue":0.5}}]}}]}}}]}]}]}]}'),
     )
+    # Errors: lines that end early, envelopes and values of the wrong type, a time that is none.
+    fault = c("event_id") % 6
+    nested_fault = F.concat(
+        F.lit('{"resourceSpans":[{"resource":{"attributes":[{"key":"deep","value":{"arrayValue":{"values":[{"arrayValue":{"values":[{"intValue":"oops"}]}}]}}}]},"scopeSpans":[{"spans":[{"traceId":'),
+        trace, F.lit(',"spanId":"'), span, F.lit('","name":"n","startTimeUnixNano":"'), millis, F.lit('000"}]}]}]}'),
+    )
+    faulty = (
+        F.when(fault == 1, F.concat(F.lit('{"trace_id":'), trace, F.lit(',"spans":{"id":"'), span, F.lit('"}}')))
+        .when(fault == 2, F.concat(F.lit('{"resourceSpans":[{"scopeSpans":{"spans":[]},"trace_id":'), trace, F.lit("}]}")))
+        .when(fault == 3, F.concat(F.lit('{"trace_id":'), trace, F.lit(',"name":"'), "event_type", F.lit('"}')))
+        .when(fault == 4, nested_fault)
+    )
     broken = F.concat(F.lit('{"trace_id":'), trace, F.lit(',"span_id":"'), span, F.lit('","name":"'), "event_type", F.lit('","start_time":"'), F.when(c("value") > 100, "{").otherwise("soon"), F.lit('"'), F.when(c("value") > 50, "").otherwise("}"))
     body = (
-        F.when(c("event_type") == "error", broken)
+        F.when((c("event_type") == "error") & faulty.isNotNull() & (c("value") <= 50), faulty)
+        .when(c("event_type") == "error", broken)
         .when(c("event_type") == "click", bare)
         .when(c("event_type") == "view", envelope)
         .when(c("event_type") == "signup", nested)
@@ -624,9 +638,7 @@ def _event_records(spark, folder) -> DataFrame:
     case when event_type = 'purchase' then '[true,{"deep":0.5}]' end as list from events where event_type <> 'error'""",
 )
 def spans_from_records(spark, folder):
-    spans = normalize.require_valid(
-        normalize.normalize_spans(sources.unwrap_envelopes(_event_records(spark, folder).filter(F.col("doc").isNotNull()))).filter("name <> 'error'")
-    )
+    spans, _ = normalize.split_valid(normalize.normalize_spans(sources.unwrap_envelopes(_event_records(spark, folder))))
     attribute = lambda key: F.try_variant_get("attributes", f"$.{key}", "string")
     return spans.select(
         "trace_id", "span_id", "name", "kind", "status", F.unix_micros("start_time").alias("start_us"),
@@ -637,7 +649,9 @@ def spans_from_records(spark, folder):
 @query(
     "quarantined_records",
     """select event_id as row, case when value > 50 then 'invalid_json' else 'invalid_span' end as code,
-    case when value > 50 then 'record is not valid JSON or repeats a key' else 'start time is invalid' end as reason from events where event_type = 'error'""",
+    case when value > 50 then 'record is not valid JSON or repeats a key'
+      else case event_id % 6 when 1 then 'spans must be an array' when 2 then 'scopeSpans must be an array' when 3 then 'record holds no span'
+        when 4 then 'attributes are invalid' else 'start time is invalid' end end as reason from events where event_type = 'error'""",
 )
 def quarantined_records(spark, folder):
     raw = _event_records(spark, folder)
@@ -647,7 +661,8 @@ def quarantined_records(spark, folder):
 
 @query(
     "detected_formats",
-    "select event_type as source, case when event_type = 'purchase' then 'otlp' else 'openinference' end as format from events group by event_type",
+    """select event_type as source, case when bool_or(event_type = 'purchase' or (event_type = 'error' and value <= 50 and event_id % 6 in (2, 4)))
+    then 'otlp' else 'openinference' end as format from events group by event_type""",
 )
 def detected_formats(spark, folder):
     types = table(spark, folder, "events").select(F.col("event_id").alias("row"), "event_type")

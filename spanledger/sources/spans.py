@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spanledger.functions import variants as V
 from spanledger.functions.hashing import sha
 from spanledger.functions.rules import SPAN_ID_KEYS, TRACE_ID_KEYS
+from spanledger.functions.anyvalue import parse_record
 from spanledger.session import broadcast_if_small
 
 _OTLP_KEYS = ("resourceSpans", "resource_spans", "scopeSpans", "scope_spans")
@@ -55,7 +56,7 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return (
         lines.withColumn("text", text)
         .filter((F.col("text") != "") & ~F.col("text").startswith("#"))
-        .withColumn("doc", F.try_parse_json("text"))
+        .withColumn("doc", parse_record(F.col("text")))
     )
 
 
@@ -125,28 +126,44 @@ def detect_format(raw: DataFrame) -> DataFrame:
 
 
 _NO_TRACE = "cast(null as variant)"
-_ITEM = "struct<doc:variant,trace:variant,layers:array<variant>,found:boolean>"
+_ITEM = "struct<doc:variant,trace:variant,layers:array<variant>,found:boolean,error:string>"
 
 
-def _item(doc: str, trace: str, layers: str, found: bool) -> str:
-    """A document on its way: ``found`` marks a span, the rest is opened further."""
+def _item(doc: str, trace: str, layers: str, found: bool, error: str | None = None) -> str:
+    """A document on its way: ``found`` marks a span, the rest is opened further.
+
+    What cannot be opened ends as an item with an error, so that no record is lost.
+    """
+    reason = f"'{error}'" if error else "cast(null as string)"
     return (
         f"named_struct('doc', {doc}, 'trace', {trace}, "
-        f"'layers', cast(array({layers}) as array<variant>), 'found', {str(found).lower()})"
+        f"'layers', cast(array({layers}) as array<variant>), 'found', {str(found).lower()}, 'error', {reason})"
     )
 
 
+def _failed(doc: str, error: str) -> str:
+    return f"array({_item(doc, _NO_TRACE, '', True, error)})"
+
+
 def _otlp_items(doc: str) -> str:
     """resourceSpans > scopeSpans > spans with the resource and scope attributes as layers."""
-    resources = f"coalesce({V.sql_list(V.sql_first(doc, ('resourceSpans', 'resource_spans')))}, array({doc}))"
-    scopes = V.sql_list(V.sql_first("r", ("scopeSpans", "scope_spans", "instrumentationLibrarySpans")))
+    given = V.sql_first(doc, ("resourceSpans", "resource_spans"))
+    resources = f"if({given} is null, array({doc}), {V.sql_list(given)})"
+    scope_value = V.sql_first("r", ("scopeSpans", "scope_spans", "instrumentationLibrarySpans"))
+    scopes = V.sql_list(scope_value)
     outer = V.sql_get(V.sql_get("r", "resource"), "attributes")
     inner = V.sql_get(V.sql_first("c", ("scope", "instrumentationLibrary")), "attributes")
-    spans = V.sql_list(V.sql_get("c", "spans"))
+    span_value = V.sql_get("c", "spans")
+    spans = V.sql_list(span_value)
     none = f"cast(array() as array<{_ITEM}>)"
-    per_scope = f"coalesce(transform({spans}, n -> {_item('n', _NO_TRACE, f'{outer}, {inner}', True)}), {none})"
-    per_resource = f"coalesce(flatten(transform({scopes}, c -> {per_scope})), {none})"
-    return f"flatten(transform({resources}, r -> {per_resource}))"
+
+    def listed(value: str, rows: str, name: str, whole: str) -> str:
+        """Rows of a list; a missing list is empty, another value is an error."""
+        return f"case when {value} is null then {none} when {rows} is null then {_failed(whole, f'{name} must be an array')} else {rows} end"
+
+    per_scope = listed(span_value, f"transform({spans}, n -> {_item('n', _NO_TRACE, f'{outer}, {inner}', True)})", "spans", "c")
+    per_resource = listed(scope_value, f"flatten(transform({scopes}, c -> {per_scope}))", "scopeSpans", "r")
+    return f"coalesce(flatten(transform({resources}, r -> {per_resource})), {_failed(doc, 'resourceSpans must be an array')})"
 
 
 def _open_item(x: str) -> str:
@@ -162,11 +179,13 @@ def _open_item(x: str) -> str:
         when {V.sql_list(doc)} is not null
             then transform({V.sql_list(doc)}, d -> {_item('d', f'{x}.trace', '', False)})
         when {_any_present(doc, _OTLP_KEYS)} then {_otlp_items(doc)}
+        when {V.sql_map(doc)} is null then {_failed(doc, 'record must be an object')}
         when {V.sql_map(single)} is not null then array({_item(single, trace, own, True)})
         when {many} is not null then transform({many}, d -> {_item('d', trace, own, True)})
+        when {V.sql_get(doc, 'spans')} is not null then {_failed(doc, 'spans must be an array')}
         when {nested} is not null and not {has_id} then array({_item(decoded, trace, '', False)})
         when {has_id} then array({_item(doc, trace, '', True)})
-        else cast(array() as array<{_ITEM}>) end"""
+        else {_failed(doc, 'record holds no span')} end"""
 
 
 def unwrap_envelopes(raw: DataFrame) -> DataFrame:
@@ -196,6 +215,7 @@ def unwrap_envelopes(raw: DataFrame) -> DataFrame:
         F.col("x.doc").alias("span"),
         F.col("x.trace").alias("trace_hint"),
         F.col("x.layers").alias("layers"),
+        F.col("x.error").alias("error"),
     )
 
 
@@ -211,6 +231,7 @@ def flatten_otlp(raw: DataFrame) -> DataFrame:
         F.col("x.doc").alias("span"),
         F.col("x.trace").alias("trace_hint"),
         F.col("x.layers").alias("layers"),
+        F.col("x.error").alias("error"),
     )
 
 

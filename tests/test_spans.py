@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from spanledger.functions.anyvalue import parse_record
 from spanledger.operators import normalize, validate
 from spanledger.sources import spans as sources
 
@@ -10,7 +11,7 @@ from spanledger.sources import spans as sources
 def records(spark, *documents):
     rows = [("mem", 0, n, d if isinstance(d, str) else json.dumps(d)) for n, d in enumerate(documents)]
     raw = spark.createDataFrame(rows, "source string, block bigint, row bigint, text string")
-    return raw.withColumn("doc", F.try_parse_json("text"))
+    return raw.withColumn("doc", parse_record(F.col("text")))
 
 
 def normalized(spark, *documents):
@@ -167,3 +168,59 @@ def test_ingest_drops_copies_and_reports_conflicts(spark):
     codes = sorted(r.code for r in issues.collect())
     assert codes == ["conflicting_duplicate_span"] * 2 + ["duplicate_span_ignored", "invalid_span"]
     assert spans.filter("span_id = 's-1'").first().row == 0
+
+
+def wrapped(value, depth):
+    for n in range(depth):
+        entry = {"arrayValue": {"values": [value]}} if n % 2 else {"kvlistValue": {"values": [{"key": "k", "value": value}]}}
+        value = entry
+    return value
+
+
+def otlp(attributes, resource=()):
+    span = {"traceId": "t", "spanId": "s", "name": "n", "startTimeUnixNano": "1700000000000000000", "attributes": attributes}
+    return {"resourceSpans": [{"resource": {"attributes": list(resource)}, "scopeSpans": [{"spans": [span]}]}]}
+
+
+def test_typed_values_are_decoded_at_any_depth(spark):
+    deep = [{"key": "a", "value": wrapped({"intValue": "7"}, 7)}]
+    row = normalized(spark, otlp(deep)).select("issues", F.to_json("attributes").alias("json")).first()
+    assert row.issues == [] and json.loads(row.json) == {"a": {"k": [{"k": [{"k": [{"k": 7}]}]}]}}
+    # Far beyond the interpreter's own recursion.
+    row = normalized(spark, otlp([{"key": "a", "value": wrapped({"boolValue": True}, 60)}])).select("issues").first()
+    assert row.issues == []
+
+
+def test_ill_typed_values_are_found_in_every_layer(spark):
+    bad = [{"key": "a", "value": {"arrayValue": {"values": [{"arrayValue": {"values": [{"intValue": "oops"}]}}]}}}]
+    nameless = [{"key": "a", "value": {"kvlistValue": {"values": [{"value": {"intValue": 1}}]}}}]
+    for document in (otlp(bad), otlp([], bad), otlp(nameless), otlp([], [{"key": "", "value": {"intValue": 1}}])):
+        assert normalized(spark, document).first().issues == ["attributes are invalid"]
+
+
+def test_no_malformed_envelope_is_lost(spark):
+    documents = [
+        {"spans": {"id": 1}},
+        {"resourceSpans": [{"scopeSpans": {"spans": []}}]},
+        {"resourceSpans": {"scopeSpans": []}},
+        {"resourceSpans": [{"scopeSpans": [{"spans": "x"}]}]},
+        {"name": "no id"},
+        {"data": [1, {"name": "x"}]},
+    ]
+    rows = normalized(spark, *documents).select("row", "issues").collect()
+    found = sorted((r.row, *r.issues) for r in rows)
+    assert found == [
+        (0, "spans must be an array"),
+        (1, "scopeSpans must be an array"),
+        (2, "resourceSpans must be an array"),
+        (3, "spans must be an array"),
+        (4, "record holds no span"),
+        (5, "record holds no span"),
+        (5, "record must be an object"),
+    ]
+
+
+def test_whole_number_ids_of_128_bits(spark):
+    row = normalized(spark, {**BASE, "trace_id": 2**128 - 1, "span_id": 2**64 - 1}).first()
+    assert row.issues == [] and row.trace_id == "f" * 32 and row.span_id == "f" * 16
+    assert normalized(spark, {**BASE, "trace_id": 2**128}).first().issues == ["trace_id is invalid"]
