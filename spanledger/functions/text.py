@@ -47,11 +47,6 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-z0-9]+", "")
 
 
-def ascii_key(c: Column) -> Column:
-    """Key folding without normalisation, as the usage reader wants it."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-
-
 def dash_token(c: Column) -> Column:
     """``Human Reviewer`` -> ``human-reviewer``; blank becomes the empty string."""
     folded = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", "-")
@@ -64,10 +59,12 @@ def feature_token(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def clean_text(c: Column, limit: int) -> Column:
-    """Printable, single-spaced text cut to ``limit`` characters with an ellipsis."""
+def clean_text(c: Column, limit: int | None = None) -> Column:
+    """Printable, single-spaced text; with ``limit`` cut to so many characters, for print."""
     normal = F.when(is_ascii(c), c).when(c.isNotNull(), _nfkc(c))
     text = F.trim(F.regexp_replace(normal, r"[\p{C}\p{Z}\s]+", " "))
+    if limit is None:
+        return text
     cut = F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 

@@ -13,7 +13,7 @@ from spanledger.functions import rules
 from spanledger.functions.hashing import base64url, digest_of, hmac_sha256, json_string, padded_keys, sha
 from spanledger.operators.cost import lookup_or_broadcast
 from spanledger.operators.skew import lookup_join
-from spanledger.session import hold
+from spanledger.session import hold, materialize
 
 #: Domain prefix of receipt signatures.
 RECEIPT_CONTEXT = "spanledger/audit-receipt/v1"
@@ -63,9 +63,11 @@ def prepare_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def new_events(events: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(fresh, conflicts)``: replays of a stored receipt or idempotency key are left out.
+    """``(fresh, conflicts)``: replays of a receipt or idempotency key are left out.
 
-    A replay whose content differs is a conflict.
+    A replay whose content differs is a conflict. Within the batch the earliest
+    event of an id or key counts, by time and then by id and content; the others
+    are its replays. Stored keys are made unique, so no event is multiplied.
     """
     content = digest_of(
         actor_id=F.col("actor_id"),
@@ -76,19 +78,32 @@ def new_events(events: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataF
         trace_id=F.col("trace_id"),
     )
     stored = existing.withColumn("stored_content", content)
-    by_id = stored.select("receipt_id", F.col("stored_content").alias("content_by_id"))
-    by_key = stored.filter("idempotency_key is not null").select(
-        "idempotency_key", F.col("stored_content").alias("content_by_key")
+    by_id = stored.groupBy("receipt_id").agg(F.min("stored_content").alias("content_by_id"))
+    by_key = (
+        stored.filter("idempotency_key is not null").groupBy("idempotency_key").agg(F.min("stored_content").alias("content_by_key"))
     )
+    place = F.struct("occurred_at", "receipt_id", "content")
+    batch = events.withColumn("content", content)
+    # Equal copies are one event before anything is joined.
+    batch = batch.dropDuplicates(["receipt_id", "idempotency_key", "content", "occurred_at"])
+    first_id = batch.groupBy("receipt_id").agg(F.min(place).alias("first_by_id"))
+    first_key = batch.filter("idempotency_key is not null").groupBy("idempotency_key").agg(F.min(place).alias("first_by_key"))
+    # Events without a key have no partner by key; a key of their own spreads them.
+    spread = F.coalesce(F.col("idempotency_key"), F.concat(F.lit("\x00"), F.col("receipt_id")))
     seen = (
-        events.withColumn("content", content)
+        batch.withColumn("__key", spread)
         .join(by_id, "receipt_id", "left")
-        .join(by_key, "idempotency_key", "left")
+        .join(first_id, "receipt_id")
+        .join(by_key.withColumnRenamed("idempotency_key", "__key"), "__key", "left")
+        .join(first_key.withColumnRenamed("idempotency_key", "__key"), "__key", "left")
     )
-    hit = F.coalesce("content_by_id", "content_by_key")
-    helper = ("content", "content_by_id", "content_by_key")
-    fresh = seen.filter(hit.isNull()).drop(*helper)
-    conflicts = seen.filter(hit.isNotNull() & (hit != F.col("content"))).select(
+    own = F.struct("occurred_at", "receipt_id", "content")
+    earlier = F.when(F.col("first_by_id") < own, F.col("first_by_id.content")).otherwise(
+        F.when(F.col("first_by_key") < own, F.col("first_by_key.content"))
+    )
+    seen = seen.withColumn("known", F.coalesce("content_by_id", "content_by_key", earlier))
+    fresh = seen.filter(F.col("known").isNull()).select(*events.columns)
+    conflicts = seen.filter(F.col("known") != F.col("content")).select(
         "receipt_id", "idempotency_key", "job_id", F.lit("reused for different evidence").alias("reason")
     )
     return fresh, conflicts
@@ -255,7 +270,10 @@ def append_only(new: DataFrame, existing: DataFrame, keys: list[str], digest: st
     digest first and follow the same rule.
     """
     batch = new.groupBy(*keys, digest).agg(
-        F.first(F.struct(*(n for n in new.columns if n not in (*keys, digest)))).alias("kept")
+        F.min_by(
+            F.struct(*(n for n in new.columns if n not in (*keys, digest))),
+            F.to_json(F.struct(*(n for n in new.columns if n not in (*keys, digest)))),
+        ).alias("kept"),
     ).select(*keys, digest, "kept.*") if set(new.columns) - {*keys, digest} else new.distinct()
     versions = batch.groupBy(*keys).agg(F.count("*").alias("versions"))
     stored = existing.select(*keys, F.col(digest).alias("stored_digest"))
@@ -348,6 +366,19 @@ def verify_integrity(
     return found
 
 
-def append_receipts(receipts: DataFrame, path: str) -> None:
-    """Append-only write, partitioned by day; nothing is ever overwritten."""
-    receipts.withColumn("day", F.to_date("occurred_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_receipts(receipts: DataFrame, path: str) -> DataFrame:
+    """Append-only write, partitioned by day; returns what was new.
+
+    Receipts that the store has already, by receipt id and hash, are left out,
+    so a repeated append changes nothing.
+    """
+    spark = receipts.sparkSession
+    rows = receipts.withColumn("day", F.to_date("occurred_at"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        days = rows.select("day").distinct()
+        stored = spark.read.schema(rows.schema).parquet(path).join(days, "day", "left_semi")
+        rows = rows.join(stored.select("receipt_id", "receipt_hash"), ["receipt_id", "receipt_hash"], "left_anti")
+    fresh = materialize(rows.dropDuplicates(["receipt_id", "receipt_hash"]))
+    fresh.write.mode("append").partitionBy("day").parquet(path)
+    return fresh

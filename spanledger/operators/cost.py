@@ -12,6 +12,8 @@ from spanledger.session import broadcast_if_small, hold
 from spanledger.sources.tables import _values_of, folded_entries
 
 MONEY = "decimal(38,12)"
+#: The largest rate has 13 whole digits.
+RATE = "decimal(25,12)"
 TOKEN_COLUMNS = (
     "input_tokens",
     "output_tokens",
@@ -41,8 +43,8 @@ def _sql_set(names) -> str:
     return "(" + ", ".join(f"'{name}'" for name in names) + ")"
 
 
-def locate_usage(payloads: DataFrame, payload: str = "payload", max_depth: int = 20) -> DataFrame:
-    """Add ``usage``, the usage object inside a provider payload (text or VARIANT).
+def locate_usage(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add ``usage``, the usage object inside a provider payload (text or VARIANT), at any depth.
 
     Container keys come first, then an object that itself looks like usage,
     then the other children in order. Each node carries a sort key whose parts
@@ -57,7 +59,10 @@ def locate_usage(payloads: DataFrame, payload: str = "payload", max_depth: int =
         head = f"left(trim(leading ' \\n\\t\\r' from {V.sql_text(v)}), 1)"
         return f"if(schema_of_variant({v}) = 'STRING' and {head} in ('[', '{{'), try_parse_json({V.sql_text(v)}), {v})"
 
-    place = "lpad(cast(p as string), 6, '0')"
+    place = "lpad(cast(p as string), 10, '0')"
+    # A level needs a bracket, also inside JSON that stands in a text; the search ends earlier if nothing is open.
+    written = payload if payloads.schema[payload].dataType.typeName() == "string" else f"to_json({payload})"
+    depth = f"length(regexp_replace({written}, '[^{{\\\\[]', '')) + 1"
     of_object = (
         f"transform(map_entries({V.sql_map('n.v')}), (e, p) -> named_struct("
         f"'k', concat(n.k, if({folded} in {_sql_set(_CONTAINERS)}, '0', '2'), {place}, '/'), "
@@ -72,7 +77,7 @@ def locate_usage(payloads: DataFrame, payload: str = "payload", max_depth: int =
         f"if(not n.open, array(n), concat({itself}, coalesce({of_object}, {of_list}, "
         "cast(array() as array<struct<k:string,v:variant,open:boolean>>))))"
     )
-    nodes = f"""aggregate(sequence(0, {max_depth}),
+    nodes = f"""aggregate(sequence(0, coalesce({depth}, 0)),
         named_struct('done', false, 'items', array(named_struct('k', '', 'v', {root}, 'open', true))),
         (acc, i) -> if(acc.done, acc, named_struct(
             'done', not exists(acc.items, n -> n.open),
@@ -201,8 +206,12 @@ def estimate_tokens(text: Column) -> Column:
 
 def _money(tokens: Column, rate: Column) -> Column:
     """tokens x rate / 1e6, half-up at 12 decimals."""
-    per_token = rate.cast("decimal(24,12)") * F.lit("0.000001").cast("decimal(6,6)")
-    return F.round(tokens.cast("decimal(16,0)") * per_token.cast("decimal(24,18)"), 12).cast(MONEY)
+    # Whole millions and the rest apart, so that the largest counts and rates stay exact in 38 digits.
+    rate = rate.cast(RATE)
+    millions = F.floor(tokens / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(10,0)")
+    rest = F.pmod(tokens, F.lit(1_000_000)).cast("decimal(6,0)")
+    part = rest * (rate * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(25,18)")
+    return (millions * rate + F.round(part, 12)).cast(MONEY)
 
 
 def priced(usage: DataFrame, rate_cards: DataFrame, default_model: str | None = None) -> DataFrame:
@@ -251,7 +260,7 @@ def token_cost(priced_usage: DataFrame) -> DataFrame:
 
     def rate(name: str, default: str) -> Column:
         choices = [c(f"{name}_override")] if f"{name}_override" in names else []
-        return F.coalesce(*choices, c(name), c(default)).cast("decimal(24,12)")
+        return F.coalesce(*choices, c(name), c(default)).cast(RATE)
 
     rated = priced_usage.withColumn("cached_input_rate", rate("cached_input_rate", "input_rate")).withColumn(
         "reasoning_rate", rate("reasoning_rate", "output_rate")
@@ -272,15 +281,18 @@ def token_cost(priced_usage: DataFrame) -> DataFrame:
 
 
 def scale_costs(costs: DataFrame, count: str, multiplier: int = 1) -> DataFrame:
-    """Multiply tokens and money by ``count`` x ``multiplier`` evaluations."""
+    """Multiply tokens and money by ``count`` x ``multiplier`` evaluations.
+
+    An amount beyond the exact range becomes null; it does not fail the job.
+    """
     if multiplier < 0:
         raise ValueError("evaluation multiplier cannot be negative")
-    factor = F.col(count) * F.lit(multiplier)
+    factor = F.try_multiply(F.col(count).cast("bigint"), F.lit(multiplier).cast("bigint"))
     return costs.withColumns(
         {
             "evaluation_count": factor.cast("bigint"),
-            **{t: (F.col(t) * factor).cast("bigint") for t in TOKEN_COLUMNS},
-            **{m: F.round(F.col(m).cast("decimal(28,12)") * factor.cast("decimal(10,0)"), 12).cast(MONEY) for m in MONEY_COLUMNS},
+            **{t: F.try_multiply(F.col(t).cast("bigint"), factor) for t in TOKEN_COLUMNS},
+            **{m: F.try_multiply(F.col(m).cast(MONEY), factor.cast("decimal(19,0)")).try_cast(MONEY) for m in MONEY_COLUMNS},
         }
     )
 

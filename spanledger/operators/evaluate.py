@@ -191,19 +191,27 @@ def resolve_flags(observations: DataFrame) -> DataFrame:
 
 
 def injection_matches(spans: DataFrame) -> DataFrame:
-    """Distinct ``(trace_id, span_id, code, severity, excerpt)`` of pattern hits, all of them."""
+    """Distinct ``(trace_id, span_id, code, severity, text_sha256, excerpt)`` of pattern hits.
+
+    Texts are told apart by the digest of the whole text; ``excerpt`` is its start, for print.
+    """
     signals = leaf_signals(spans, ["trace_id", "span_id"])
-    return (
-        signals.select("trace_id", "span_id", F.explode("hits").alias("hit"), clean_text(F.col("text"), 180).alias("excerpt"))
-        .select("trace_id", "span_id", F.col("hit.code").alias("code"), _severity_name(F.col("hit.rank")).alias("severity"), "excerpt")
-        .distinct()
+    hit = signals.select(
+        "trace_id",
+        "span_id",
+        F.explode("hits").alias("hit"),
+        F.sha2("text", 256).alias("text_sha256"),
+        clean_text(F.col("text"), 180).alias("excerpt"),
     )
+    return hit.select(
+        "trace_id", "span_id", F.col("hit.code").alias("code"), _severity_name(F.col("hit.rank")).alias("severity"), "text_sha256", "excerpt"
+    ).distinct()
 
 
 def threat_classifications(spans: DataFrame) -> DataFrame:
     """Leaves whose classification names an injection."""
     return leaf_signals(spans, ["trace_id", "span_id"]).filter("labels_injection").select(
-        "trace_id", "span_id", clean_text(F.col("text"), 160).alias("classification")
+        "trace_id", "span_id", clean_text(F.col("text")).alias("classification")
     )
 
 
@@ -217,7 +225,7 @@ def severity_signals(spans: DataFrame) -> DataFrame:
 def observed_actions(spans: DataFrame) -> DataFrame:
     """Policy actions found in the spans, with ``unknown`` for other words."""
     return leaf_signals(spans, ["trace_id", "span_id"]).filter("action is not null").select(
-        "trace_id", "span_id", "action", clean_text(F.col("text"), 80).alias("text")
+        "trace_id", "span_id", "action", clean_text(F.col("text")).alias("text")
     )
 
 
@@ -376,6 +384,7 @@ def evaluate_traces(
         "injection_detected",
         c("injection_detected").alias("injection_caught"),
         c("found").alias("detected_by_rules"),
+        F.coalesce("j_detected", no).alias("detected_by_judge"),
         F.when(c("injection_detected"), _severity_name(c("injection_rank"))).alias("injection_severity"),
         "schema_valid",
         "disclosure_present",
@@ -425,45 +434,51 @@ def evaluation_evidence_digest(spans: DataFrame) -> DataFrame:
     return tree_digest(with_span_digest(spans), ["trace_id"], "sha256", "evidence_sha256").drop("items")
 
 
-def injection_evidence(spans: DataFrame, limit: int = rules.EVIDENCE_LIMIT) -> DataFrame:
-    """The first ``limit`` distinct evidence texts per trace in walk order, plus their total.
+def injection_evidence(spans: DataFrame) -> DataFrame:
+    """All distinct evidence of a trace: ``(trace_id, n, evidence, text_sha256, span_id)``.
 
-    Report rows; :func:`injection_matches` and :func:`flag_observations` hold everything.
+    ``n`` numbers a trace's evidence by kind and walk order. ``evidence`` prints
+    the start of a text; the digest tells whole texts apart, and ``span_id`` is
+    where it occurs first. For a print of the first few see
+    :func:`spanledger.operators.validate.print_first`.
     """
     place = ["source", "block", "row", "item"]
-    signals = leaf_signals(spans, ["trace_id", *place])
+    signals = leaf_signals(spans, ["trace_id", "span_id", *place])
     step = F.struct(*place, "pos", "sub")
-    none = F.array().cast("array<struct<rank:int,text:string>>")
+    none = F.array().cast("array<struct<rank:int,text:string,digest:string>>")
 
-    def note(rank: int, text: Column) -> Column:
-        return F.struct(F.lit(rank).alias("rank"), text.alias("text"))
+    def note(rank: int, text: Column, digest: Column | None = None) -> Column:
+        own = F.lit(None).cast("string") if digest is None else digest
+        return F.struct(F.lit(rank).alias("rank"), text.alias("text"), own.alias("digest"))
 
     excerpt = clean_text(F.col("text"), 180)
-    label = F.concat(F.lit("threat classification: "), clean_text(F.col("text"), 160))
-    notes = signals.withColumn("excerpt", excerpt).withColumn("label", label).select(
+    label = F.concat(F.lit("threat classification: "), excerpt)
+    whole = F.sha2("text", 256)
+    notes = signals.withColumn("excerpt", excerpt).withColumn("label", label).withColumn("digest", whole).select(
         "trace_id",
+        "span_id",
         step.alias("step"),
         F.explode(
             F.concat(
                 F.coalesce(
-                    F.transform("hits", lambda h: note(0, F.concat_ws(": ", h["code"], F.col("excerpt")))), none
+                    F.transform("hits", lambda h: note(0, F.concat_ws(": ", h["code"], F.col("excerpt")), F.col("digest"))), none
                 ),
                 F.array_compact(
                     F.array(
                         F.when(F.col("is_detected") & F.col("flag"), note(1, F.lit("explicit detection flag is true"))),
                         F.when(F.col("is_caught") & F.col("flag"), note(2, F.lit("explicit interception flag is true"))),
-                        F.when(F.col("labels_injection"), note(3, F.col("label"))),
+                        F.when(F.col("labels_injection"), note(3, F.col("label"), F.col("digest"))),
                     )
                 ),
             )
         ).alias("note"),
     )
-    first = notes.groupBy("trace_id", "note.rank", "note.text").agg(F.min("step").alias("step"))
+    first = notes.groupBy("trace_id", "note.rank", "note.text", "note.digest").agg(
+        F.min("step").alias("step"), F.min_by("span_id", "step").alias("span_id")
+    )
     order = Window.partitionBy("trace_id").orderBy("rank", "step", "text")
-    return (
-        first.withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= limit)
-        .select("trace_id", "n", F.col("text").alias("evidence"))
+    return first.select(
+        "trace_id", F.row_number().over(order).alias("n"), F.col("text").alias("evidence"), F.col("digest").alias("text_sha256"), "span_id"
     )
 
 
@@ -523,7 +538,7 @@ def threats(evaluations: DataFrame) -> DataFrame:
     c = F.col
     rows = F.array_compact(
         F.array(
-            F.when(c("injection_detected"), F.struct(F.lit("prompt-injection").alias("category"), F.when(c("detected_by_rules"), c("injection_severity")).otherwise("medium").alias("severity"))),
+            F.when(c("detected_by_rules") | c("detected_by_judge"), F.struct(F.lit("prompt-injection").alias("category"), F.when(c("detected_by_rules"), c("injection_severity")).otherwise("medium").alias("severity"))),
             F.when(~c("injection_detected") & c("article_15_threat_flagged"), F.struct(F.lit("declared-security-threat").alias("category"), F.lit("medium").alias("severity"))),
         )
     )
@@ -547,21 +562,16 @@ def evidence_rates(evaluations: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def judge_inputs(spans: DataFrame, text_limit: int = 12_000) -> DataFrame:
+def judge_inputs(spans: DataFrame) -> DataFrame:
     """Per span: scalar attributes and distinct input and output texts for an outside judge.
 
-    The judge's window is a feature of this report: texts are added in order
-    until ``text_limit`` characters are reached.
+    Everything is given whole; what fits a judge's window is the caller's choice.
     """
-    def one(e: Column) -> Column:
-        from spanledger.functions import variants as V
+    from spanledger.functions import variants as V
 
-        text = V.text(e["value"])
-        cut = F.when(F.length(text) <= 1000, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, 999)), F.lit("…")))
+    def one(e: Column) -> Column:
         scalar = V.kind(e["value"]).isin("string", "number", "boolean")
-        return F.when(scalar, F.struct(e["key"].alias("key"), cut.alias("value")))
-
-    from spanledger.functions import variants as V
+        return F.when(scalar, F.struct(e["key"].alias("key"), V.text(e["value"]).alias("value")))
 
     heads = spans.select(
         "trace_id",
@@ -570,11 +580,11 @@ def judge_inputs(spans: DataFrame, text_limit: int = 12_000) -> DataFrame:
         "name",
         "status",
         F.map_from_entries(
-            F.slice(F.array_compact(F.transform(F.map_entries(V.as_map(F.col("attributes"))), one)), 1, 64)
+            F.array_compact(F.transform(F.map_entries(V.as_map(F.col("attributes"))), one))
         ).alias("scalar_attributes"),
     )
     texts = leaf_signals(spans, ["trace_id", "span_id"]).filter("is_input or is_output")
-    cleaned = texts.withColumn("cleaned", clean_text(F.col("text"), text_limit)).filter("cleaned <> ''")
+    cleaned = texts.withColumn("cleaned", clean_text(F.col("text"))).filter("cleaned <> ''")
     both = cleaned.select(
         "trace_id",
         "span_id",
@@ -592,12 +602,7 @@ def judge_inputs(spans: DataFrame, text_limit: int = 12_000) -> DataFrame:
         "cleaned",
     )
     first = both.groupBy("trace_id", "span_id", "side", "cleaned").agg(F.min(F.struct("pos", "sub")).alias("at"))
-    order = Window.partitionBy("trace_id", "span_id", "side").orderBy("at")
-    before = F.coalesce(
-        F.sum(F.length("cleaned")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    kept = first.withColumn("before", before).filter(F.col("before") < text_limit)
-    lists = kept.groupBy("trace_id", "span_id").agg(
+    lists = first.groupBy("trace_id", "span_id").agg(
         *(
             F.transform(
                 F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", "cleaned")))),

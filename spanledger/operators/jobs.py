@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from spanledger.functions import rules
 from spanledger.functions.hashing import digest_of, sha
 
-MAX_KEY_LENGTH = 128
 MAX_PAGE = 100
 
 
@@ -25,10 +24,8 @@ def select_traces(spans: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def idempotency_key(base: str):
-    """Per-trace key: the base cut to fit, then 20 digits of the trace id's hash."""
-    return F.concat(
-        F.substring(base, 1, MAX_KEY_LENGTH - 21), F.lit(":"), F.substring(sha(F.col("trace_id")), 1, 20)
-    )
+    """Per-trace key: the hash of the whole base, then 20 digits of the trace id's hash."""
+    return F.concat(sha(F.col(base)), F.lit(":"), F.substring(sha(F.col("trace_id")), 1, 20))
 
 
 def create_jobs(traces: DataFrame, evaluations: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -98,11 +95,10 @@ def latest_job_per_trace(jobs: DataFrame) -> DataFrame:
     ).select("trace_id", "j.*", "job_count")
 
 
-def related_jobs(jobs: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest ``limit`` job ids of each trace, ranked."""
+def related_jobs(jobs: DataFrame) -> DataFrame:
+    """All job ids of each trace, ranked from the newest."""
     order = Window.partitionBy("trace_id").orderBy(F.desc("created_at"), F.desc("job_id"))
-    ranked = jobs.select("trace_id", "job_id", "created_at").withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= limit).select("trace_id", "rank", "job_id")
+    return jobs.select("trace_id", F.row_number().over(order).alias("rank"), "job_id")
 
 
 def filter_receipts(

@@ -99,6 +99,7 @@ def article_12_section(
         .groupBy("trace_id")
         .agg(F.array_sort(F.collect_list(F.struct("source_span_id", "sha256", "status"))).alias("span_digests"))
     )
+    listed = digests.groupBy("trace_id").agg(F.count("*").alias("span_digest_count"))
     names = _top_names(taxonomy, "trace_id", "name", limit).withColumnRenamed("names", "event_types")
     kinds = taxonomy.groupBy("trace_id").agg(F.count("*").alias("event_type_count"))
     rows = (
@@ -108,6 +109,9 @@ def article_12_section(
         .join(printed, "trace_id", "left")
         .join(names, "trace_id", "left")
         .join(kinds, "trace_id", "left")
+        .join(listed, "trace_id", "left")
+        .withColumn("span_digests_cut", F.coalesce(c("span_digest_count") > limit, F.lit(False)))
+        .withColumn("event_types_cut", F.coalesce(c("event_type_count") > limit, F.lit(False)))
     )
     complete = c("schema_valid") & (c("span_count") > 0)
     return rows.select(
@@ -266,23 +270,55 @@ def compile_packs(decisions: DataFrame, article_12: DataFrame, article_14: DataF
     )
 
 
+#: Folders that the packs of a store are dealt to, by a hash of the pack id.
+PACK_FOLDERS = 64
+
+
 def write_packs(packs: DataFrame, path: str) -> DataFrame:
-    """Write documents partitioned by job; returns the manifest."""
-    packs.select("job_id", "document").write.mode("append").partitionBy("job_id").text(f"{path}/documents")
-    manifest = packs.select("pack_id", "job_id", "sha256", "size")
-    manifest.write.mode("append").parquet(f"{path}/manifest")
-    return packs.sparkSession.read.parquet(f"{path}/manifest")
+    """Merge packs into the store at ``path`` by pack id; returns the manifest.
+
+    A pack id stands for one content, so a replay changes nothing. The store is
+    written as a new generation beside the old one, which stays readable; the
+    newest generation that was finished counts.
+    """
+    spark = packs.sparkSession
+    columns = ["pack_id", "job_id", "sha256", "size", "document"]
+    new = packs.select(*columns)
+    number = _generation(spark, path)
+    if number:
+        old = spark.read.parquet(f"{path}/{number:08d}").select(*columns)
+        new = new.unionByName(old.join(new.select("pack_id").distinct(), "pack_id", "left_anti"))
+    # Copies inside a batch are equal but for their documents' origin; the smallest digest stays.
+    single = new.groupBy("pack_id").agg(
+        *(F.min_by(n, "sha256").alias(n) for n in columns[1:])
+    ).withColumn("folder", F.pmod(F.xxhash64("pack_id"), F.lit(PACK_FOLDERS)).cast("int"))
+    single.repartition("folder").write.partitionBy("folder").parquet(f"{path}/{number + 1:08d}")
+    return spark.read.parquet(f"{path}/{number + 1:08d}").select(*columns[:-1])
+
+
+def _generation(spark: SparkSession, path: str) -> int:
+    """Number of the newest finished generation, 0 for none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(hadoop):
+        return 0
+    done = [
+        int(entry.getPath().getName())
+        for entry in store.listStatus(hadoop)
+        if store.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS"))
+    ]
+    return max(done, default=0)
 
 
 def verify_packs(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """Stored documents against digest and size of the manifest; bad JSON is reported."""
-    stored = spark.read.option("basePath", f"{path}/documents").text(f"{path}/documents")
+    stored = spark.read.parquet(f"{path}/{_generation(spark, path):08d}")
     actual = stored.select(
-        F.col("job_id").cast("string"),
-        sha(F.col("value")).alias("stored_sha256"),
-        F.octet_length("value").alias("stored_size"),
-        F.try_parse_json("value").isNotNull().alias("valid_json"),
+        "pack_id",
+        sha(F.col("document")).alias("stored_sha256"),
+        F.octet_length("document").alias("stored_size"),
+        F.try_parse_json("document").isNotNull().alias("valid_json"),
     )
-    joined = manifest.join(actual, "job_id", "left")
+    joined = manifest.join(actual, "pack_id", "left")
     ok = (F.col("sha256") == F.col("stored_sha256")) & (F.col("size") == F.col("stored_size")) & F.col("valid_json")
     return joined.select("pack_id", "job_id", F.coalesce(ok, F.lit(False)).alias("valid"))

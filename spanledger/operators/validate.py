@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.operators.digests import with_span_digest
@@ -102,10 +102,8 @@ def structure_counts(spans: DataFrame, check_cycles: bool = True) -> DataFrame:
     return counts.join(loops, "trace_id", "left").na.fill(0, ["cycle_spans"])
 
 
-def structure_issues(spans: DataFrame, limit: int = 32) -> DataFrame:
-    """The first ``limit`` distinct structure issues per trace, as report rows."""
-    from pyspark.sql import Window
-
+def structure_issues(spans: DataFrame) -> DataFrame:
+    """All distinct structure issues, as ``(trace_id, rank, issue, span_id)``."""
     per_id = reference_counts(spans)
     duplicates = per_id.filter("span_id is not null and definitions > 1").select(
         "trace_id", F.lit(0).alias("rank"), "span_id", F.lit("duplicate span identifier").alias("issue")
@@ -119,13 +117,17 @@ def structure_issues(spans: DataFrame, limit: int = 32) -> DataFrame:
     loops = cycle_spans(spans).select(
         "trace_id", F.lit(3).alias("rank"), "span_id", F.lit("parent cycle").alias("issue")
     )
-    rows = duplicates.unionAll(unnamed).unionAll(missing).unionAll(loops)
-    order = Window.partitionBy("trace_id").orderBy("rank", "span_id")
-    return (
-        rows.withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= limit)
-        .select("trace_id", "n", "issue", "span_id")
-    )
+    return duplicates.unionAll(unnamed).unionAll(missing).unionAll(loops).select("trace_id", "rank", "issue", "span_id")
+
+
+def print_first(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group for print, each with the group's ``total`` and ``cut``.
+
+    A view on a complete table: ``cut`` says that rows are left out here.
+    """
+    totals = rows.groupBy(*by).agg(F.count("*").alias("total"))
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("n") <= limit)
+    return ranked.join(totals, by).withColumn("cut", F.col("total") > limit)
 
 
 def declared_mismatches(declared: DataFrame, derived: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -418,7 +418,7 @@ def latest_job_per_trace(spark, folder):
 
 @query(
     "related_jobs",
-    f"select trace_id, cast(n as integer) as rank, job_id from (select *, row_number() over (partition by trace_id order by created_at desc, job_id desc) as n from ({JOBS})) where n <= 100",
+    f"select trace_id, cast(n as integer) as rank, job_id from (select *, row_number() over (partition by trace_id order by created_at desc, job_id desc) as n from ({JOBS}))",
 )
 def related_jobs(spark, folder):
     return jobs.related_jobs(view(spark, folder, v.JOBS))
@@ -452,7 +452,7 @@ def _conv_traces(spark, folder) -> DataFrame:
 
 @query(
     "created_jobs",
-    f"""with s as ({CONV}), {_evaluation_sql()} select trace_id, 'request-' || trace_id || ':' || left(sha256(trace_id), 20) as idempotency_key,
+    f"""with s as ({CONV}), {_evaluation_sql()} select trace_id, sha256('request-' || trace_id) || ':' || left(sha256(trace_id), 20) as idempotency_key,
     policy_action, 'awaiting-human-review' as status from ev""",
 )
 def created_jobs(spark, folder):
@@ -463,7 +463,7 @@ def created_jobs(spark, folder):
 
 @query(
     "job_conflicts",
-    f"""with s as ({CONV}), {_evaluation_sql()} select 'request-' || trace_id || ':' || left(sha256(trace_id), 20) as idempotency_key from ev where span_count > 6""",
+    f"""with s as ({CONV}), {_evaluation_sql()} select sha256('request-' || trace_id) || ':' || left(sha256(trace_id), 20) as idempotency_key from ev where span_count > 6""",
 )
 def job_conflicts(spark, folder):
     evaluations = evaluate.evaluate_traces(v.conv_spans(spark, folder))

@@ -125,8 +125,9 @@ def evt_orphan_spans(spark, folder):
     f"""with s as ({EVT}), m as (select distinct a.trace_id, a.parent_span_id as span_id from s a
     left join s b on a.trace_id = b.trace_id and a.parent_span_id = b.span_id
     where a.parent_span_id is not null and b.span_id is null),
-    r as (select *, row_number() over (partition by trace_id order by span_id) as n from m)
-    select trace_id, cast(n as integer) as n, 'missing parent' as issue, span_id from r where n <= 32""",
+    d as (select trace_id, span_id from s where span_id is not null group by all having count(*) > 1)
+    select trace_id, 0 as rank, 'duplicate span identifier' as issue, span_id from d
+    union all select trace_id, 2, 'missing parent', span_id from m""",
 )
 def evt_structure_issues(spark, folder):
     return validate.structure_issues(v.evt_spans(spark, folder))
@@ -339,10 +340,10 @@ def _discloses(c: str, negation_on: str | None = None) -> str:
 
 @query(
     "conv_injection_matches",
-    f"with s as ({CONV}), h as ({_hit_rows('s', 'trace_id, span_id', 'input_value')}) select distinct trace_id, span_id, code, severity from h",
+    f"with s as ({CONV}), h as ({_hit_rows('s', 'trace_id, span_id', 'input_value')}) select distinct trace_id, span_id, code, severity, sha256(text) as text_sha256 from h",
 )
 def conv_injection_matches(spark, folder):
-    return evaluate.injection_matches(v.conv_spans(spark, folder)).select("trace_id", "span_id", "code", "severity")
+    return evaluate.injection_matches(v.conv_spans(spark, folder)).drop("excerpt")
 
 
 @query(
@@ -517,14 +518,15 @@ def evaluation_invariants(spark, folder):
 @query(
     "conv_injection_evidence",
     f"""with s as ({CONV}), h as ({_hit_rows('s', 'trace_id, span_id, turn', 'input_value')}),
-    c as (select trace_id, 0 as rank, turn, code from h
-      union all select trace_id, 1, turn, 'threat classification' from s where classification = 'Prompt-injection attempt')
-    select trace_id, cast(count(*) as bigint) as evidence_count from
-      (select distinct trace_id, code from c where rank = 1 union all select trace_id, code from c where rank = 0) group by trace_id""",
+    c as (select trace_id, turn, code, sha256(text) as text_sha256 from h
+      union all select trace_id, turn, 'threat classification', sha256(classification) from s where classification = 'Prompt-injection attempt')
+    select trace_id, code, text_sha256, min(turn) as turn from c group by all""",
 )
 def conv_injection_evidence(spark, folder):
-    rows = evaluate.injection_evidence(v.conv_spans(spark, folder))
-    return rows.groupBy("trace_id").agg(F.count("*").alias("evidence_count"))
+    spans = v.conv_spans(spark, folder)
+    turns = spans.select("trace_id", "span_id", F.regexp_extract("span_id", "-([0-9]+)$", 1).cast("bigint").alias("turn"))
+    rows = evaluate.injection_evidence(spans).join(turns, ["trace_id", "span_id"])
+    return rows.select("trace_id", F.substring_index("evidence", ": ", 1).alias("code"), "text_sha256", "turn")
 
 
 @query("conv_judge_inputs")

@@ -221,7 +221,7 @@ def read_rate_cards(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = hold(rated.withColumn("problems", problems))
     good = checked.filter(F.size("problems") == 0).select(
         F.coalesce(F.get("models", F.lit(0)), F.lit("unspecified")).alias("model"),
-        *(F.get(f"{k}_rates", F.lit(0)).cast("decimal(24,12)").alias(f"{k}_rate") for k in kinds),
+        *(F.get(f"{k}_rates", F.lit(0)).cast("decimal(25,12)").alias(f"{k}_rate") for k in kinds),
         F.lit("EUR").alias("currency"),
     )
     bad = checked.filter(F.size("problems") > 0).select(
