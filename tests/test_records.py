@@ -220,3 +220,53 @@ def test_packs_are_written_and_verified(spark, tmp_path):
     assert {r.pack_id: r.valid for r in packs.verify_packs(spark, str(tmp_path), manifest).collect()} == {"p1": True, "p2": True}
     forged = manifest.withColumn("size", F.col("size") + F.when(F.col("job_id") == "j2", 1).otherwise(0))
     assert {r.pack_id: r.valid for r in packs.verify_packs(spark, str(tmp_path), forged).collect()} == {"p1": True, "p2": False}
+
+
+def test_packs_written_twice_are_stored_once(spark, tmp_path):
+    made = spark.createDataFrame([("p1", "j1", '{"a":1}')], "pack_id string, job_id string, document string")
+    made = made.withColumn("sha256", F.sha2("document", 256)).withColumn("size", F.octet_length("document"))
+    packs.write_packs(made, str(tmp_path))
+    manifest = packs.write_packs(made, str(tmp_path))
+    assert [tuple(r) for r in packs.verify_packs(spark, str(tmp_path), manifest).collect()] == [("p1", "j1", True)]
+
+
+def test_receipts_replayed_within_a_batch(spark):
+    schema = (
+        "receipt_id string, idempotency_key string, job_id string, trace_id string, event_type string, actor_type string, "
+        "actor_id string, occurred_at timestamp, payload_sha256 string, payload string"
+    )
+    import datetime
+
+    def event(receipt, key, second, content="p"):
+        return (receipt, key, "j", "t", "trace-ingested", "system", "a", datetime.datetime(2025, 1, 1, 0, 0, second), content, "{}")
+
+    batch = spark.createDataFrame(
+        [
+            event("r1", "k1", 1),
+            event("r1", "k1", 1),
+            event("r2", "k1", 2),
+            event("r3", "k1", 3, "other"),
+            event("r1", None, 4, "other"),
+            event("r4", None, 5),
+            event("r5", None, 6),
+        ],
+        schema,
+    )
+    fresh, conflicts = audit.new_events(batch, batch.limit(0))
+    assert sorted(r.receipt_id for r in fresh.collect()) == ["r1", "r4", "r5"]
+    assert sorted((r.receipt_id, r.idempotency_key) for r in conflicts.collect()) == [("r1", None), ("r3", "k1")]
+
+
+def test_money_at_the_limits(spark):
+    top = spark.createDataFrame([(9007199254740991, 0, 0, 0, "1000000000000")], "input_tokens long, output_tokens long, cached_input_tokens long, reasoning_tokens long, r string")
+    rates = {n: F.col("r").cast("decimal(25,12)") for n in cost.RATE_COLUMNS}
+    row = cost.token_cost(top.withColumns(rates)).first()
+    assert str(row.total_cost_eur) == "9007199254740991000000.000000000000"
+
+
+def test_request_keys_with_a_common_start(spark):
+    traces = spark.createDataFrame([("t", "s", "x" * 120 + end, end, 1) for end in "ab"], "trace_id string, trace_sha256 string, request_key string, request_sha256 string, created_at long")
+    verdicts = spark.createDataFrame([("t", "e", "allow")], "trace_id string, evaluation_id string, policy_action string")
+    stored, _ = jobs.create_jobs(traces.limit(1), verdicts)
+    fresh, conflicts = jobs.create_jobs(traces, verdicts, stored)
+    assert (fresh.count(), conflicts.count()) == (1, 0)
