@@ -275,60 +275,70 @@ def top_standards(matches: DataFrame, k: int = 3) -> DataFrame:
 # --- pack-time scores --------------------------------------------------------
 
 
-def article_standard_scores(tokens: DataFrame, tables: Tables) -> DataFrame:
-    """Pack-time rule (STD-06): standards of an article scored by exact tokens.
-
-    Every subject gets the standards of Articles 12, 14 and 15. Tokens given
-    by the article itself are counted on the catalog side, so only a subject's
-    own matches are joined.
-    """
-    spark = tokens.sparkSession
+def _article_pairs(tables: Tables) -> DataFrame:
+    """``(article, standard_id, characteristic, given)`` of the standards of Articles 12, 14 and 15."""
+    spark = tables["articles"].sparkSession
     c = F.col
     own = spark.createDataFrame(
         [(a, f) for a, names in rules.ARTICLE_FEATURES.items() for f in names], "article string, feature string"
     ).select("article", feature_token(c("feature")).alias("characteristic"))
     covered = tables["articles"].join(F.broadcast(own.select("article").distinct()), "article", "left_semi")
-    pairs = covered.join(tables["characteristics"], "standard_id").join(
+    # As many rows as there are fixed features of the three articles.
+    return covered.join(tables["characteristics"], "standard_id").join(
         F.broadcast(own.withColumn("given", F.lit(1))), ["article", "characteristic"], "left"
     )
-    base = pairs.groupBy("article", "standard_id").agg(
+
+
+def article_base(tables: Tables) -> DataFrame:
+    """Catalog side of the pack-time rule: what every subject gets, ``(article, standard_id, ord, given, size)``.
+
+    A subject without own matches has these standards with the score of
+    ``given`` matches out of ``size``; it is not repeated per subject.
+    """
+    base = _article_pairs(tables).groupBy("article", "standard_id").agg(
         F.sum(F.coalesce("given", F.lit(0))).alias("given"), F.count("*").alias("size")
     )
-    base = base.join(tables["standards"].select("standard_id", "ord"), "standard_id")
+    return base.join(tables["standards"].select("standard_id", "ord"), "standard_id")
+
+
+def article_standard_scores(tokens: DataFrame, tables: Tables, k: int = 3) -> DataFrame:
+    """Pack-time rule (STD-06): the best ``k`` standards of an article by a subject's exact tokens.
+
+    Only standards with a match of the subject's own are listed; all others have
+    the score of :func:`article_base`, which is the same for every subject.
+    """
+    c = F.col
+    pairs, base = _article_pairs(tables), article_base(tables)
     extra = pairs.filter("given is null").select("article", "standard_id", "characteristic")
     hits = (
         _join_dimension(tokens.select("subject", c("token").alias("characteristic")).distinct(), extra, ["characteristic"])
         .groupBy("subject", "article", "standard_id")
         .agg(F.count("*").alias("own"))
     )
-    articles = F.explode(F.array(*(F.lit(a) for a in rules.ARTICLE_FEATURES)))
-    subjects = tokens.select("subject").distinct().select("subject", articles.alias("article"))
-    spread = _join_dimension(subjects, base, ["article"])
-    joined = spread.join(hits, ["subject", "article", "standard_id"], "left")
-    matched = c("given") + F.coalesce("own", F.lit(0))
+    joined = _join_dimension(hits, base, ["article", "standard_id"])
+    matched = c("given") + c("own")
     score = F.least(
         F.lit(1.0),
         F.lit(0.35) + F.lit(0.55) * matched / F.greatest(F.lit(1), c("size")) + F.when(matched > 0, 0.10).otherwise(0.0),
     )
-    return joined.select(
+    scored = joined.select(
         "subject", "article", "standard_id", "ord", matched.alias("matched_features"), F.round(score, 6).alias("score")
     )
+    order = Window.partitionBy("subject", "article").orderBy(F.desc("score"), "ord")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= k)
 
 
-def annex_checklist(scores: DataFrame, tables: Tables) -> DataFrame:
-    """Requirements of the scored standards per article; the first standard wins (STD-07).
+def annex_checklist(tables: Tables) -> DataFrame:
+    """Requirements per article; the first standard wins (STD-07).
 
-    All standards of an article apply to every subject, so the winner is the
-    same for all of them and is found on the catalog side.
+    All standards of an article apply to every subject, so the checklist is one
+    table for all of them.
     """
     requirements = tables["requirements"].filter("evidence_id is not null")
     order = Window.partitionBy("article", "evidence_id").orderBy("ord", "req_ord")
-    first = (
+    return (
         requirements.join(tables["articles"], ["standard_id", "article"], "left_semi")
         .withColumn("n", F.row_number().over(order))
         .filter("n = 1")
-        .select("standard_id", "article", "evidence_id", "description")
-    )
-    return _join_dimension(scores.select("subject", "article", "standard_id"), first, ["article", "standard_id"]).withColumn(
-        "status", F.lit("mapped-engineering-reference")
+        .select("standard_id", "article", "evidence_id", "description", F.lit("mapped-engineering-reference").alias("status"))
     )

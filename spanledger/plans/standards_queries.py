@@ -13,7 +13,8 @@ from spanledger.sources.tables import catalog_issues, standards_tables
 
 # A brand is a standard; its part names are characteristics, its sizes choose articles,
 # its part types annex sections, its larger parts evidence requirements.
-_ARTICLE = "case when p_size < 17 then 12 when p_size < 34 then 14 else 15 end"
+# A brand covers two of the three articles.
+_ARTICLE = "case (cast(regexp_extract(p_brand, '[0-9]+', 0) as int) + case when p_size > 25 then 1 else 0 end) % 3 when 0 then 12 when 1 then 14 else 15 end"
 _SECTION = "case p_type when 'ECONOMY' then 1 when 'SMALL' then 2 when 'MEDIUM' then 3 when 'PROMO' then 4 when 'STANDARD' then 5 else 6 end"
 
 
@@ -135,7 +136,7 @@ def _feature_leaves(spark, folder) -> DataFrame:
     c = F.col
     orders = table(spark, folder, "orders").select("o_orderkey", c("o_custkey").alias("subject"), "o_orderpriority")
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
-    lines = table(spark, folder, "lineitem").filter("l_quantity >= 49").join(orders, c("l_orderkey") == c("o_orderkey"))
+    lines = table(spark, folder, "lineitem").join(orders, c("l_orderkey") == c("o_orderkey"))
     bought = lines.join(part, c("l_partkey") == c("p_partkey"))
     names = bought.select("subject", F.lit("bought").alias("last_key"), F.lit("string").alias("kind"), F.concat(c("p_name"), F.when(c("p_size") > 40, " Record").otherwise("")).alias("text"))
     flags = bought.filter("p_size = 50").select("subject", F.concat(F.lit("uses "), "p_name").alias("last_key"), F.lit("boolean").alias("kind"), F.lit("true").alias("text"))
@@ -144,7 +145,7 @@ def _feature_leaves(spark, folder) -> DataFrame:
     return names.unionAll(flags).unionAll(articles).unionAll(annex)
 
 
-_TOKENS = """bought as (select o_custkey as subject, p_name, p_size from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey where l_quantity >= 49),
+_TOKENS = """bought as (select o_custkey as subject, p_name, p_size from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
 tokens as (select subject, replace(p_name, ' ', '-') || case when p_size > 40 then '-record' else '' end as token from bought
   union select subject, 'uses-' || replace(p_name, ' ', '-') from bought where p_size = 50
   union select o_custkey, unnest(['Article 12', '12', 'article-12']) from orders where o_orderpriority = '1-URGENT'
@@ -187,13 +188,17 @@ scored as (select subject, standard_id, ord, k1, k2, k3, k4, nc, round((case whe
   / (case when f = 1 then 0.85::double else 0 end + case when a = 1 then 0.25::double else 0 end + case when x = 1 then 0.15::double else 0 end), 6) as score from joined)"""
 
 
+#: Matches at or below this score are not reported.
+_MINIMUM = 0.8
+
+
 @query(
     "standards_scores",
     f"""with {_CATALOG}, {_TOKENS}, {_MATCHES} select subject, standard_id, score, k1 as matched_characteristics, nc - k1 as missing_characteristics,
-    k2 as matched_evidence_characteristics, k3 as matched_articles, k4 as matched_annex_sections from scored where score > 0""",
+    k2 as matched_evidence_characteristics, k3 as matched_articles, k4 as matched_annex_sections from scored where score > {_MINIMUM}""",
 )
 def standards_scores(spark, folder):
-    matches = standards.match_standards(_tokens(spark, folder), _tables(spark, folder))
+    matches = standards.match_standards(_tokens(spark, folder), _tables(spark, folder), _MINIMUM)
     return matches.drop("ord")
 
 
@@ -210,12 +215,20 @@ def top_standards(spark, folder):
 @query(
     "matched_characteristics",
     f"""with {_CATALOG}, {_TOKENS}, {_MATCHES}, s as (select distinct subject, standard_id from hit join chars using (phrase))
-    select subject, standard_id, count(*) as characteristics, count(h.phrase) as matched from s join chars c using (standard_id)
-    left join hit h using (subject, phrase) group by all""",
+    select subject, standard_id, count(*) as characteristics, string_agg(c.phrase, ',' order by c.phrase) filter (where h.phrase is not null) as matched,
+    coalesce(string_agg(c.phrase, ',' order by c.phrase) filter (where h.phrase is null), '') as missing
+    from s join chars c using (standard_id) left join hit h using (subject, phrase) group by all""",
 )
 def matched_characteristics(spark, folder):
     rows = standards.matched_characteristics(_tokens(spark, folder), _tables(spark, folder))
-    return rows.groupBy("subject", "standard_id").agg(F.count("*").alias("characteristics"), F.count_if("matched").alias("matched"))
+
+    def listed(condition):
+        return F.array_join(F.array_sort(F.collect_list(F.when(condition, F.col("characteristic")))), ",")
+
+    # A standard has a bounded number of characteristics, so the lists are short.
+    return rows.groupBy("subject", "standard_id").agg(
+        F.count("*").alias("characteristics"), listed(F.col("matched")).alias("matched"), listed(~F.col("matched")).alias("missing")
+    )
 
 
 _GIVEN = ", ".join(
@@ -229,20 +242,32 @@ ascores as (select s.subject, b.article, b.standard_id, coalesce(k, 0) as k, rou
 
 @query(
     "article_standard_scores",
-    f"with {_CATALOG}, {_TOKENS}, {_ARTICLE_SCORES} select subject, 'Article ' || cast(article as string) as article, standard_id, k as matched_features, score from ascores",
+    f"""with {_CATALOG}, {_TOKENS}, {_ARTICLE_SCORES}, o as (select a.*, row_number() over (partition by subject, article order by score desc, ord) as n
+      from ascores a join (select distinct standard_id, ord from cat) using (standard_id) where k > 0)
+    select subject, 'Article ' || cast(article as string) as article, standard_id, k as matched_features, score, cast(n as integer) as rank from o where n <= 3""",
 )
 def article_standard_scores(spark, folder):
-    return standards.article_standard_scores(_tokens(spark, folder), _tables(spark, folder)).drop("ord")
+    scores = standards.article_standard_scores(_tokens(spark, folder), _tables(spark, folder))
+    return scores.select("subject", "article", "standard_id", "matched_features", "score", "rank")
+
+
+@query(
+    "article_base_scores",
+    f"""with {_CATALOG} select 'Article ' || cast(article as string) as article, standard_id,
+    (select count(*) from chars c where c.standard_id = arts.standard_id) as characteristics from arts""",
+)
+def article_base_scores(spark, folder):
+    return standards.article_base(_tables(spark, folder)).select("article", "standard_id", F.col("size").alias("characteristics"))
 
 
 @query(
     "annex_checklist",
-    f"""with {_CATALOG}, {_TOKENS} select s.subject, count(*) as items from (select distinct subject from tokens) s cross join reqs group by s.subject""",
+    f"""with {_CATALOG}, t as (select article, evidence_id, standard_id, p_partkey from reqs)
+    select 'Article ' || cast(t.article as string) as article, evidence_id, standard_id, p_type as description, 'mapped-engineering-reference' as status
+    from t join part using (p_partkey)""",
 )
 def annex_checklist(spark, folder):
-    tables = _tables(spark, folder)
-    scores = standards.article_standard_scores(_tokens(spark, folder), tables)
-    return standards.annex_checklist(scores, tables).groupBy("subject").agg(F.count("*").alias("items"))
+    return standards.annex_checklist(_tables(spark, folder)).select("article", "evidence_id", "standard_id", "description", "status")
 
 
 @query(
