@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-_MODULES = ("trace_queries", "cost_queries", "standards_queries", "governance_queries")
+_MODULES = ("trace_queries", "cost_queries", "standards_queries", "governance_queries", "stream_queries")
 
 
 def load() -> ModuleType:

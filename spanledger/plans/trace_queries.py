@@ -583,7 +583,7 @@ def _raw(df: DataFrame, body) -> DataFrame:
     ).withColumn("doc", parse_record(F.col("text")))
 
 
-def _event_records(spark, folder) -> DataFrame:
+def event_records(spark, folder) -> DataFrame:
     """Events as span records in several spellings, by event type."""
     c = F.col
     millis = F.unix_micros("ts").cast("string")
@@ -640,7 +640,7 @@ def _event_records(spark, folder) -> DataFrame:
     case when event_type = 'purchase' then '[true,{"deep":0.5}]' end as list from events where event_type <> 'error'""",
 )
 def spans_from_records(spark, folder):
-    spans, _ = normalize.split_valid(normalize.normalize_spans(sources.unwrap_envelopes(_event_records(spark, folder))))
+    spans, _ = normalize.split_valid(normalize.normalize_spans(sources.unwrap_envelopes(event_records(spark, folder))))
     attribute = lambda key: F.try_variant_get("attributes", f"$.{key}", "string")
     return spans.select(
         "trace_id", "span_id", "name", "kind", "status", F.unix_micros("start_time").alias("start_us"),
@@ -656,7 +656,7 @@ def spans_from_records(spark, folder):
         when 4 then 'attributes are invalid' else 'start time is invalid' end end as reason from events where event_type = 'error'""",
 )
 def quarantined_records(spark, folder):
-    raw = _event_records(spark, folder)
+    raw = event_records(spark, folder)
     _, rejected = normalize.split_valid(normalize.normalize_spans(sources.unwrap_envelopes(raw)))
     return sources.unparsed(raw).unionByName(rejected).select("row", "code", "reason")
 
@@ -668,5 +668,5 @@ def quarantined_records(spark, folder):
 )
 def detected_formats(spark, folder):
     types = table(spark, folder, "events").select(F.col("event_id").alias("row"), "event_type")
-    raw = _event_records(spark, folder).join(types, "row").withColumn("source", F.col("event_type"))
+    raw = event_records(spark, folder).join(types, "row").withColumn("source", F.col("event_type"))
     return sources.detect_format(raw)

@@ -33,7 +33,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; in local runs without one, a new temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -51,7 +52,7 @@ def materialize(df: DataFrame) -> DataFrame:
     survives the loss of an executor and keeps the plan of round n small.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,10 +14,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from spanledger.operators.digests import with_span_digest
-from spanledger.operators.normalize import SPAN_COLUMNS, normalize_spans
+from spanledger.operators.digests import tree_digest, with_span_digest
+from spanledger.operators.normalize import SPAN_COLUMNS, normalize_spans, split_valid
 from spanledger.operators.validate import conflicting_duplicates, drop_identical_duplicates
-from spanledger.sources.spans import document_digest, stream_span_lines, unwrap_envelopes
+from spanledger.sources.spans import document_digest, stream_span_lines, unparsed, unwrap_envelopes
 
 
 def stream_spans(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +28,11 @@ def stream_spans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dedup_stream(spans: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Identical spans pass once as long as copies arrive within ``delay``."""
+    """Identical spans pass once as long as copies arrive within ``delay``.
+
+    Its state is bounded, so rows behind the watermark do not pass; where none
+    may be missed, :func:`ingest_stream` keeps all and removes copies on reading.
+    """
     return spans.withWatermark("start_time", delay).dropDuplicatesWithinWatermark(
         ["trace_id", "span_id", "sha256"]
     )
@@ -82,7 +86,11 @@ def stream_conflicts(spans: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 
 def stream_trace_summary(spans: DataFrame, gap: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
-    """Trace summary per activity session; final once the watermark has passed it."""
+    """Trace summary per activity session; final once the watermark has passed it.
+
+    A live view with bounded state. :func:`trace_summaries` has one row for each
+    trace over all that was ingested, late rows included.
+    """
     sessions = spans.withWatermark("start_time", delay).groupBy(
         "trace_id", F.session_window("start_time", gap).alias("session")
     )
@@ -101,10 +109,10 @@ def stream_trace_summary(spans: DataFrame, gap: str = "10 minutes", delay: str =
 
 
 def source_log(spark: SparkSession, path: str, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Append one digest row per document; the batch id makes a replay visible."""
+    """One digest row per document; a replayed micro-batch replaces its own rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        document_digest(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(log_path)
+        document_digest(batch).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
     return (
         stream_span_lines(spark, path)
@@ -132,3 +140,55 @@ def current_spans(spark: SparkSession, table_path: str) -> tuple[DataFrame, Data
     return drop_identical_duplicates(table), conflicting_duplicates(table)
 
 
+def ingest_stream(spark: SparkSession, path: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Take in all files of a growing directory; nothing late or invalid is lost.
+
+    Every micro-batch writes its parsed records, its lines that are no JSON and
+    its digests to folders of its own, so a replay replaces them. The readers
+    below see finished folders only.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = f"batch_id={batch_id}"
+        normalize_spans(unwrap_envelopes(batch)).write.mode("overwrite").parquet(f"{store}/parsed/{own}")
+        unparsed(batch).write.mode("overwrite").parquet(f"{store}/unparsed/{own}")
+        document_digest(batch).write.mode("overwrite").parquet(f"{store}/log/{own}")
+
+    return (
+        stream_span_lines(spark, path)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def ingested_spans(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
+    """``(spans, conflicts)`` of a store: identical copies once, keys with differing records apart."""
+    parsed = spark.read.parquet(f"{store}/parsed").filter(F.size("issues") == 0).select(*SPAN_COLUMNS)
+    digested = with_span_digest(parsed)
+    return drop_identical_duplicates(digested), conflicting_duplicates(digested)
+
+
+def quarantined(spark: SparkSession, store: str) -> DataFrame:
+    """Records of a store that are no spans, with code and reason."""
+    _, rejected = split_valid(spark.read.parquet(f"{store}/parsed").drop("batch_id"))
+    return spark.read.parquet(f"{store}/unparsed").drop("batch_id").unionByName(rejected)
+
+
+def trace_summaries(spark: SparkSession, store: str) -> DataFrame:
+    """One row per trace over everything ingested."""
+    spans, _ = ingested_spans(spark, store)
+    return spans.groupBy("trace_id").agg(
+        F.count("*").alias("span_count"),
+        F.sum(F.size("events")).alias("event_count"),
+        F.count_if(F.col("parent_span_id").isNull()).alias("root_count"),
+        F.min("start_time").alias("first_start"),
+        F.max("start_time").alias("last_start"),
+    )
+
+
+def source_digests(spark: SparkSession, store: str) -> DataFrame:
+    """``(source, documents, digest)``: one digest per file over its documents' digests."""
+    log = spark.read.parquet(f"{store}/log").drop("batch_id")
+    return tree_digest(log, ["source"], "sha256").withColumnRenamed("items", "documents")

@@ -52,3 +52,24 @@ def test_stream_conflicts(spark, tmp_path):
     write(source, "a.jsonl", {**BASE, "span_id": "s1"}, {**BASE, "span_id": "s1"}, {**BASE, "span_id": "s1", "name": "other"})
     rows = run(streaming.stream_conflicts(streaming.stream_spans(spark, str(source))), "conflicts", spark)
     assert [(r.trace_id, r.span_id) for r in rows] == [("t-1", "s1")]
+
+
+def test_ingest_loses_nothing_and_replays_safely(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    late = {**BASE, "span_id": "s3", "start_time": "2020-01-01T00:00:00Z"}
+    write(source, "a.jsonl", {**BASE, "span_id": "s1"}, {**BASE, "span_id": "s1"}, {"span_id": "bad"}, {"spans": {}})
+    store = str(tmp_path / "store")
+    streaming.ingest_stream(spark, str(source), store, str(tmp_path / "c")).awaitTermination()
+    write(source, "b.jsonl", late, {**BASE, "span_id": "s2", "parent_span_id": "s1"})
+    (source / "c.jsonl").write_text("{oops\n")
+    streaming.ingest_stream(spark, str(source), store, str(tmp_path / "c")).awaitTermination()
+    spans, conflicts = streaming.ingested_spans(spark, store)
+    assert sorted(r.span_id for r in spans.collect()) == ["s1", "s2", "s3"] and conflicts.count() == 0
+    assert sorted(r.code for r in streaming.quarantined(spark, store).collect()) == ["invalid_json", "invalid_span", "invalid_span"]
+    assert [(r.trace_id, r.span_count, r.root_count) for r in streaming.trace_summaries(spark, store).collect()] == [("t-1", 3, 2)]
+    before = sorted(tuple(r) for r in streaming.source_digests(spark, store).collect())
+    assert [n for _, n, *_ in before] and len(before) == 3
+    # Everything again, as after a lost checkpoint: the same folders are written.
+    streaming.ingest_stream(spark, str(source), store, str(tmp_path / "c2")).awaitTermination()
+    assert sorted(r.span_id for r in streaming.ingested_spans(spark, store)[0].collect()) == ["s1", "s2", "s3"]
