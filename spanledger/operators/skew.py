@@ -1,4 +1,4 @@
-"""A lookup join that survives a key holding a large share of the left side."""
+"""A lookup join for sides whose keys may be hot."""
 
 from __future__ import annotations
 
@@ -6,48 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanledger.session import broadcast_if_small
 
-#: A key with more left rows than this is spread over several tasks.
-HOT_ROWS = 500_000
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 1) -> DataFrame:
+    """Equi join that reads each side once.
 
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    left_rows: int | None = None,
-) -> DataFrame:
-    """Equi join whose hot left keys are salted.
-
-    Keys are counted with map-side combine. A key with ``n`` left rows gets
-    ``n / hot_rows`` salts; only those keys are repeated on the right, so the
-    repetition costs at most ``left rows / hot_rows`` extra right rows. There
-    are at most that many hot keys too, and their broadcast is size-checked.
+    Adaptive execution, which :func:`spanledger.configure` sets up, splits a
+    partition of the left side that a hot key makes too large and reads the
+    matching right rows for each part; no keys are counted beforehand.
+    ``salts`` is for sessions without it: left rows get one of so many salts by
+    a hash of all their columns, and each right row is repeated for all of them.
     """
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > hot_rows)
-        .select(*on, F.ceil(F.col("n") / hot_rows).cast("int").alias("__salts"))
-    )
-    hot = broadcast_if_small(hot)
+    if salts <= 1:
+        return left.join(right, on, how)
     # A hash of the row, not a random number: a re-run task salts the same way.
-    spreading = [
-        f.name for f in left.schema.fields if f.name not in on and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)
-    ] or on
-    spread = left.join(hot, on, "left").withColumn(
-        "__salt",
-        F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*spreading), F.col("__salts")).cast("int")
-        ),
-    )
-    repeated = right.join(hot, on, "left").withColumn(
-        "__salt",
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)),
-    )
-    return spread.drop("__salts").join(
-        repeated.drop("__salts"), [*on, "__salt"], how
-    ).drop("__salt")
+    spreading = [f.name for f in left.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spreading), F.lit(salts)).cast("int"))
+    repeated = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")

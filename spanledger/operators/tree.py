@@ -40,7 +40,7 @@ class _Nodes:
         return self.rows.join(named, ["trace_id", "span_id"], "left_semi")
 
     def lookup(self, left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-        return lookup_join(left, right, on, how, left_rows=self.count)
+        return lookup_join(left, right, on, how)
 
 
 def _inner(nodes: _Nodes) -> DataFrame:
@@ -67,33 +67,34 @@ def _double(inner: DataFrame) -> tuple[DataFrame, DataFrame]:
     has left the tail of its path and stands on a cycle.
     """
     state = materialize(inner)
+    # Rows whose distance is known are written once and stay where they are.
+    closed = state.filter(F.col("anc").isNull())
+    state = state.filter(F.col("anc").isNotNull())
     jumps, previous = 1, None
     while True:
-        per_trace = state.filter(F.col("anc").isNotNull()).groupBy("trace_id").agg(F.count("*").alias("n"))
+        per_trace = state.groupBy("trace_id").agg(F.count("*").alias("n"))
         open_rows, longest = per_trace.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
         if open_rows == 0 or (open_rows == previous and jumps > longest):
             break
         previous = open_rows
-        step = state.select(
+        step = closed.unionByName(state).select(
             "trace_id",
             F.col("span_id").alias("anc"),
             F.col("anc").alias("next_anc"),
             F.col("dist").alias("next_dist"),
         )
-        closed = state.filter(F.col("anc").isNull())
-        moved = lookup_join(state.filter(F.col("anc").isNotNull()), step, ["trace_id", "anc"], left_rows=open_rows)
-        state = materialize(
-            closed.unionByName(
-                moved.select(
-                    "trace_id",
-                    "span_id",
-                    F.col("next_anc").alias("anc"),
-                    (F.col("dist") + F.coalesce("next_dist", F.lit(0))).alias("dist"),
-                )
+        moved = materialize(
+            lookup_join(state, step, ["trace_id", "anc"]).select(
+                "trace_id",
+                "span_id",
+                F.col("next_anc").alias("anc"),
+                (F.col("dist") + F.coalesce("next_dist", F.lit(0))).alias("dist"),
             )
         )
+        closed = closed.unionByName(moved.filter(F.col("anc").isNull()))
+        state = moved.filter(F.col("anc").isNotNull())
         jumps *= 2
-    return state.filter(F.col("anc").isNull()), state.filter(F.col("anc").isNotNull())
+    return closed, state
 
 
 def span_depths(spans: DataFrame) -> DataFrame:

@@ -209,10 +209,27 @@ def test_salted_lookup_equals_plain_join(spark):
     left = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     right = spark.range(1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     plain = {tuple(r) for r in left.join(right, "k", "left").collect()}
-    salted = lookup_join(left, right, ["k"], hot_rows=50)
+    salted = lookup_join(left, right, ["k"], salts=7)
     assert {tuple(r) for r in salted.collect()} == plain and salted.count() == 2000
 
 
+def test_lookup_with_a_key_that_holds_all_rows(spark):
+    # No broadcast, and partitions of a size that counts as skewed here.
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    for name, value in zip(saved, ("-1", "2k", "1k"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        left = spark.range(20_000).repartition(8).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+        right = spark.range(3).select(F.col("id").cast("int").alias("k"), F.col("id").alias("w"))
+        joined = lookup_join(left, right, ["k"])
+        assert joined.count() == 20_000 and joined.agg(F.min("w"), F.max("w")).first() == (1, 1)
+        scans = joined._jdf.queryExecution().sparkPlan().toString().count("Range (")
+        assert scans == 2
+    finally:
+        for name, value in saved.items():
+            spark.conf.set(name, value)
+
+
 def test_packs_are_written_and_verified(spark, tmp_path):
     made = spark.createDataFrame([("p1", "j1", '{"a":1}'), ("p2", "j2", '{"b":2}')], "pack_id string, job_id string, document string")
     made = made.withColumn("sha256", F.sha2("document", 256)).withColumn("size", F.octet_length("document"))
