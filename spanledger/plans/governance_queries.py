@@ -124,6 +124,24 @@ def verify_tampered_chains(spark, folder):
     return audit.verify_chains(tampered, _keys(spark, folder))
 
 
+@query(
+    "verify_late_receipts",
+    f"""with {_EVENTS} select job_id, cast(count(*) as bigint) as sequence, 'time' as failures from num
+    group by job_id having count(*) > 1 and min(created_at) < max(created_at)""",
+)
+def verify_late_receipts(spark, folder):
+    """The first event of each job is chained behind the later ones."""
+    events, _ = audit.prepare_events(_events(spark, folder))
+    keys = _keys(spark, folder)
+    firsts = events.groupBy("job_id").agg(F.min_by("receipt_id", F.struct("occurred_at", "receipt_id")).alias("receipt_id"))
+    late = events.join(firsts, ["job_id", "receipt_id"], "left_semi")
+    empty = spark.createDataFrame([], "job_id string, sequence bigint, receipt_hash string")
+    stored = materialize(audit.build_receipts(events.join(firsts, ["job_id", "receipt_id"], "left_anti"), empty, "building", keys))
+    chained = stored.unionByName(audit.build_receipts(late, stored, "building", keys))
+    rows = audit.verify_receipts(chained, keys).filter(F.size("failures") > 0)
+    return rows.select("job_id", "sequence", F.array_join("failures", ",").alias("failures"))
+
+
 @query(
     "verify_truncated_chains",
     f"""with {_EVENTS} select n.job_id, n.sequence, 'gap' as failures from num n

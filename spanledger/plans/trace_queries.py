@@ -264,12 +264,13 @@ _FOLD_KEY = "regexp_replace(lower(flag_key), '[^a-z0-9]+', '', 'g')"
     union all select trace_id, span_id, 'trace_id', 'traceid', trace_id from s
     union all select trace_id, span_id, 'span_id', 'spanid', span_id from s
     union all select trace_id, span_id, 'parent_span_id', 'parentspanid', parent_span_id from s where parent_span_id is not null
+    union all select trace_id, span_id, 'start_time', 'starttime', cast(ts as varchar) from s
     union all select trace_id, span_id, 'kind', 'kind', 'internal' from s
     union all select trace_id, span_id, 'status', 'status', 'ok' from s""",
 )
 def evt_leaves(spark, folder):
     rows = leaves.leaf_table(v.evt_spans(spark, folder))
-    return rows.filter("text is not null and path <> 'start_time'").select("trace_id", "span_id", "path", "last_key", "text")
+    return rows.filter("text is not null").select("trace_id", "span_id", "path", "last_key", "text")
 
 
 @query(
@@ -509,10 +510,18 @@ def evidence_rates(spark, folder):
 
 @query(
     "evaluation_invariants",
-    f"with s as ({CONV}), {_evaluation_sql()} select trace_id from ev where human_review_required <> (policy_action <> 'allow')",
+    f"with s as ({CONV}), {_evaluation_sql()} select trace_id from ev where trace_id like '%3' or trace_id like '%7'",
 )
 def evaluation_invariants(spark, folder):
-    return validate.evaluation_invariants(evaluate.evaluate_traces(v.conv_spans(spark, folder)))
+    """Evaluations of which two kinds were altered after the fact."""
+    ev = evaluate.evaluate_traces(v.conv_spans(spark, folder))
+    altered = ev.withColumn(
+        "injection_caught", F.when(F.col("trace_id").endswith("3"), ~F.col("injection_caught")).otherwise(F.col("injection_caught"))
+    ).withColumn(
+        "human_review_required",
+        F.when(F.col("trace_id").endswith("7"), ~F.col("human_review_required")).otherwise(F.col("human_review_required")),
+    )
+    return validate.evaluation_invariants(altered)
 
 
 @query(
