@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanledger.functions import rules
 from spanledger.functions import variants as V
 from spanledger.operators.skew import lookup_join
-from spanledger.session import broadcast_if_small, hold
+from spanledger.session import broadcast_if_small, fits_broadcast, hold
 from spanledger.sources.tables import _values_of, folded_entries
 
 MONEY = "decimal(38,12)"
@@ -236,10 +236,8 @@ def priced(usage: DataFrame, rate_cards: DataFrame, default_model: str | None =
 
 
 def lookup_or_broadcast(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Broadcast the right side when it is counted small, else a salted join."""
-    from spanledger.session import BROADCAST_ROWS
-
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Broadcast the right side when it is measured as small, else a lookup join."""
+    if fits_broadcast(right):
         return left.join(F.broadcast(right), on, "left")
     return lookup_join(left, right, on)
 

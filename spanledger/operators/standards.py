@@ -14,14 +14,14 @@ from spanledger.functions.text import (
     looks_like_article,
 )
 from spanledger.operators.skew import lookup_join
-from spanledger.session import BROADCAST_ROWS, materialize
+from spanledger.session import fits_broadcast, materialize
 
 Tables = dict[str, DataFrame]
 
 
 def _join_dimension(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Facts to a catalog table: broadcast when counted small, salted shuffle join beyond."""
-    if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Facts to a catalog table: broadcast when measured as small, a lookup join beyond."""
+    if fits_broadcast(dimension):
         return facts.join(F.broadcast(dimension), on, how)
     return lookup_join(facts, dimension, on, how)
 

@@ -11,7 +11,7 @@ from spanledger.operators import audit, digests, evaluate, governance, jobs, pac
 from spanledger.plans import views as v
 from spanledger.plans.registry import plain, query, table, view
 from spanledger.plans.trace_queries import _evaluation_sql, _verdicts, _VERDICTS, CONV
-from spanledger.session import materialize
+from spanledger.session import broadcast_if_small, materialize
 from spanledger.sources.tables import review_problem_counts
 
 JOBS = plain(v.JOBS)
@@ -287,7 +287,7 @@ def _signed_reviews(spark, folder) -> DataFrame:
     message = governance.review_message()
     right = base64url(hmac_sha256(F.col("ik"), F.col("ok"), message))
     wrong = base64url(hmac_sha256(F.col("ok"), F.col("ik"), message))
-    return good.join(F.broadcast(keys), "signing_key_id").withColumn(
+    return good.join(broadcast_if_small(keys), "signing_key_id").withColumn(
         "signature", F.when(F.col("priority") == "5-LOW", wrong).otherwise(right)
     ).drop("ik", "ok")
 

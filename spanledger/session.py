@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A broadcast side may hold at most this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A broadcast side may hold at most this much; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _SETTINGS = {
     # Timestamps without a zone mean UTC.
@@ -59,15 +59,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` stays under ``max_rows``.
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether ``df`` has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes as JSON text.
 
-    The count stops at ``max_rows + 1`` rows. Larger sides are returned without
-    a hint, so the join shuffles.
+    The measurement stops one row beyond the limit.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    width = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    row = df.limit(BROADCAST_ROWS + 1).select(width.alias("width")).agg(F.count("*").alias("n"), F.sum("width").alias("bytes")).first()
+    return row["n"] <= BROADCAST_ROWS and (row["bytes"] or 0) <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast only for a side measured as small; larger ones shuffle."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def hold(df: DataFrame) -> DataFrame:

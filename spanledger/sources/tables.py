@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanledger.functions import rules
 from spanledger.functions import variants as V
 from spanledger.session import hold
-from spanledger.functions.text import annex_number, article_number, designation, feature_token
+from spanledger.functions.text import annex_number, article_number, feature_token
 
 _CATALOG_SCHEMA = """
     catalog_id string, schema_version string, title string, constitutional_rule string,
@@ -306,7 +306,3 @@ def review_problem_counts(reviews: DataFrame) -> DataFrame:
     return (
         bad.select(F.explode(F.split("reason", "; ")).alias("problem")).groupBy("problem").agg(F.count("*").alias("reviews"))
     )
-
-
-def normalized_designation(c: Column) -> Column:
-    return F.lower(designation(c))
