@@ -457,8 +457,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = found.filter(F.col("state") == WHOLE).select("text", "first", "last")
     part = found.filter(F.col("state") == SHARED).select("text", "key", "first", "last")
     hot = part.groupBy("key").agg((F.count("*") > _HOT).alias("hot"))
-    runs = part.join(hot, "key").groupBy("text").agg(F.collect_list(F.struct("key", "first", "last", "hot")).alias("runs"))
-    cut = materialize(long.join(runs, "text").mapInArrow(_cut_runs(buckets), _PIECE))
+    marked = materialize(part.join(hot, "key"))
+    # Windows of hot anchors are many more than anchors, so their index has buckets of its own.
+    many = marked.filter("hot").agg(F.sum(F.col("last").cast("long") + 1)).first()[0] or 0
+    window_buckets = max(1, math.ceil(many / BUCKET_ENTRIES))
+    runs = marked.groupBy("text").agg(F.collect_list(F.struct("key", "first", "last", "hot")).alias("runs"))
+    cut = materialize(long.join(runs, "text").mapInArrow(_cut_runs(window_buckets), _PIECE))
     plain = cut.filter(F.col("content").isNotNull()).select("key", "text", "first", "content")
     compared = plain.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_runs, "text long, first long, last int")
     windows = cut.filter(F.col("blob").isNotNull()).select("bucket", "level", "blob")
