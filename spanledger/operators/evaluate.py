@@ -482,6 +482,40 @@ def injection_evidence(spans: DataFrame) -> DataFrame:
     )
 
 
+def disclosure_evidence(spans: DataFrame) -> DataFrame:
+    """Where a disclosure stands: ``(trace_id, span_id, source, text_sha256, excerpt)``.
+
+    ``source`` is ``text`` for an output that discloses and ``flag`` for a
+    disclosure flag that is true.
+    """
+    signals = leaf_signals(spans, ["trace_id", "span_id"])
+    source = F.when(F.col("discloses"), "text").when(F.col("is_disclosure") & F.col("flag"), "flag")
+    return (
+        signals.withColumn("source", source)
+        .filter("source is not null")
+        .select("trace_id", "span_id", "source", F.sha2("text", 256).alias("text_sha256"), clean_text(F.col("text"), 180).alias("excerpt"))
+        .distinct()
+    )
+
+
+def finding_evidence(spans: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """Evidence behind findings: ``(trace_id, code, span_id, text_sha256, evidence)``.
+
+    Injection findings list all injection evidence, disclosure findings all
+    places that disclose. Other findings follow from the verdict columns alone.
+    """
+    found = evaluations.select("trace_id", "injection_detected", "disclosure_present")
+    injection = injection_evidence(spans).select(
+        "trace_id", F.lit("INJECTION_INTERCEPTED").alias("code"), "span_id", "text_sha256", "evidence"
+    )
+    disclosure = disclosure_evidence(spans).select(
+        "trace_id", F.lit("DISCLOSURE_PRESENT").alias("code"), "span_id", "text_sha256", F.col("excerpt").alias("evidence")
+    )
+    rows = injection.unionByName(disclosure).join(found, "trace_id")
+    holds = F.when(F.col("code") == "INJECTION_INTERCEPTED", F.col("injection_detected")).otherwise(F.col("disclosure_present"))
+    return rows.filter(holds).drop("injection_detected", "disclosure_present")
+
+
 # --- reports -----------------------------------------------------------------
 
 

@@ -538,6 +538,30 @@ def conv_injection_evidence(spark, folder):
     return rows.select("trace_id", F.substring_index("evidence", ": ", 1).alias("code"), "text_sha256", "turn")
 
 
+@query(
+    "conv_disclosure_evidence",
+    f"""with s as ({CONV}) select distinct trace_id, span_id, 'text' as source, sha256(output_value) as text_sha256 from s where {_discloses('output_value')}
+    union all select distinct trace_id, span_id, 'flag', sha256(disclosure_flag) from s where disclosure_flag = 'yes'""",
+)
+def conv_disclosure_evidence(spark, folder):
+    return evaluate.disclosure_evidence(v.conv_spans(spark, folder)).drop("excerpt")
+
+
+@query(
+    "conv_finding_evidence",
+    f"""with s as ({CONV}), {_evaluation_sql()}, h as ({_hit_rows('s', 'trace_id, span_id, turn', 'input_value')}),
+    i as (select trace_id, code, sha256(text) as text_sha256, arg_min(span_id, turn) as span_id from h group by all
+      union all select trace_id, 'label', sha256(classification), arg_min(span_id, turn) from s where classification = 'Prompt-injection attempt' group by all),
+    d as (select distinct trace_id, span_id, sha256(output_value) as text_sha256, 'text' as source from s where {_discloses('output_value')}
+      union all select distinct trace_id, span_id, sha256(disclosure_flag), 'flag' from s where disclosure_flag = 'yes')
+    select trace_id, 'INJECTION_INTERCEPTED' as code, span_id, text_sha256 from i join ev using (trace_id) where injection_detected
+    union all select trace_id, 'DISCLOSURE_PRESENT', span_id, text_sha256 from d join ev using (trace_id) where disclosure_present""",
+)
+def conv_finding_evidence(spark, folder):
+    spans = v.conv_spans(spark, folder)
+    return evaluate.finding_evidence(spans, evaluate.evaluate_traces(spans)).drop("evidence")
+
+
 @query("conv_judge_inputs")
 def conv_judge_inputs(spark, folder):
     rows = evaluate.judge_inputs(v.conv_spans(spark, folder))
