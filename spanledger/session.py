@@ -24,6 +24,8 @@ _SETTINGS = {
     # A hot key is split even where that costs a later shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # Python workers hold whole texts; small batches bound what they hold at once.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
