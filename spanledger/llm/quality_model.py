@@ -16,6 +16,8 @@ from spanledger.llm.common import hash_bits, key_text
 #: Most labelled rows that a model is fitted on; those with the smallest id hashes.
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.7
+#: Bytes whose features are held at once.
+_PIECE = 1 << 18
 _DIGITS = np.arange(256, dtype=np.uint8)
 _DIGITS[ord("0") : ord("9") + 1] = ord("0")
 _SAME = np.uint64(0x5851F42D4C957F2D)
@@ -63,7 +65,7 @@ def _per_text(texts: list[str | None], settings: Settings) -> list[tuple[np.ndar
     column = pa.array(texts, pa.string())
     data, offsets = utf8(column)
     out = []
-    for start, end in pieces(offsets):
+    for start, end in pieces(offsets, _PIECE):
         part = offsets[start : end + 1]
         found, owner = features(data[part[0] : part[-1]], part - part[0], settings)
         order = np.argsort(owner, kind="stable")
@@ -131,7 +133,7 @@ def score_batch(column: pa.Array, weights: np.ndarray, bias: float, settings: Se
     """Probability of class 1 for each text; a text without features gets the bias alone."""
     data, offsets = utf8(column)
     out = np.full(len(column), bias)
-    for start, end in pieces(offsets):
+    for start, end in pieces(offsets, _PIECE):
         part = offsets[start : end + 1]
         found, owner = features(data[part[0] : part[-1]], part - part[0], settings)
         total = np.bincount(owner, weights[found], minlength=end - start)
