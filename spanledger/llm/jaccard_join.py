@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,15 @@ FREQUENT = 1 << 16
 TASK_SHINGLES = 4_000_000
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 #: Shingles that a task holds before it works on them.
-_COUNTED = 2_000_000
+_COUNTED = 1_000_000
 #: Prefix shingles of a mean text, and of a bucket in which they meet.
 _POSTINGS, _BUCKET = 100, 400_000
+#: Entries of short lists that are merged with a heap.
+_HEAPED = 2000
+#: Members from which a cluster keeps places.
+_LARGE = 16
+#: Most parts into which a bucket's counts are dealt by node.
+_CREDIT_BUCKETS = 1024
 
 
 # Shingle sets
@@ -149,6 +157,7 @@ def _prefix(own: np.ndarray, frequent: np.ndarray, texts: np.ndarray) -> np.ndar
 _SEGMENT = np.dtype([("shingle", "<i8"), ("low_node", "<i8"), ("high_node", "<i8"), ("low", "<i4"), ("high", "<i4")])
 _SINGLE = np.dtype([("shingle", "<i8"), ("node", "<i4")])
 _NODE = np.dtype([("node", "<i8"), ("n", "<i4")])
+_CREDIT = np.dtype([("node", "<i8"), ("n", "<i4"), ("met", "<i4")])
 
 
 def _groups(shingle: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -263,16 +272,54 @@ def _rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     )
 
 
-def _meeting_rows(schema: pa.Schema, meetings, edges: bool) -> Iterator[pa.RecordBatch]:
-    """Edges, or how many prefix shingles of each node meet."""
+def _meeting_rows(schema: pa.Schema, meetings, edges: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Edges, or how many prefix shingles of each node meet, packed by a hash of the node."""
     if edges:
         pairs = meetings.edges()
         if len(pairs):
             yield _rows(schema, {"node": pairs[:, 0], "other": pairs[:, 1]})
-    else:
-        nodes, sizes, counts = meetings.credits()
-        if len(nodes):
-            yield _rows(schema, {"node": nodes, "n": sizes, "met": counts.astype(np.int32)})
+        return
+    nodes, sizes, counts = meetings.credits()
+    found = np.zeros(len(nodes), _CREDIT)
+    found["node"], found["n"], found["met"] = nodes, sizes, counts
+    bucket = (nodes.astype(np.int64).view(np.uint64) >> np.uint64(20)) % np.uint64(min(buckets, _CREDIT_BUCKETS))
+    order = np.argsort(bucket, kind="stable")
+    own, cuts = np.unique(bucket[order], return_index=True)
+    blobs = [part.tobytes() for part in np.split(found[order], cuts[1:])] if len(own) else []
+    if blobs:
+        yield _rows(schema, {"bucket": own.astype(np.int32), "met": np.ones(len(own), np.int32), "blob": blobs})
+
+
+def _add_credits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts, sorted by bucket, to the nodes that meet often enough to have a partner."""
+
+    def summed(held: list[np.ndarray]) -> np.ndarray:
+        found = np.concatenate(held)
+        nodes, at, place = np.unique(found["node"], return_index=True, return_inverse=True)
+        out = found[at]
+        out["met"] = np.minimum(np.bincount(place, found["met"], minlength=len(nodes)), 1 << 30)
+        return out
+
+    def able(held: list[np.ndarray]) -> pa.RecordBatch:
+        found = summed(held)
+        found = found[found["met"] >= np.maximum(1, found["n"] // 10)]
+        return pa.RecordBatch.from_arrays([pa.array(found["node"]), pa.array(found["n"])], ["node", "n"])
+
+    bucket, held, size = None, [], 0
+    for batch in rows:
+        for now, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            if now != bucket:
+                if held:
+                    yield able(held)
+                bucket, held, size = now, [], 0
+            held.append(np.frombuffer(blob, _CREDIT))
+            size += len(held[-1])
+            if size > _COUNTED:
+                # Nodes of a bucket are few; their counts are many.
+                held = [summed(held)]
+                size = 0
+    if held:
+        yield able(held)
 
 
 def _scan(shared, schema: pa.Schema, buckets: int, edges: bool):
@@ -285,7 +332,7 @@ def _scan(shared, schema: pa.Schema, buckets: int, edges: bool):
 
         def flushed() -> Iterator[pa.RecordBatch]:
             meetings = _Meetings(held)
-            yield from _meeting_rows(schema, meetings, edges)
+            yield from _meeting_rows(schema, meetings, edges, buckets)
             for bucket, blob in meetings.blobs(buckets):
                 yield _rows(schema, {"bucket": [bucket], "blob": [blob]})
 
@@ -343,24 +390,25 @@ class _Joined:
         return pairs[pairs[:, 0] != pairs[:, 1]]
 
 
-def _join_blobs(schema: pa.Schema, edges: bool):
+def _join_blobs(schema: pa.Schema, edges: bool, buckets: int):
     """Rows sorted by bucket: blobs to their meetings; other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            plain = batch.filter(batch.column("bucket").is_null())
+            is_blob = pc.and_(batch.column("bucket").is_valid(), batch.column("met").is_null())
+            plain = batch.filter(pc.invert(is_blob))
             if plain.num_rows:
                 yield plain
-            blobs = batch.filter(batch.column("bucket").is_valid())
+            blobs = batch.filter(is_blob)
             for now, blob in zip(blobs.column("bucket").to_pylist(), blobs.column("blob").to_pylist(), strict=True):
                 if now != bucket:
                     if held:
-                        yield from _meeting_rows(schema, _Joined(held), edges)
+                        yield from _meeting_rows(schema, _Joined(held), edges, buckets)
                     bucket, held = now, []
                 held.append(blob)
         if held:
-            yield from _meeting_rows(schema, _Joined(held), edges)
+            yield from _meeting_rows(schema, _Joined(held), edges, buckets)
 
     return run
 
@@ -373,45 +421,43 @@ def _meet(texts: DataFrame, shared, rows: int, edges: bool) -> DataFrame:
     buckets = max(1, math.ceil(rows * _POSTINGS / _BUCKET))
     scanned = texts.mapInArrow(_scan(shared, schema, buckets, edges), kind)
     dealt = scanned.repartition(F.coalesce("bucket", F.xxhash64("id", "node", "check"))).sortWithinPartitions("bucket")
-    return materialize(dealt.mapInArrow(_join_blobs(schema, edges), kind))
+    return materialize(dealt.mapInArrow(_join_blobs(schema, edges, buckets), kind))
 
 
 # Search
 
 
-def divide_skip(lists: list[list[int]], least: int) -> list[int]:
-    """Numbers that occur in at least ``least`` of the sorted lists.
+def divide_skip(lists: list, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts) of what occurs in at least ``least`` of the sorted integer arrays.
 
-    The longest lists are set aside; the others are merged with a heap. What
-    occurs often enough there is looked up in the long ones by binary search.
+    The longest lists are set aside. The short ones are merged with a heap, or
+    counted at once where they hold many entries; what occurs often enough there
+    is looked up in the long lists by binary search, all candidates together.
     """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(lists) < least or least < 1:
-        return []
+        return none
     lists = sorted(lists, key=len, reverse=True)
-    longest = len(lists[0])
-    aside = min(least - 1, int(least / (0.0085 * math.log2(longest + 1) + 1)))
+    aside = min(least - 1, int(least / (0.0085 * math.log2(len(lists[0]) + 1) + 1)))
     long, short = lists[:aside], lists[aside:]
-    out = []
-    count, current = 0, None
-
-    def probe(number: int, count: int) -> bool:
-        for i, own in enumerate(long):
-            if count >= least or count + len(long) - i < least:
-                break
-            at = bisect_left(own, number)
-            count += at < len(own) and own[at] == number
-        return count >= least
-
-    for number in heapq.merge(*short):
-        if number == current:
-            count += 1
-            continue
-        if current is not None and count >= least - aside and probe(current, count):
-            out.append(current)
-        current, count = number, 1
-    if current is not None and count >= least - aside and probe(current, count):
-        out.append(current)
-    return out
+    if sum(map(len, short)) <= _HEAPED:
+        numbers, counts = [], []
+        for number, group in groupby(heapq.merge(*short)):
+            numbers.append(number)
+            counts.append(sum(1 for _ in group))
+        numbers, counts = np.array(numbers, np.int64), np.array(counts, np.int64)
+    else:
+        numbers, counts = np.unique(np.concatenate([np.frombuffer(own, np.int32) for own in short]), return_counts=True)
+    for left, own in zip(range(len(long), 0, -1), long, strict=True):
+        possible = counts + left >= least
+        numbers, counts = numbers[possible], counts[possible]
+        if not len(numbers):
+            return none
+        values = np.frombuffer(own, np.int32)
+        at = np.minimum(np.searchsorted(values, numbers), len(values) - 1)
+        counts = counts + (values[at] == numbers)
+    enough = counts >= least
+    return numbers[enough], counts[enough]
 
 
 class Linker:
@@ -424,9 +470,11 @@ class Linker:
     """
 
     def __init__(self) -> None:
-        self.lists: dict[int, list[int]] = {}
+        self.lists: dict[int, array] = {}
         self.members: list[list[tuple[np.ndarray, object]]] = []
         self.parent: list[int] = []
+        # Of large clusters: by shingle the places of the members that hold it.
+        self.places: dict[int, dict[int, array]] = {}
 
     def root(self, cluster: int) -> int:
         while self.parent[cluster] != cluster:
@@ -434,36 +482,72 @@ class Linker:
             cluster = self.parent[cluster]
         return cluster
 
+    def _note(self, cluster: int, values: list[int]) -> None:
+        """Keep the places of a cluster's members once it is large."""
+        members = self.members[cluster]
+        if len(members) < _LARGE:
+            return
+        if cluster not in self.places:
+            self.places[cluster] = {}
+            for at, (own, _) in enumerate(members[:-1]):
+                for v in own.tolist():
+                    self.places[cluster].setdefault(v, array("i")).append(at)
+        places = self.places[cluster]
+        for v in values:
+            places.setdefault(v, array("i")).append(len(members) - 1)
+
+    def _partner(self, cluster: int, own: np.ndarray, values: list[int]) -> int | None:
+        """Place of a member that links, the last ones first; members stand in order of size."""
+        members, n = self.members[cluster], len(own)
+        first = len(members)
+        while first and len(members) - first < _LARGE:
+            other = members[first - 1][0]
+            if not _compatible(len(other), n):
+                return None
+            at = np.minimum(np.searchsorted(own, other), n - 1)
+            if linked(int((own[at] == other).sum()), n, len(other)):
+                return first - 1
+            first -= 1
+        if not first:
+            return None
+        # All others at once: how many of the shingles each of them holds.
+        places = self.places[cluster]
+        lists = [np.frombuffer(places[v], np.int32) for v in values if v in places]
+        common = np.bincount(np.concatenate(lists), minlength=len(members)) if lists else np.zeros(len(members), np.int64)
+        sizes = np.array([len(o) for o, _ in members])
+        hits = np.flatnonzero(100 * common >= PERCENT * (n + sizes - common))
+        return int(hits[-1]) if len(hits) else None
+
     def add(self, own: np.ndarray, name: object) -> list[object]:
         """Link a set, not smaller than those before; returns a linked name of each cluster it joins."""
         n = len(own)
         values = own.tolist()
         lists = [found for v in values if (found := self.lists.get(v))]
         home, partners = None, []
-        for cluster in divide_skip(lists, least_overlap(n)):
+        for cluster, common in zip(*(x.tolist() for x in divide_skip(lists, least_overlap(n))), strict=True):
             if home is not None and self.root(cluster) == self.root(home):
                 continue
-            for other, other_name in reversed(self.members[cluster]):
-                m = len(other)
-                if not _compatible(m, n):
-                    break
-                at = np.minimum(np.searchsorted(own, other), n - 1)
-                if linked(int((own[at] == other).sum()), n, m):
-                    partners.append(other_name)
-                    if home is None:
-                        home = cluster
-                    else:
-                        self.parent[self.root(cluster)] = self.root(home)
-                    break
+            if len(self.members[cluster]) == 1:
+                # The count is the exact overlap with its only set.
+                found = 0 if linked(common, n, len(self.members[cluster][0][0])) else None
+            else:
+                found = self._partner(cluster, own, values)
+            if found is not None:
+                partners.append(self.members[cluster][found][1])
+                if home is None:
+                    home = cluster
+                else:
+                    self.parent[self.root(cluster)] = self.root(home)
         if home is None:
             home = len(self.members)
             self.members.append([])
             self.parent.append(home)
         self.members[home].append((own, name))
+        self._note(home, values)
         for v in values:
             found = self.lists.get(v)
             if found is None:
-                self.lists[v] = [home]
+                self.lists[v] = array("i", [home])
             elif found[-1] != home:
                 at = bisect_left(found, home)
                 if at == len(found) or found[at] != home:
@@ -527,10 +611,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spark.sparkContext.broadcast(frequent_shingles(texts.select("text")))
     found = _meet(texts, shared, docs.count(), edges=False)
     rows = found.filter(F.col("check").isNotNull()).select("id", "check", "n", "digest", "node")
-    enough = F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("n") / 10))
-    able = (
-        found.filter(F.col("met").isNotNull()).groupBy("node").agg(F.max("n").alias("n"), F.sum("met").alias("met")).filter(enough).select("node", "n")
-    )
+    credits = found.filter(F.col("met").isNotNull()).select("bucket", "blob")
+    able = credits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_add_credits, "node long, n int")
     # One row of each node brings its text along.
     chosen = (
         rows.filter(F.col("digest").isNotNull())

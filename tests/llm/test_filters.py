@@ -2,8 +2,10 @@
 
 import collections
 import random
+from array import array
 
 import numpy as np
+import pytest
 from tests.llm.helpers import WORD, clashing, corpus, lowered, table, words
 
 from spanledger.llm import jaccard_join, line_dedup, quality_rules
@@ -189,13 +191,17 @@ def test_frequent_shingles_change_nothing(spark):
     assert collections.Counter((r.id, r.n_shingles, r.component_id) for r in found.collect()) == plain_groups(rows)
 
 
-def test_divide_skip():
+@pytest.mark.parametrize("heaped", [0, 2000])
+def test_divide_skip(monkeypatch, heaped):
+    monkeypatch.setattr(jaccard_join, "_HEAPED", heaped)
     rng = random.Random(14)
     for _ in range(300):
         lists = [sorted(rng.sample(range(30), rng.randint(1, 20))) for _ in range(rng.randint(1, 12))]
         least = rng.randint(1, 12)
         counts = collections.Counter(x for own in lists for x in own)
-        assert jaccard_join.divide_skip(lists, least) == sorted(x for x, n in counts.items() if n >= least)
+        numbers, found = jaccard_join.divide_skip([array("i", own) for own in lists], least)
+        expected = sorted((x, n) for x, n in counts.items() if n >= least)
+        assert list(zip(numbers.tolist(), found.tolist(), strict=True)) == expected
 
 
 def test_near_dedup_keeps_one_of_each_group(spark):
