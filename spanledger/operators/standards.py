@@ -289,26 +289,38 @@ def _article_pairs(tables: Tables) -> DataFrame:
     )
 
 
+def _article_score(matched: Column, size: Column) -> Column:
+    score = F.least(
+        F.lit(1.0),
+        F.lit(0.35) + F.lit(0.55) * matched / F.greatest(F.lit(1), size) + F.when(matched > 0, 0.10).otherwise(0.0),
+    )
+    return F.round(score, 6)
+
+
 def article_base(tables: Tables) -> DataFrame:
-    """Catalog side of the pack-time rule: what every subject gets, ``(article, standard_id, ord, given, size)``.
+    """Catalog side of the pack-time rule: what every subject gets, ``(article, standard_id, ord, given, size, score)``.
 
-    A subject without own matches has these standards with the score of
-    ``given`` matches out of ``size``; it is not repeated per subject.
+    A subject has these standards with the score of ``given`` matches out of
+    ``size``, where :func:`article_standard_scores` does not give it a higher
+    one; they are not repeated per subject.
     """
     base = _article_pairs(tables).groupBy("article", "standard_id").agg(
         F.sum(F.coalesce("given", F.lit(0))).alias("given"), F.count("*").alias("size")
     )
-    return base.join(tables["standards"].select("standard_id", "ord"), "standard_id")
+    return base.join(tables["standards"].select("standard_id", "ord"), "standard_id").withColumn(
+        "score", _article_score(F.col("given"), F.col("size"))
+    )
 
 
-def article_standard_scores(tokens: DataFrame, tables: Tables, k: int = 3) -> DataFrame:
-    """Pack-time rule (STD-06): the best ``k`` standards of an article by a subject's exact tokens.
+def article_standard_scores(tokens: DataFrame, tables: Tables) -> DataFrame:
+    """Pack-time rule (STD-06): every standard of an article that a subject's own tokens match.
 
-    Only standards with a match of the subject's own are listed; all others have
-    the score of :func:`article_base`, which is the same for every subject.
+    ``(subject, article, standard_id, ord, own_features, matched_features, score)``,
+    without a limit. Together with :func:`article_base`, which has the score of
+    all other standards, the scores of a subject are complete.
     """
     c = F.col
-    pairs, base = _article_pairs(tables), article_base(tables)
+    pairs, base = _article_pairs(tables), article_base(tables).drop("score")
     extra = pairs.filter("given is null").select("article", "standard_id", "characteristic")
     hits = (
         _join_dimension(tokens.select("subject", c("token").alias("characteristic")).distinct(), extra, ["characteristic"])
@@ -317,15 +329,42 @@ def article_standard_scores(tokens: DataFrame, tables: Tables, k: int = 3) -> Da
     )
     joined = _join_dimension(hits, base, ["article", "standard_id"])
     matched = c("given") + c("own")
-    score = F.least(
-        F.lit(1.0),
-        F.lit(0.35) + F.lit(0.55) * matched / F.greatest(F.lit(1), c("size")) + F.when(matched > 0, 0.10).otherwise(0.0),
+    return joined.select(
+        "subject",
+        "article",
+        "standard_id",
+        "ord",
+        c("own").alias("own_features"),
+        matched.alias("matched_features"),
+        _article_score(matched, c("size")).alias("score"),
+    )
+
+
+def top_article_standards(tokens: DataFrame, tables: Tables, k: int = 3) -> DataFrame:
+    """Best ``k`` standards of each article for every subject: score descending, then catalog order.
+
+    An own match never lowers a score, so no standard beyond the ``k`` best of
+    :func:`article_base` gets among the best of a subject without own matches.
+    Only those ``k`` are merged with a subject's own scores.
+    """
+    tokens = materialize(tokens)
+    order = [F.desc("score"), F.col("ord")]
+    best = (
+        article_base(tables)
+        .withColumn("n", F.row_number().over(Window.partitionBy("article").orderBy(*order)))
+        .filter(F.col("n") <= k)
+        .select("article", "standard_id", "ord", F.lit(0).cast("long").alias("own_features"), F.col("given").cast("long").alias("matched_features"), "score")
     )
-    scored = joined.select(
-        "subject", "article", "standard_id", "ord", matched.alias("matched_features"), F.round(score, 6).alias("score")
+    # At most k rows for each of the articles.
+    base = tokens.select("subject").distinct().crossJoin(F.broadcast(best))
+    merged = (
+        article_standard_scores(tokens, tables)
+        .unionByName(base)
+        .groupBy("subject", "article", "standard_id", "ord")
+        .agg(*(F.max(name).alias(name) for name in ("own_features", "matched_features", "score")))
     )
-    order = Window.partitionBy("subject", "article").orderBy(F.desc("score"), "ord")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= k)
+    ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("subject", "article").orderBy(*order)))
+    return ranked.filter(F.col("rank") <= k)
 
 
 def annex_checklist(tables: Tables) -> DataFrame:

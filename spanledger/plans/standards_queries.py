@@ -247,8 +247,38 @@ ascores as (select s.subject, b.article, b.standard_id, coalesce(k, 0) as k, rou
     select subject, 'Article ' || cast(article as string) as article, standard_id, k as matched_features, score, cast(n as integer) as rank from o where n <= 3""",
 )
 def article_standard_scores(spark, folder):
+    # No part name is a fixed feature, so a standard with own matches is before all others.
+    best = standards.top_article_standards(_tokens(spark, folder), _tables(spark, folder), 3).filter("own_features > 0")
+    return best.select("subject", "article", "standard_id", "matched_features", "score", "rank")
+
+
+@query(
+    "article_own_scores",
+    f"""with {_CATALOG}, {_TOKENS}, {_ARTICLE_SCORES} select subject, 'Article ' || cast(article as string) as article, standard_id, k as matched_features, score
+    from ascores where k > 0""",
+)
+def article_own_scores(spark, folder):
     scores = standards.article_standard_scores(_tokens(spark, folder), _tables(spark, folder))
-    return scores.select("subject", "article", "standard_id", "matched_features", "score", "rank")
+    return scores.select("subject", "article", "standard_id", "matched_features", "score")
+
+
+@query(
+    "article_top_standards",
+    f"""with {_CATALOG}, {_TOKENS}, {_ARTICLE_SCORES}, o as (select a.*, row_number() over (partition by subject, article order by score desc, ord) as n
+      from ascores a join (select distinct standard_id, ord from cat) using (standard_id))
+    select subject, 'Article ' || cast(article as string) as article, standard_id, k as matched_features, score, cast(n as integer) as rank from o where n <= 3""",
+)
+def article_top_standards(spark, folder):
+    best = standards.top_article_standards(_tokens(spark, folder), _tables(spark, folder), 3)
+    return best.select("subject", "article", "standard_id", "matched_features", "score", "rank")
+
+
+@query(
+    "article_base_values",
+    f"""with {_CATALOG} select distinct 'Article ' || cast(article as string) as article, standard_id, 0.35::double as score from arts""",
+)
+def article_base_values(spark, folder):
+    return standards.article_base(_tables(spark, folder)).select("article", "standard_id", "score")
 
 
 @query(
