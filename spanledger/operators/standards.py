@@ -179,28 +179,42 @@ def _phrase_matches(features: DataFrame, phrases: DataFrame) -> DataFrame:
     return exact.union(overlap.select("subject", "phrase")).distinct()
 
 
-def match_standards(tokens: DataFrame, tables: Tables, minimum_score: float = 0.0) -> DataFrame:
-    """Score of every standard that shares something with a subject (STD-04).
-
-    The tokens are read by several branches, so they are written once.
-    """
-    c = F.col
-    tokens = materialize(tokens)
-    features, articles, annex = subject_inputs(tokens)
+def _parts(inputs: tuple[DataFrame, DataFrame, DataFrame], tables: Tables) -> DataFrame:
+    features, articles, annex = inputs
     phrases = tables["characteristics"].union(tables["evidence_characteristics"])
     matched = _phrase_matches(features, phrases)
 
     def hits(table: str, on: str, facts: DataFrame, name: str) -> DataFrame:
-        # Matched characteristics become one row each; counts follow below.
+        # Matched characteristics become one row each; counts follow later.
         dimension = tables[table].withColumnRenamed("characteristic", "phrase") if on == "phrase" else tables[table]
-        return _join_dimension(facts, dimension, [on]).select("subject", "standard_id", F.lit(name).alias("part"))
+        return _join_dimension(facts, dimension, [on]).select("subject", "standard_id", F.lit(name).alias("part"), F.col(on).alias("value"))
 
-    parts = (
+    return (
         hits("characteristics", "phrase", matched, "characteristic")
         .unionAll(hits("evidence_characteristics", "phrase", matched, "evidence"))
         .unionAll(hits("articles", "article", articles, "article"))
         .unionAll(hits("annex", "annex", annex, "annex"))
     )
+
+
+def matched_parts(tokens: DataFrame, tables: Tables) -> DataFrame:
+    """What of a standard a subject matches: distinct ``(subject, standard_id, part, value)`` (SET-04).
+
+    ``part`` is characteristic, evidence, article or annex. The matched features
+    of a standard are the distinct values of all four.
+    """
+    return _parts(subject_inputs(materialize(tokens)), tables).distinct()
+
+
+def match_standards(tokens: DataFrame, tables: Tables, minimum_score: float = 0.0) -> DataFrame:
+    """Score of every standard that shares something with a subject (STD-04).
+
+    The tokens are read by several branches, so they are written once.
+    """
+    c = F.col
+    tokens = materialize(tokens)
+    features, articles, annex = subject_inputs(tokens)
+    parts = _parts((features, articles, annex), tables)
     counts = parts.groupBy("subject", "standard_id").agg(
         *(
             F.count_if(c("part") == part).alias(f"matched_{part}s")

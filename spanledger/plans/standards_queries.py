@@ -231,6 +231,23 @@ def matched_characteristics(spark, folder):
     )
 
 
+@query(
+    "matched_features",
+    f"""with {_CATALOG}, {_TOKENS}, {_MATCHES}, u as (select subject, standard_id, phrase as value from hit join chars using (phrase)
+      union select subject, standard_id, phrase from hit join evid using (phrase)
+      union select subject, standard_id, 'Article 12' from tokens join arts on article = 12 where token = '12'
+      union select subject, standard_id, 'annex-iv-3' from tokens join secs on section = 3 where token = 'annex-iv-3')
+    select subject, standard_id, count(*) as features, string_agg(value, ',' order by value) as matched from u group by all""",
+)
+def matched_features(spark, folder):
+    rows = standards.matched_parts(_tokens(spark, folder), _tables(spark, folder))
+    # As many values as the standard has parts.
+    values = F.array_sort(F.collect_set("value"))
+    return rows.groupBy("subject", "standard_id").agg(values.alias("values")).select(
+        "subject", "standard_id", F.size("values").cast("long").alias("features"), F.array_join("values", ",").alias("matched")
+    )
+
+
 _GIVEN = ", ".join(
     f"({a.split()[1]}, '{f.replace(' ', '-')}')" for a, names in rules.ARTICLE_FEATURES.items() for f in names
 )

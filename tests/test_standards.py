@@ -57,3 +57,17 @@ def test_top_standards_of_an_article_count_those_without_own_matches(spark, tabl
         order = sorted(plain_scores(subject).items(), key=lambda x: (-x[1][0], x[1][1]))
         expected |= {(subject, n + 1): (name, v[0]) for n, (name, v) in enumerate(order[:k])}
     assert found == expected
+
+
+def test_matched_parts_keep_their_values(spark, tables):
+    more = {
+        "evidence_characteristics": spark.createDataFrame([("s1", "alpha"), ("s2", "audit-log")], "standard_id string, characteristic string"),
+        "annex": spark.createDataFrame([("s1", "annex-iv-3")], "standard_id string, annex string"),
+    }
+    tokens = spark.createDataFrame([(1, "alpha"), (1, "audit-log"), (1, "12"), (1, "annex-iv-3")], "subject long, token string")
+    rows = [tuple(r) for r in standards.matched_parts(tokens, tables | more).collect()]
+    assert len(rows) == len(set(rows))
+    by_part = {(s, p): {v for _, t, q, v in rows if (t, q) == (s, p)} for _, s, p, _ in rows}
+    assert by_part["s1", "characteristic"] == by_part["s1", "evidence"] == {"alpha"}
+    assert by_part["s2", "evidence"] == {"audit-log"} and by_part["s1", "annex"] == {"annex-iv-3"}
+    assert {s for s, p in by_part if p == "article"} == set(CATALOG) and by_part["s6", "article"] == {"Article 12"}
