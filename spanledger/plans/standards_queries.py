@@ -188,7 +188,7 @@ scored as (select subject, standard_id, ord, k1, k2, k3, k4, nc, round((case whe
   / (case when f = 1 then 0.85::double else 0 end + case when a = 1 then 0.25::double else 0 end + case when x = 1 then 0.15::double else 0 end), 6) as score from joined)"""
 
 
-#: Matches at or below this score are not reported.
+#: Matches at or below this score are not listed by standards_scores; standards_low_scores counts them.
 _MINIMUM = 0.8
 
 
@@ -202,6 +202,18 @@ def standards_scores(spark, folder):
     return matches.drop("ord")
 
 
+@query(
+    "standards_low_scores",
+    f"""with {_CATALOG}, {_TOKENS}, {_MATCHES} select standard_id, score, count(*) as subjects, cast(sum(k1) as bigint) as matched_characteristics, cast(sum(nc - k1) as bigint) as missing_characteristics,
+    cast(sum(k2) as bigint) as matched_evidence_characteristics, cast(sum(k3) as bigint) as matched_articles, cast(sum(k4) as bigint) as matched_annex_sections
+    from scored where score > 0 and score <= {_MINIMUM} group by standard_id, score""",
+)
+def standards_low_scores(spark, folder):
+    matches = standards.match_standards(_tokens(spark, folder), _tables(spark, folder)).filter(F.col("score") <= _MINIMUM)
+    sums = ("matched_characteristics", "missing_characteristics", "matched_evidence_characteristics", "matched_articles", "matched_annex_sections")
+    return matches.groupBy("standard_id", "score").agg(F.count("*").alias("subjects"), *(F.sum(name).alias(name) for name in sums))
+
+
 @query(
     "top_standards",
     f"""with {_CATALOG}, {_TOKENS}, {_MATCHES}, r as (select *, row_number() over (partition by subject order by score desc, ord) as rank from scored where score > 0)

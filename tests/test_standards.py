@@ -71,3 +71,10 @@ def test_matched_parts_keep_their_values(spark, tables):
     assert by_part["s1", "characteristic"] == by_part["s1", "evidence"] == {"alpha"}
     assert by_part["s2", "evidence"] == {"audit-log"} and by_part["s1", "annex"] == {"annex-iv-3"}
     assert {s for s, p in by_part if p == "article"} == set(CATALOG) and by_part["s6", "article"] == {"Article 12"}
+
+
+def test_low_scores_are_compared():
+    import __spark_entry__ as entry
+
+    assert "score <= 0.8" in entry.oracle_sql()["standards_low_scores"]
+    assert "standards_low_scores" in entry.queries()
