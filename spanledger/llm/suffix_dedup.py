@@ -155,16 +155,40 @@ _BLOB = "bucket int, level int, blob binary"
 _MATCH = "bucket int, level int, blob binary, text long, state int, key long, first long, last int, anchor int"
 
 
+#: Level of entries that are matches already and only pass through.
+PASSED = -1
+
+
 def _blob_rows(entries: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Entries, in suffix order, cut by bucket."""
-    bucket = ((entries["key"] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    entries, bucket = entries[order], bucket[order]
-    found = np.unique(bucket)
-    cuts = np.searchsorted(bucket, np.append(found, buckets))
-    blobs = [entries[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    """A condensed batch cut by bucket: one entry of each run, in suffix order.
+
+    The other entries of equal runs are matches already. They pass through with
+    the level ``PASSED``, dealt by text and place, not by their anchor.
+    """
+    entries = entries[np.lexsort((entries["first"], entries["text"], entries["region"], entries["key"]))]
+
+    def fresh(*names: str) -> np.ndarray:
+        new = np.ones(len(entries), bool)
+        if len(entries):
+            new[1:] = np.any([entries[n][1:] != entries[n][:-1] for n in names], axis=0)
+        return new
+
+    run = fresh("key", "region")
+    # Rows of one text have the same runs; one entry speaks for them all.
+    other = fresh("key", "region", "text", "first") & ~run
+    passed = mix(entries["text"].astype(np.uint64) + entries["first"].astype(np.uint64))
+    found, levels, blobs = [], [], []
+    for level, use, dealt in ((None, run, entries["key"]), (PASSED, other, passed)):
+        bucket = ((dealt[use] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, bucket = entries[use][order], bucket[order]
+        numbers = np.unique(bucket)
+        cuts = np.searchsorted(bucket, np.append(numbers, buckets))
+        found.extend(numbers)
+        levels.extend([level] * len(numbers))
+        blobs.extend(own[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True))
     return pa.RecordBatch.from_arrays(
-        [pa.array(found, pa.int32()), pa.nulls(len(found), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "level", "blob"]
+        [pa.array(found, pa.int32()), pa.array(levels, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "level", "blob"]
     )
 
 
@@ -173,35 +197,53 @@ def _batches(buckets: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def closed() -> pa.RecordBatch:
-            batch = _condensed(np.concatenate(held))
-            # Rows of one text have the same runs; one entry speaks for them all.
-            keep = np.ones(len(batch), bool)
-            same = np.ones(len(batch) - 1, bool)
-            for name in ("key", "region", "text", "first"):
-                same &= batch[name][1:] == batch[name][:-1]
-            keep[1:] = ~same
-            return _blob_rows(batch[keep], buckets)
-
         for batch in rows:
             data, offsets = utf8(batch.column("content"))
             for part in _entries(batch.column("text").to_numpy(zero_copy_only=False), data, offsets):
                 held.append(part)
                 size += len(part)
                 if size >= BATCH_ENTRIES:
-                    yield closed()
+                    yield _blob_rows(_condensed(np.concatenate(held)), buckets)
                     held, size = [], 0
         if size:
-            yield closed()
+            yield _blob_rows(_condensed(np.concatenate(held)), buckets)
 
     return run
 
 
+def _match_rows(entries: np.ndarray, state: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(entries), 50_000):
+        own = entries[at : at + 50_000]
+        n = len(own)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(n, pa.int32()),
+                pa.nulls(n, pa.int32()),
+                pa.nulls(n, pa.binary()),
+                pa.array(own["text"]),
+                pa.array(np.full(n, state, np.int32)),
+                pa.array(own["key"].copy().view(np.int64)),
+                pa.array(own["first"]),
+                pa.array(own["last"]),
+                pa.array(own["anchor"]),
+            ],
+            [f.split()[0] for f in _MATCH.split(", ")],
+        )
+
+
+def _level_row(bucket: int, level: int, blob: bytes) -> pa.RecordBatch:
+    blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), pa.array([level], pa.int32()), pa.array([blob], pa.binary()), *blank],
+        [f.split()[0] for f in _MATCH.split(", ")],
+    )
+
+
 def _families(keep_levels: bool, references: bool):
     """Rows sorted by bucket to the matches of each bucket, and its levels if they are kept.
 
-    Null levels are new batches. With ``references``, of a whole run whose anchor
+    Null levels are new batches; entries that are matches already pass through
+    and are not held. With ``references``, of a whole run whose anchor
     also stands in runs of other content one entry is given as SHARED, to be
     compared with those.
     """
@@ -223,30 +265,10 @@ def _families(keep_levels: bool, references: bool):
                 part = np.concatenate((part, beside[fresh]))
             out.append((part, SHARED))
             for entries, state in out:
-                for at in range(0, len(entries), 50_000):
-                    own = entries[at : at + 50_000]
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.nulls(n, pa.int32()),
-                            pa.nulls(n, pa.int32()),
-                            pa.nulls(n, pa.binary()),
-                            pa.array(own["text"]),
-                            pa.array(np.full(n, state, np.int32)),
-                            pa.array(own["key"].view(np.int64) if own["key"].flags.c_contiguous else own["key"].copy().view(np.int64)),
-                            pa.array(own["first"]),
-                            pa.array(own["last"]),
-                            pa.array(own["anchor"]),
-                        ],
-                        [f.split()[0] for f in _MATCH.split(", ")],
-                    )
+                yield from _match_rows(entries, state)
             if keep_levels:
                 for level, entries in family.levels.items():
-                    blank = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([bucket], pa.int32()), pa.array([level], pa.int32()), pa.array([entries.tobytes()], pa.binary()), *blank],
-                        [f.split()[0] for f in _MATCH.split(", ")],
-                    )
+                    yield _level_row(bucket, level, entries.tobytes())
 
         for part in rows:
             for now, level, blob in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
@@ -255,7 +277,11 @@ def _families(keep_levels: bool, references: bool):
                         yield from closed()
                     bucket, family, batches = now, Family({}), []
                 entries = np.frombuffer(blob, _ENTRY).copy()
-                if level is None:
+                if level == PASSED:
+                    yield from _match_rows(entries, WHOLE)
+                    if keep_levels:
+                        yield _level_row(bucket, PASSED, blob)
+                elif level is None:
                     batches.append(entries)
                 else:
                     family.levels[level] = entries

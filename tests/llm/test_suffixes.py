@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 from tests.llm.helpers import clashing, corpus, table, words
 
 from spanledger.llm import suffix_dedup
@@ -113,3 +114,23 @@ def test_repeated_windows():
     counts = collections.Counter(data[i : i + N] for i in range(len(data) - N + 1))
     plain = [i for i in range(len(data) - N + 1) if counts[data[i : i + N]] > 1]
     assert suffix_dedup.repeated_windows(np.frombuffer(data, np.uint8), ends).tolist() == plain
+
+
+def test_equal_runs_of_a_batch_send_one_entry_on():
+    passage = " ".join(words(random.Random(8), 200))
+
+    def entries(copies):
+        texts = pa.array(range(copies), pa.int64())
+        rows = [pa.RecordBatch.from_arrays([texts, pa.array([passage] * copies)], ["text", "content"])]
+        found = {True: [], False: []}
+        for batch in suffix_dedup._batches(7)(iter(rows)):
+            for level, blob in zip(batch.column("level").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                found[level is None].extend(np.frombuffer(blob, suffix_dedup._ENTRY).tolist())
+        return found
+
+    few, many = entries(2), entries(50)
+    assert len(many[True]) == len(few[True])
+    # All places are there once, as an entry that goes on or as a match.
+    places = collections.Counter((e[2], e[3]) for own in many.values() for e in own)
+    assert set(places.values()) == {1} and len(places) == 50 * len(many[True])
+    assert all(e[-1] == suffix_dedup.WHOLE for own in many.values() for e in own)
