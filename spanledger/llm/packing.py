@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.llm.common import hash_bits, key_text, lower_ascii, word_count
+from spanledger.llm.jaccard_join import jaccard_groups
 
 #: Words in a sequence.
 CAPACITY = 2048
@@ -24,6 +25,22 @@ def cluster_key(text: Column) -> Column:
     return F.md5(F.btrim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
 
 
+def text_key(text: Column) -> Column:
+    """64-bit name of a text; null counts as no text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_clusters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(text_key, cluster)`` of every text: one cluster for copies and near copies (``jaccard_groups``).
+
+    Texts are named by their hash, so rows without id and ids with two texts
+    have their own clusters.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    groups = jaccard_groups(docs.select(text_key(text).alias("text_key"), text.alias("text")), "text_key")
+    return groups.select(F.col("id").alias("text_key"), F.col("component_id").alias("cluster")).distinct()
+
+
 class Bins:
     """Open bins ordered by what they have left.
 
@@ -138,20 +155,21 @@ def pack_documents(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    clusters: DataFrame | None = None,
 ) -> DataFrame:
     """Pieces of documents with the bin that holds each.
 
     A text longer than ``capacity`` words is cut into pieces of ``capacity``
     words and a rest; a full piece is a bin of its own. Other pieces are placed
     by decreasing size into the tightest open bin that holds neither their
-    source nor their duplicate cluster (``cluster``, by default equal words);
-    without such a bin a new one opens. Every word of every text is in exactly
+    source nor their duplicate cluster (``cluster``, by default equal words, or
+    ``clusters``, see :func:`near_clusters`); without such a bin a new one opens. Every word of every text is in exactly
     one bin and no bin exceeds the capacity.
 
     Columns: id, piece (from 0), first_word, n_words, bin_id, bin_position,
-    bin_words (the bin's fill). Pieces are dealt by a hash of the id to tasks
-    of ``group_rows`` pieces on average; each task has bins of its own, so a
-    hot source or cluster is spread over all of them.
+    bin_words (the bin's fill). Pieces are dealt by a hash of id, piece, text
+    and copy to tasks of ``group_rows`` pieces on average; each task has bins of
+    its own, so a hot id, source or cluster is spread over all of them.
 
     A null text, and one without words, gives one row of 0 words without a
     bin. Null sources are one source. Repeated rows are placed each. An empty
@@ -165,7 +183,11 @@ def pack_documents(
         (cluster if cluster is not None else cluster_key(text)).cast("string").alias("cluster"),
         word_count(text).alias("words"),
         hash_bits(key_text(F.col(id_col))).alias("place"),
+        text_key(text).alias("text_key"),
     )
+    if clusters is not None:
+        near = clusters.select("text_key", F.col("cluster").cast("string").alias("near"))
+        slim = slim.join(near, "text_key", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near")
     last = F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("int")
     pieces = slim.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     first = F.col("piece").cast("long") * capacity
@@ -177,6 +199,7 @@ def pack_documents(
         F.coalesce("cluster", F.lit("")).alias("cluster"),
         "source",
         "place",
+        "text_key",
     )
     # Rows of the table bound the pieces that need placing: one rest each.
     parts = max(1, -(-docs.count() // group_rows))
@@ -203,8 +226,11 @@ def pack_documents(
         F.lit(None).cast("int").alias("bin_position"),
         F.lit(None).cast("long").alias("bin_words"),
     )
-    rests = pieces.filter((F.col("n_words") > 0) & (F.col("n_words") < capacity)).withColumn(
-        "part", F.pmod("place", F.lit(parts)).cast("int")
+    rests = pieces.filter((F.col("n_words") > 0) & (F.col("n_words") < capacity))
+    # Equal rows are numbered, so that they can be dealt to different tasks.
+    copies = rests.groupBy(*rests.columns).agg(F.count("*").alias("copies"))
+    rests = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn(
+        "part", F.pmod(F.xxhash64("place", "piece", "text_key", "copy"), F.lit(parts)).cast("int")
     )
     placed = rests.groupBy("part").applyInPandas(_packer(capacity), _PLACED.format(id=kind)).withColumnRenamed("doc_id", id_col)
     return placed.unionByName(whole).unionByName(empty)

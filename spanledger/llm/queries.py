@@ -99,7 +99,8 @@ def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_packing")
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, folder, "documents"))
+    docs = _table(spark, folder, "documents")
+    return packing.pack_documents(docs, clusters=packing.near_clusters(docs))
 
 
 @query("op8_quality_rules")
