@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm import jaccard_join, language, line_dedup, mixing, neighbours, packing, quality_model, quality_rules, sharding, suffix_dedup
+from spanledger.llm import (
+    jaccard_join,
+    language,
+    line_dedup,
+    maxent,
+    mixing,
+    neighbours,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+    spelling,
+    suffix_dedup,
+    whitening,
+)
 from spanledger.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +191,24 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     groups = jaccard_join.jaccard_groups(_table(spark, folder, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op11_lm_scoring")
+def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = language.fold("doc_id", 5) == 1
+    model = maxent.fit_maxent(docs.filter(~held_out))
+    return maxent.score_texts(docs, model).withColumn("held_out", held_out)
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    whitened = whitening.whiten_vectors(vectors, whitening.fit_whitening(vectors))
+    return whitening.components_table(whitened).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """DuckDB has no CRC-32, so there is no reference SQL; tests compare with a plain version."""
+    return spelling.spelling_variants(_table(spark, folder, "documents"))
