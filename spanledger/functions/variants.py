@@ -50,6 +50,24 @@ def sql_list(v: str) -> str:
     return f"try_variant_get({v}, '$', '{LIST}')"
 
 
+def sql_fields(v: str) -> str:
+    """Children of an object by key, without JSON nulls; null for other values.
+
+    One pass over the object; aliases are then looked up in the map.
+    """
+    return f"map_filter({sql_map(v)}, (k, j) -> not is_variant_null(j))"
+
+
+def sql_pick(fields: str, keys: Iterable[str]) -> str:
+    """The first of ``keys`` that a map from :func:`sql_fields` holds."""
+    return "coalesce(" + ", ".join(f"{fields}['{key}']" for key in keys) + ")"
+
+
+def sql_any(fields: str, keys: Iterable[str]) -> str:
+    """Whether a map from :func:`sql_fields` holds one of ``keys``."""
+    return f"arrays_overlap(map_keys({fields}), array({', '.join(repr(key) for key in keys)}))"
+
+
 def as_map(v: Column) -> Column:
     return F.try_variant_get(v, "$", MAP)
 

@@ -77,13 +77,70 @@ def coerce_time(v: str, units_per_second: int | None = None) -> Column:
     return F.expr(_time_sql(v, str(units_per_second or 0)))
 
 
-def _first_time_sql(span: str, keys) -> tuple[str, str]:
-    """SQL for the first present raw value and for its timestamp."""
-    raw = V.sql_first(span, [key for key, _ in keys])
-    unit = "case " + " ".join(
-        f"when {V.sql_get(span, key)} is not null then {units or 0}" for key, units in keys
-    ) + " end"
-    return raw, unit
+def _time_unit_sql(fields: str, keys) -> str:
+    """SQL for the units per second of the first key present, 0 if it does not say."""
+    return "case " + " ".join(f"when {fields}['{key}'] is not null then {units or 0}" for key, units in keys) + " end"
+
+
+Stage = dict[str, Column]
+
+
+def _id_stages(name: str, width: int) -> list[Stage]:
+    """Columns that turn variant ``name`` into ``{name}_id``, ``{name}_ok`` and ``{name}_empty``, step by step.
+
+    The same rule as :func:`normalize_id`, as plain projections: each step
+    stands in the plan once and stays in generated code.
+    """
+    kind, raw, text, is_hex = (F.col(f"{name}_{part}") for part in ("kind", "raw", "text", "hex"))
+    whole = (kind == "BIGINT") & raw.rlike("^[0-9]+$") & (F.length(text) <= width)
+    worded = (kind == "STRING") & ~raw.rlike(r"[\x00-\x1f\x7f]") & (F.length(text) <= F.when(is_hex, width).otherwise(256))
+    empty = F.coalesce(kind, F.lit("VOID")).isin("VOID") | ((kind == "STRING") & (raw == ""))
+    ok, none = F.col(f"{name}_ok"), F.col(f"{name}_empty")
+    return [
+        {f"{name}_kind": F.schema_of_variant(name), f"{name}_raw": F.trim(V.text(F.col(name)))},
+        {f"{name}_text": F.when(kind == "BIGINT", F.lower(F.conv(raw, 10, 16))).otherwise(F.regexp_replace(raw, "^0x", ""))},
+        {f"{name}_hex": text.rlike("^[0-9a-fA-F]+$"), f"{name}_empty": empty},
+        {f"{name}_ok": none | F.coalesce(whole | worded, F.lit(False))},
+        {f"{name}_id": F.when(ok & ~none, F.when(is_hex, F.lpad(F.lower(text), width, "0")).otherwise(F.lower(text)))},
+    ]
+
+
+def _time_stages(name: str) -> list[Stage]:
+    """Columns that turn variant ``{name}_raw`` and ``{name}_unit`` into ``{name}_time``; the rule of :func:`coerce_time`."""
+    raw, unit, kind, text, number = (F.col(f"{name}_{part}") for part in ("raw", "unit", "kind", "text", "number"))
+    numeric = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
+    size = F.abs(number)
+    scale = (
+        F.when(unit > 0, unit)
+        .when(kind != "STRING", 1)
+        .when(size >= 100_000_000_000_000_000, 1_000_000_000)
+        .when(size >= 100_000_000_000_000, 1_000_000)
+        .when(size >= 100_000_000_000, 1000)
+        .otherwise(1)
+    )
+    micros = F.round(number.cast("decimal(28,6)") * 1_000_000 / scale.cast("decimal(10,0)"), 0).try_cast("bigint")
+    iso = (kind == "STRING") & text.rlike(r"^\d{4}-\d{2}-\d{2}")
+    return [
+        {f"{name}_kind": F.schema_of_variant(raw), f"{name}_text": F.trim(V.text(raw))},
+        {f"{name}_number": F.when(~kind.isin("BOOLEAN", "VOID") & text.rlike(numeric), text.try_cast("decimal(38,9)"))},
+        {f"{name}_time": F.when(number.isNotNull(), F.timestamp_micros(micros)).when(iso, text.try_cast("timestamp"))},
+    ]
+
+
+def _word_stages(name: str, token, table: dict[str, tuple[str, ...]], missing: str) -> list[Stage]:
+    """Columns that turn variant ``name`` into ``{name}_word``, one of the words of ``table``."""
+    given, kind = F.col(name), F.col(f"{name}_is")
+    return [
+        {f"{name}_is": F.schema_of_variant(given), f"{name}_token": token(F.lower(F.trim(V.text(given))))},
+        {f"{name}_word": F.when(given.isNull(), missing).when(kind == "STRING", _lookup(F.col(f"{name}_token"), table))},
+    ]
+
+
+def _staged(df: DataFrame, *columns: list[Stage]) -> DataFrame:
+    """Add the steps of several columns side by side."""
+    for step in range(max(map(len, columns))):
+        df = df.withColumns({k: v for stages in columns if step < len(stages) for k, v in stages[step].items()})
+    return df
 
 
 def _lookup(token: Column, table: dict[str, tuple[str, ...]]) -> Column:
@@ -93,55 +150,77 @@ def _lookup(token: Column, table: dict[str, tuple[str, ...]]) -> Column:
     return result
 
 
-def normalize_kind(v: Column) -> Column:
-    token = F.regexp_replace(F.lower(F.trim(V.text(v))), "[^a-z0-9]+", "_")
-    token = F.regexp_replace(token, "^_+|_+$", "")
-    found = F.when(V.kind(v) == "string", V.let(token, lambda t: _lookup(t, rules.SPAN_KINDS)))
-    return F.when(v.isNull(), F.lit("internal")).otherwise(found)
+def _kind_token(word: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(word, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
 
+def _typed_sql(v: str) -> str:
+    """``struct<value, bad>`` of an attribute value: typed scalars to plain values, others unchanged.
 
-def normalize_status(v: Column) -> Column:
-    found = F.when(
-        V.kind(v) == "string",
-        V.let(F.lower(F.trim(V.text(v))), lambda t: _lookup(t, rules.SPAN_STATUSES)),
+    ``bad`` marks an ill-typed one. Containers are plain already
+    (:func:`spanledger.functions.anyvalue.parse_record`).
+    """
+    text, boolean = V.sql_pick("t", rules.ANY_TEXT), V.sql_pick("t", rules.ANY_BOOLEAN)
+    integer, double = V.sql_pick("t", rules.ANY_INTEGER), V.sql_pick("t", rules.ANY_DOUBLE)
+    binary = V.sql_pick("t", rules.ANY_BINARY)
+    whole, number = f"try_cast({V.sql_text(integer)} as bigint)", f"try_cast({V.sql_text(double)} as double)"
+    bytes_ = f"try_to_binary({V.sql_text(binary)}, 'base64')"
+    value = (
+        f"coalesce({text}, {boolean}, cast({whole} as variant), cast({number} as variant), "
+        f"cast(make_valid_utf8(cast({bytes_} as string)) as variant), {v})"
+    )
+    bad = (
+        f"({boolean} is not null and schema_of_variant({boolean}) <> 'BOOLEAN')"
+        f" or ({integer} is not null and {whole} is null)"
+        f" or ({double} is not null and not coalesce(abs({number}) < double('Infinity'), false))"
+        f" or ({binary} is not null and {bytes_} is null)"
+    )
+    return (
+        f"get(transform(array({V.sql_fields(v)}), t -> if(t is null, named_struct('value', {v}, 'bad', false), "
+        f"named_struct('value', {value}, 'bad', {bad}))), 0)"
     )
-    return F.when(v.isNull(), F.lit("unset")).otherwise(found)
 
 
-def _decode_sql(v: str) -> str:
-    """Typed scalar to a plain value as SQL text; other values pass unchanged.
+#: An empty text as SQL.
+EMPTY = "''"
+
 
-    Containers are plain already (:func:`spanledger.functions.anyvalue.parse_record`).
+def _entries_sql(v: str) -> str:
+    """An attribute list or object as ``array<struct<key, value, bad>>``; null stays null.
+
+    Nameless entries, ill-typed values and layers that are neither list nor
+    object are bad; bad entries without a name have a null key.
     """
-    parts = [
-        V.sql_first("x", rules.ANY_TEXT),
-        V.sql_first("x", rules.ANY_BOOLEAN),
-        f"cast(try_cast({V.sql_text(V.sql_first('x', rules.ANY_INTEGER))} as bigint) as variant)",
-        f"cast(try_cast({V.sql_text(V.sql_first('x', rules.ANY_DOUBLE))} as double) as variant)",
-        f"cast(make_valid_utf8(cast(try_to_binary({V.sql_text(V.sql_first('x', rules.ANY_BINARY))}, 'base64')"
-        " as string)) as variant)",
-        "x",
-    ]
-    return f"get(transform(array({v}), x -> if({V.sql_map('x')} is null, x, coalesce({', '.join(parts)}))), 0)"
+    entry = f"named_struct('key', {{key}}, 'value', x.value, 'bad', x.bad{{more}})"
 
+    def read(value: str, key: str, more: str) -> str:
+        return f"get(transform(array({_typed_sql(value)}), x -> {entry.format(key=key, more=more)}), 0)"
 
-def _attributes_sql(v: str) -> str:
-    """Key/value list or object to ``map<string,variant>``; null stays null.
+    of_map = f"transform(map_entries(om), p -> {read('p.value', 'p.key', '')})"
+    named = V.sql_text("e['key']")
+    of_list = f"transform(transform({V.sql_list(v)}, q -> {V.sql_fields('q')}), e -> {read(_member('e', 'value'), named, f' or coalesce({named} = {EMPTY}, true)')})"
+    other = f"array(named_struct('key', cast(null as string), 'value', {v}, 'bad', true))"
+    body = f"case when om is not null then {of_map} when {v} is not null then coalesce({of_list}, {other}) end"
+    return f"get(transform(array({V.sql_map(v)}), om -> {body}), 0)"
 
-    Both shapes become one list of entries, so the decoding stands in the plan once.
-    """
-    listed = (
-        f"transform(filter({V.sql_list('a')}, e -> {V.sql_get('e', 'key')} is not null), "
-        f"e -> named_struct('key', try_variant_get(e, '$.key', 'string'), 'value', {V.sql_get('e', 'value')}))"
-    )
-    pairs = f"coalesce(map_entries({V.sql_map('a')}), {listed})"
-    decoded = f"transform({pairs}, p -> named_struct('key', p.key, 'value', {_decode_sql('p.value')}))"
-    return f"get(transform(array({v}), a -> map_from_entries({decoded})), 0)"
+
+def _member(fields: str, key: str) -> str:
+    return f"{fields}['{key}']"
+
+
+def _map_sql(entries: str) -> str:
+    """Entries to ``map<string,variant>``; of equal keys the last one stays."""
+    return f"map_from_entries(transform(filter({entries}, e -> e.key is not null), e -> named_struct('key', e.key, 'value', e.value)))"
+
+
+def _attributes_sql(v: str) -> str:
+    """Key/value list or object to ``map<string,variant>``; null stays null."""
+    return _map_sql(_entries_sql(v))
 
 
 def decode_value(v: str) -> Column:
     """OTLP AnyValue in column ``v`` to a plain variant."""
-    return F.expr(_decode_sql(v))
+    return F.expr(f"{_typed_sql(v)}.value")
 
 
 def decode_attributes(v: str) -> Column:
@@ -149,39 +228,23 @@ def decode_attributes(v: str) -> Column:
     return F.expr(_attributes_sql(v))
 
 
-def attribute_error(v: str) -> Column:
-    """Whether one of the attribute layers has a nameless entry or an ill-typed AnyValue."""
-    values = (
-        f"coalesce(transform({V.sql_list('a')}, e -> {V.sql_get('e', 'value')}), "
-        f"map_values({V.sql_map('a')}))"
-    )
-    nameless = f"exists({V.sql_list('a')}, e -> coalesce(try_variant_get(e, '$.key', 'string'), '') = '')"
-    boolean, integer = V.sql_first("x", rules.ANY_BOOLEAN), V.sql_first("x", rules.ANY_INTEGER)
-    double, binary = V.sql_first("x", rules.ANY_DOUBLE), V.sql_first("x", rules.ANY_BINARY)
-    number = f"try_cast({V.sql_text(double)} as double)"
-    ill_typed = (
-        f"({boolean} is not null and schema_of_variant({boolean}) <> 'BOOLEAN')"
-        f" or ({integer} is not null and try_cast({V.sql_text(integer)} as bigint) is null)"
-        f" or ({double} is not null and not coalesce(abs({number}) < double('Infinity'), false))"
-        f" or ({binary} is not null and try_to_binary({V.sql_text(binary)}, 'base64') is null)"
-    )
-    bad = (
-        f"coalesce({nameless}, false)"
-        f" or coalesce(exists({values}, x -> {V.sql_map('x')} is not null and ({ill_typed})), false)"
-        f" or (a is not null and {V.sql_map('a')} is null and {V.sql_list('a')} is null)"
-    )
-    return F.expr(f"exists({v}, a -> {bad})")
+def layer_entries(layers: str) -> Column:
+    """Entries of all attribute layers, oldest first."""
+    none = "cast(array() as array<struct<key:string,value:variant,bad:boolean>>)"
+    return F.expr(f"flatten(transform({layers}, a -> coalesce({_entries_sql('a')}, {none})))")
+
+
+def attribute_error(entries: str) -> Column:
+    """Whether one of the entries is nameless or ill-typed, or a layer is neither list nor object."""
+    return F.expr(f"exists({entries}, e -> e.bad)")
 
 
 _EMPTY_MAP = "cast(map() as map<string,variant>)"
 
 
-def merge_layers(layers: str) -> Column:
-    """Attribute layers, oldest first, to one map; a later layer wins."""
-    return F.expr(
-        f"aggregate({layers}, {_EMPTY_MAP}, "
-        f"(acc, layer) -> map_concat(acc, coalesce({_attributes_sql('layer')}, {_EMPTY_MAP})))"
-    )
+def merge_layers(entries: str) -> Column:
+    """Entries of attribute layers, oldest first, to one map; a later layer wins."""
+    return F.expr(_map_sql(entries))
 
 
 def _rows_sql(v: str) -> str:
@@ -196,17 +259,24 @@ def _variant_sql(m: str) -> str:
     return f"to_variant_object(coalesce({m}, {_EMPTY_MAP}))"
 
 
-_OWN_ATTRIBUTES = _attributes_sql(V.sql_first("o", ("attributes", "attrs")))
+_OWN_ATTRIBUTES = _attributes_sql(V.sql_pick("f", ("attributes", "attrs")))
+
+
+def _each_sql(v: str, body: str) -> str:
+    """``body`` for each object of a list, or for a single one, with ``f`` for its children."""
+    return f"transform({_rows_sql(v)}, o -> get(transform(array({V.sql_fields('o')}), f -> {body}), 0))"
 
 
 def events_of(v: str) -> Column:
     """Events of a span: one object or an array, attributes decoded."""
-    stamp = V.sql_first("o", ("timestamp", "time", "time_unix_nano", "ts"))
+    stamp = V.sql_pick("f", ("timestamp", "time", "time_unix_nano", "ts"))
     return F.expr(
-        f"transform({_rows_sql(v)}, o -> named_struct("
-        f"'name', trim(try_variant_get(o, '$.name', 'string')), "
-        f"'timestamp', {_time_sql(stamp, '0')}, "
-        f"'attributes', {_variant_sql(_OWN_ATTRIBUTES)}))"
+        _each_sql(
+            v,
+            f"named_struct('name', trim({V.sql_text(_member('f', 'name'))}), "
+            f"'timestamp', {_time_sql(stamp, '0')}, "
+            f"'attributes', {_variant_sql(_OWN_ATTRIBUTES)})",
+        )
     )
 
 
@@ -222,101 +292,111 @@ def links_of(v: str) -> Column:
     """Links of a span: one object or an array, ids normalised, attributes decoded."""
     span_keys = ("span_id", "spanId", "spanID", "linked_span_id", "id")
     return F.expr(
-        f"transform({_rows_sql(v)}, o -> named_struct("
-        f"'trace_id', {_link_id_sql(V.sql_first('o', rules.TRACE_ID_KEYS), 32)}, "
-        f"'span_id', {_link_id_sql(V.sql_first('o', span_keys), 16)}, "
-        f"'trace_state', {_variant_sql(V.sql_map(V.sql_get('o', 'trace_state')))}, "
-        f"'attributes', {_variant_sql(_OWN_ATTRIBUTES)}))"
+        _each_sql(
+            v,
+            f"named_struct('trace_id', {_link_id_sql(V.sql_pick('f', rules.TRACE_ID_KEYS), 32)}, "
+            f"'span_id', {_link_id_sql(V.sql_pick('f', span_keys), 16)}, "
+            f"'trace_state', {_variant_sql(V.sql_map(_member('f', 'trace_state')))}, "
+            f"'attributes', {_variant_sql(_OWN_ATTRIBUTES)})",
+        )
     )
 
 
+def _is_scalar(name: str) -> Column:
+    """Whether a variant is there and neither list nor object."""
+    kind = F.schema_of_variant(name)
+    return F.coalesce(~(kind.startswith("ARRAY") | kind.startswith("OBJECT")), F.lit(False))
+
+
 def _issue(when: Column, reason: str) -> Column:
     return F.when(when, F.lit(reason))
 
 
 def normalize_spans(records: DataFrame) -> DataFrame:
     """One typed row per span record, with ``issues array<string>`` (empty = valid)."""
-    def pick(v: str, keys) -> str:
-        return V.sql_first(v, keys)
-
-    status_code = pick("status", ("code", "status_code", "statusCode"))
-    status_text = pick("status", ("message", "description", "status_message", "statusMessage"))
-    start_raw, start_unit = _first_time_sql("span", rules.START_KEYS)
-    end_raw, end_unit = _first_time_sql("span", rules.END_KEYS)
-    fields = records.select(
+    def pick(fields: str, keys) -> Column:
+        return F.expr(V.sql_pick(fields, keys))
+
+    # The children of the span, its context and its status, each looked at once.
+    parts = records.select(
         "source",
         "block",
         "row",
         "item",
         "span",
         "layers",
+        "trace_hint",
         F.col("error") if "error" in records.columns else F.lit(None).cast("string").alias("error"),
-        *(
-            F.expr(sql).alias(name)
-            for name, sql in {
-                "trace": f"coalesce({pick('span', rules.TRACE_ID_KEYS)}, trace_hint, "
-                f"{pick(V.sql_get('span', 'context'), rules.TRACE_ID_KEYS)})",
-                "id": pick("span", rules.SPAN_ID_KEYS),
-                "parent": f"coalesce({pick('span', rules.PARENT_ID_KEYS)}, "
-                f"{pick(V.sql_get('span', 'context'), rules.PARENT_ID_KEYS)})",
-                "label": pick("span", rules.NAME_KEYS),
-                "kind": pick("span", ("kind", "spanKind")),
-                "status": V.sql_get("span", "status"),
-                "message": pick(
-                    "span",
-                    ("status_message", "statusMessage", "status_description", "statusDescription"),
-                ),
-                "own": pick("span", ("attributes", "attrs")),
-                "event_list": V.sql_get("span", "events"),
-                "link_list": V.sql_get("span", "links"),
-                "start_raw": start_raw,
-                "start_unit": start_unit,
-                "end_raw": end_raw,
-                "end_unit": end_unit,
-            }.items()
-        ),
+        F.expr(V.sql_fields("span")).alias("m"),
+    )
+    parts = parts.withColumns({"c": F.expr(V.sql_fields("m['context']")), "st": F.expr(V.sql_fields("m['status']"))})
+    fields = parts.select(
+        "source",
+        "block",
+        "row",
+        "item",
+        "span",
+        "error",
+        F.coalesce(pick("m", rules.TRACE_ID_KEYS), "trace_hint", pick("c", rules.TRACE_ID_KEYS)).alias("trace"),
+        pick("m", rules.SPAN_ID_KEYS).alias("id"),
+        F.coalesce(pick("m", rules.PARENT_ID_KEYS), pick("c", rules.PARENT_ID_KEYS)).alias("parent"),
+        pick("m", rules.NAME_KEYS).alias("label"),
+        pick("m", ("kind", "spanKind")).alias("kind"),
+        F.when(F.col("st").isNull(), F.expr("m['status']")).otherwise(pick("st", ("code", "status_code", "statusCode"))).alias("status"),
+        F.coalesce(
+            pick("m", ("status_message", "statusMessage", "status_description", "statusDescription")),
+            pick("st", ("message", "description", "status_message", "statusMessage")),
+        ).alias("message"),
+        layer_entries("concat(layers, array(coalesce(m['attributes'], m['attrs'])))").alias("entries"),
+        F.expr("m['events']").alias("event_list"),
+        F.expr("m['links']").alias("link_list"),
+        pick("m", [key for key, _ in rules.START_KEYS]).alias("start_raw"),
+        F.expr(_time_unit_sql("m", rules.START_KEYS)).alias("start_unit"),
+        pick("m", [key for key, _ in rules.END_KEYS]).alias("end_raw"),
+        F.expr(_time_unit_sql("m", rules.END_KEYS)).alias("end_unit"),
+    )
+    typed = _staged(
+        fields,
+        _id_stages("trace", 32),
+        _id_stages("id", 16),
+        _id_stages("parent", 16),
+        _time_stages("start"),
+        _time_stages("end"),
+        _word_stages("kind", _kind_token, rules.SPAN_KINDS, "internal"),
+        _word_stages("status", lambda word: word, rules.SPAN_STATUSES, "unset"),
     )
-    span = F.col("span")
     end_given = F.col("end_raw").isNotNull() & ~V.text(F.col("end_raw")).isin("0", "")
-    status_map = f"{V.sql_map('status')} is not null"
 
-    staged = fields.select(
+    staged = typed.select(
         "source",
         "block",
         "row",
         "item",
         "error",
-        normalize_id("trace", 32).alias("t"),
-        normalize_id("id", 16).alias("s"),
-        normalize_id("parent", 16).alias("p"),
+        *(f"{name}_{part}" for name in ("trace", "id", "parent") for part in ("id", "ok", "empty")),
         F.expr(f"trim(if(schema_of_variant(label) = 'STRING', {V.sql_text('label')}, null))").alias("name"),
-        normalize_kind(F.col("kind")).alias("kind"),
+        F.col("kind_word").alias("kind"),
         F.col("start_raw").isNotNull().alias("start_given"),
-        F.expr(_time_sql("start_raw", "start_unit")).alias("start_time"),
+        F.col("start_time"),
         end_given.alias("end_given"),
-        F.when(end_given, F.expr(_time_sql("end_raw", "end_unit"))).alias("end_time"),
-        normalize_status(F.expr(f"if({status_map}, {status_code}, status)")).alias("status"),
-        F.expr(
-            f"nullif(trim({V.sql_text(f'coalesce(message, if({status_map}, {status_text}, null))')}), '')"
-        ).alias("status_message"),
-        attribute_error("concat(layers, array(own))").alias("bad_attributes"),
-        F.to_variant_object(merge_layers("concat(layers, array(own))")).alias("attributes"),
+        F.when(end_given, F.col("end_time")).alias("end_time"),
+        F.col("status_word").alias("status"),
+        F.expr(f"nullif(trim({V.sql_text('message')}), '')").alias("status_message"),
+        attribute_error("entries").alias("bad_attributes"),
+        F.to_variant_object(merge_layers("entries")).alias("attributes"),
         events_of("event_list").alias("events"),
         links_of("link_list").alias("links"),
-        (
-            V.kind(F.col("event_list")).isin("string", "number", "boolean")
-            | V.kind(F.col("link_list")).isin("string", "number", "boolean")
-        ).alias("bad_lists"),
-        F.to_json(span).alias("raw"),
+        (_is_scalar("event_list") | _is_scalar("link_list")).alias("bad_lists"),
+        "span",
     )
     control = r"[\x00-\x1f\x7f]"
     issues = F.array_compact(
         F.array(
-            _issue(F.col("t.empty"), "trace_id is required"),
-            _issue(~F.col("t.ok"), "trace_id is invalid"),
-            _issue(F.col("s.empty"), "span_id is required"),
-            _issue(~F.col("s.ok"), "span_id is invalid"),
-            _issue(~F.col("p.ok"), "parent_span_id is invalid"),
+            _issue(F.col("trace_empty"), "trace_id is required"),
+            _issue(~F.col("trace_ok"), "trace_id is invalid"),
+            _issue(F.col("id_empty"), "span_id is required"),
+            _issue(~F.col("id_ok"), "span_id is invalid"),
+            _issue(~F.col("parent_ok"), "parent_span_id is invalid"),
             _issue(F.coalesce(F.col("name"), F.lit("")) == "", "span name is required"),
             _issue((F.length("name") > 512) | F.col("name").rlike(control), "span name is invalid"),
             _issue(~F.col("start_given"), "start time is required"),
@@ -327,7 +407,7 @@ def normalize_spans(records: DataFrame) -> DataFrame:
             _issue(F.col("status").isNull(), "status is invalid"),
             _issue(F.length("status_message") > 2000, "status_message is too long"),
             _issue(F.col("bad_attributes"), "attributes are invalid"),
-            _issue(F.coalesce("bad_lists", F.lit(False)), "events and links must be arrays"),
+            _issue(F.col("bad_lists"), "events and links must be arrays"),
             _issue(
                 F.exists(
                     "events",
@@ -341,9 +421,9 @@ def normalize_spans(records: DataFrame) -> DataFrame:
         )
     )
     normalized = staged.select(
-        F.col("t.id").alias("trace_id"),
-        F.col("s.id").alias("span_id"),
-        F.col("p.id").alias("parent_span_id"),
+        F.col("trace_id").alias("trace_id"),
+        F.col("id_id").alias("span_id"),
+        F.col("parent_id").alias("parent_span_id"),
         "name",
         "kind",
         "start_time",
@@ -358,9 +438,10 @@ def normalize_spans(records: DataFrame) -> DataFrame:
         "row",
         "item",
         F.when(F.col("error").isNotNull(), F.array("error")).otherwise(issues).alias("issues"),
-        "raw",
+        "span",
     )
-    return hold(normalized)
+    # The text of a record is needed for rejected ones only.
+    return hold(normalized.withColumn("raw", F.when(F.size("issues") > 0, F.to_json("span"))).drop("span"))
 
 
 SPAN_COLUMNS = (

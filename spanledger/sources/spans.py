@@ -145,69 +145,81 @@ def _failed(doc: str, error: str) -> str:
     return f"array({_item(doc, _NO_TRACE, '', True, error)})"
 
 
-def _otlp_items(doc: str) -> str:
+def _otlp_items(doc: str, fields: str) -> str:
     """resourceSpans > scopeSpans > spans with the resource and scope attributes as layers."""
-    given = V.sql_first(doc, ("resourceSpans", "resource_spans"))
+    given = V.sql_pick(fields, ("resourceSpans", "resource_spans"))
     resources = f"if({given} is null, array({doc}), {V.sql_list(given)})"
-    scope_value = V.sql_first("r", ("scopeSpans", "scope_spans", "instrumentationLibrarySpans"))
-    scopes = V.sql_list(scope_value)
-    outer = V.sql_get(V.sql_get("r", "resource"), "attributes")
-    inner = V.sql_get(V.sql_first("c", ("scope", "instrumentationLibrary")), "attributes")
-    span_value = V.sql_get("c", "spans")
-    spans = V.sql_list(span_value)
     none = f"cast(array() as array<{_ITEM}>)"
 
     def listed(value: str, rows: str, name: str, whole: str) -> str:
         """Rows of a list; a missing list is empty, another value is an error."""
         return f"case when {value} is null then {none} when {rows} is null then {_failed(whole, f'{name} must be an array')} else {rows} end"
 
-    per_scope = listed(span_value, f"transform({spans}, n -> {_item('n', _NO_TRACE, f'{outer}, {inner}', True)})", "spans", "c")
-    per_resource = listed(scope_value, f"flatten(transform({scopes}, c -> {per_scope}))", "scopeSpans", "r")
+    outer = V.sql_get("rm['resource']", "attributes")
+    inner = V.sql_get(V.sql_pick("cm", ("scope", "instrumentationLibrary")), "attributes")
+    spans = f"transform({V.sql_list(_member('cm', 'spans'))}, n -> {_item('n', _NO_TRACE, f'{outer}, {inner}', True)})"
+    per_scope = _within("c", "cm", listed(_member("cm", "spans"), spans, "spans", "c"))
+    scope_value = V.sql_pick("rm", ("scopeSpans", "scope_spans", "instrumentationLibrarySpans"))
+    per_resource = _within("r", "rm", listed(scope_value, f"flatten(transform({V.sql_list(scope_value)}, c -> {per_scope}))", "scopeSpans", "r"))
     return f"coalesce(flatten(transform({resources}, r -> {per_resource})), {_failed(doc, 'resourceSpans must be an array')})"
 
 
+def _member(fields: str, key: str) -> str:
+    return f"{fields}['{key}']"
+
+
+def _within(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for the children of ``value``."""
+    return f"get(transform(array({V.sql_fields(value)}), {name} -> {body}), 0)"
+
+
 def _open_item(x: str) -> str:
     """What one document holds: spans, documents to open further, or nothing."""
-    doc, own = f"{x}.doc", V.sql_get(f"{x}.doc", "attributes")
-    trace = f"coalesce({V.sql_first(doc, TRACE_ID_KEYS)}, {x}.trace)"
-    single, many = V.sql_get(doc, "span"), V.sql_list(V.sql_get(doc, "spans"))
-    nested = V.sql_first(doc, _CONTAINER_KEYS)
+    doc, own = f"{x}.doc", _member("m", "attributes")
+    trace = f"coalesce({V.sql_pick('m', TRACE_ID_KEYS)}, {x}.trace)"
+    single, many = _member("m", "span"), _member("m", "spans")
+    nested = V.sql_pick("m", _CONTAINER_KEYS)
     decoded = f"if(schema_of_variant({nested}) = 'STRING', try_parse_json({V.sql_text(nested)}), {nested})"
-    has_id = _any_present(doc, SPAN_ID_KEYS)
-    return f"""case
-        when {x}.found then array({x})
-        when {V.sql_list(doc)} is not null
-            then transform({V.sql_list(doc)}, d -> {_item('d', f'{x}.trace', '', False)})
-        when {_any_present(doc, _OTLP_KEYS)} then {_otlp_items(doc)}
-        when {V.sql_map(doc)} is null then {_failed(doc, 'record must be an object')}
+    has_id = V.sql_any("m", SPAN_ID_KEYS)
+    body = f"""case
+        when m is null then if({V.sql_list(doc)} is not null,
+            transform({V.sql_list(doc)}, d -> {_item('d', f'{x}.trace', '', False)}), {_failed(doc, 'record must be an object')})
+        when {V.sql_any('m', _OTLP_KEYS)} then {_otlp_items(doc, 'm')}
         when {V.sql_map(single)} is not null then array({_item(single, trace, own, True)})
-        when {many} is not null then transform({many}, d -> {_item('d', trace, own, True)})
-        when {V.sql_get(doc, 'spans')} is not null then {_failed(doc, 'spans must be an array')}
+        when {V.sql_list(many)} is not null then transform({V.sql_list(many)}, d -> {_item('d', trace, own, True)})
+        when {many} is not null then {_failed(doc, 'spans must be an array')}
         when {nested} is not null and not {has_id} then array({_item(decoded, trace, '', False)})
         when {has_id} then array({_item(doc, trace, '', True)})
         else {_failed(doc, 'record holds no span')} end"""
+    return f"if({x}.found, array({x}), {_within(doc, 'm', body)})"
 
 
 def unwrap_envelopes(raw: DataFrame) -> DataFrame:
-    """Span records ``(source, block, row, item, span, trace_hint, layers)``.
+    """Span records ``(source, block, row, item, span, trace_hint, layers, error)``.
 
     Handles bare spans, ``span``, ``spans``, nested ``data`` / ``records`` /
     ``items`` (also as JSON text), arrays of any of them, and OTLP documents.
-    Envelopes are opened one level per step until only spans are left.
+    A record's keys are looked at once: bare spans pass as they are, the others
+    are opened one level per step until only spans are left.
     """
-    wrapped = _any_present("doc", ("span", "spans", *_CONTAINER_KEYS, *_OTLP_KEYS))
-    # A bare span object, by far the most frequent record, skips the loop.
-    items = f"""if({_any_present('doc', SPAN_ID_KEYS)} and not {wrapped},
-        array({_item('doc', _NO_TRACE, '', True)}),
-        aggregate(sequence(0, length(regexp_replace(text, '[^{{\\\\[]', '')) + 1),
+    wrappers = ("span", "spans", *_CONTAINER_KEYS, *_OTLP_KEYS)
+    keys = raw.select("source", "block", "row", "doc", "text", F.expr(f"map_keys({V.sql_fields('doc')})").alias("keys"))
+    found = F.arrays_overlap("keys", F.array(*map(F.lit, SPAN_ID_KEYS))) & ~F.arrays_overlap("keys", F.array(*map(F.lit, wrappers)))
+    shaped = keys.select("source", "block", "row", "doc", F.coalesce(found, F.lit(False)).alias("bare"), F.length(F.regexp_replace("text", r"[^\{\[]", "")).alias("depth"))
+    # A filter on the document would be pushed down and parse every record twice.
+    items = f"""case when doc is null then cast(array() as array<{_ITEM}>)
+        when bare then array({_item('doc', _NO_TRACE, '', True)})
+        else aggregate(sequence(0, depth + 1),
             named_struct('done', false, 'items', array({_item('doc', _NO_TRACE, '', False)})),
             (acc, step) -> if(acc.done, acc, named_struct(
                 'done', not exists(acc.items, x -> not x.found),
                 'items', flatten(transform(acc.items, x -> {_open_item('x')})))),
-            acc -> acc.items))"""
-    return raw.filter(F.col("doc").isNotNull()).select(
-        "source", "block", "row", F.posexplode(F.expr(items)).alias("item", "x")
-    ).select(
+            acc -> acc.items) end"""
+    return _records(shaped.select("source", "block", "row", F.posexplode(F.expr(items)).alias("item", "x")))
+
+
+def _records(items: DataFrame) -> DataFrame:
+    return items.select(
         "source",
         "block",
         "row",
@@ -221,18 +233,8 @@ def unwrap_envelopes(raw: DataFrame) -> DataFrame:
 
 def flatten_otlp(raw: DataFrame) -> DataFrame:
     """Span records of documents known to be OTLP, without looking for other envelopes."""
-    return raw.select(
-        "source", "block", "row", F.posexplode(F.expr(_otlp_items("doc"))).alias("item", "x")
-    ).select(
-        "source",
-        "block",
-        "row",
-        "item",
-        F.col("x.doc").alias("span"),
-        F.col("x.trace").alias("trace_hint"),
-        F.col("x.layers").alias("layers"),
-        F.col("x.error").alias("error"),
-    )
+    items = _within("doc", "m", f"coalesce({_otlp_items('doc', 'm')})")
+    return _records(raw.select("source", "block", "row", F.posexplode(F.expr(items)).alias("item", "x")))
 
 
 def unparsed(raw: DataFrame) -> DataFrame:
