@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions import rules
@@ -18,6 +18,9 @@ from spanledger.session import hold, materialize
 #: Domain prefix of receipt signatures.
 RECEIPT_CONTEXT = "spanledger/audit-receipt/v1"
 
+#: Receipts of a segment. A chain starts anew at each multiple, so that the segments of a long chain fold side by side.
+SEGMENT = 1 << 16
+
 _IDENTIFIER = r"^[^\x00-\x1f\x7f]{1,256}$"
 _EVENT = r"^[a-z][a-z0-9]*(?:[._-][a-z0-9]+)*$"
 
@@ -143,57 +146,118 @@ def receipt_material() -> Column:
     return _material(material_prefix(), F.col("previous_receipt_hash"), F.col("sequence"))
 
 
-def _fold_chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk rows sorted by job and time; carry the last hash of the current job."""
-    job, sequence, last = None, 0, None
-    for batch in batches:
-        numbers, previous, hashes = [], [], []
-        for row in batch.itertuples(index=False):
-            if row.job_id != job:
-                job = row.job_id
-                sequence = int(row.head_sequence)
-                last = row.head_hash if isinstance(row.head_hash, str) else None
-            sequence += 1
-            quoted = "null" if last is None else f'"{last}"'
-            material = f'{row.prefix}{quoted},"schema_version":1,"sequence":{sequence}}}'
-            numbers.append(sequence)
-            previous.append(last)
-            last = hashlib.sha256(material.encode("utf-8")).hexdigest()
-            hashes.append(last)
-        yield batch.drop(columns=["prefix", "head_sequence", "head_hash"]).assign(
-            sequence=numbers, previous_receipt_hash=previous, receipt_hash=hashes
-        )
+def starts_segment(sequence: Column, segment: int) -> Column:
+    """Whether a receipt is the first of its segment."""
+    return (sequence - 1) % segment == 0
+
+
+def segment_of(sequence: Column, segment: int) -> Column:
+    return F.floor((sequence - 1) / segment).cast("bigint")
+
+
+def _fold_chains(segment: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Walk rows sorted by job and sequence; carry the last hash of the current segment."""
+        job, last = None, None
+        for batch in batches:
+            previous, hashes = [], []
+            for own, sequence, prefix, start in zip(batch["job_id"], batch["sequence"], batch["prefix"], batch["start"], strict=True):
+                if own != job or (sequence - 1) % segment == 0:
+                    job, last = own, start if isinstance(start, str) else None
+                quoted = "null" if last is None else f'"{last}"'
+                material = f'{prefix}{quoted},"schema_version":1,"sequence":{sequence}}}'
+                previous.append(last)
+                last = hashlib.sha256(material.encode("utf-8")).hexdigest()
+                hashes.append(last)
+            yield batch[["__row", "sequence"]].assign(previous_receipt_hash=previous, receipt_hash=hashes)
+
+    return run
+
 
+def _numbered(slim: DataFrame, heads: DataFrame) -> DataFrame:
+    """``slim`` with ``sequence``: its place by time and receipt id behind the stored head of its job.
 
-def build_receipts(fresh: DataFrame, existing: DataFrame, signing_key_id: str, keys: DataFrame) -> DataFrame:
+    Rows are dealt by ranges of (job, time, id) and written in that order, so a
+    job of any size is spread over many tasks. A job's places go on from
+    partition to partition: one small row for each partition that holds it.
+    """
+    order = ["job_id", "occurred_at", "receipt_id"]
+    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}))
+    parts = ranged.groupBy("job_id", "__part").agg(F.min("__place").alias("__first"), F.count("*").alias("n"))
+    before = Window.partitionBy("job_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .join(heads, "job_id", "left")
+        .select("job_id", "__part", "__first", "before", F.coalesce("head_sequence", F.lit(0)).cast("bigint").alias("head_sequence"), "head_hash")
+    )
+    placed = lookup_join(ranged, starts, ["job_id", "__part"])
+    sequence = F.col("head_sequence") + F.col("before") + F.col("__place") - F.col("__first") + 1
+    return placed.withColumn("sequence", sequence.cast("bigint"))
+
+
+def build_receipts(fresh: DataFrame, existing: DataFrame, signing_key_id: str, keys: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Chain new events behind the stored head of each job and sign them.
 
-    Each hash needs the one before it, so a chain is sequential by definition.
-    Everything else is not: payload digests and canonical bodies are columns
-    computed beforehand, and the fold reads its job sorted by time as a stream
-    of Arrow batches. It keeps one hash in memory and never holds a job whole,
-    however long its chain.
+    Each hash needs the one before it, up to the segment's first receipt, which
+    has none before it. Segments of ``segment`` receipts fold side by side, so a
+    job of any length is spread over all tasks; :func:`chain_roots` binds its
+    segments together. The fold gets the job, the sequence and the canonical
+    beginning of each receipt, nothing else, as a stream of Arrow batches, and
+    keeps one hash; the other columns join by the row's number.
     """
     heads = existing.groupBy("job_id").agg(
         F.max("sequence").alias("head_sequence"), F.max_by("receipt_hash", "sequence").alias("head_hash")
     )
-    ready = (
-        lookup_join(fresh, heads, ["job_id"])
-        .withColumn("head_sequence", F.coalesce("head_sequence", F.lit(0)).cast("bigint"))
-        .withColumn("prefix", material_prefix())
-    )
-    keep = [n for n in fresh.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields)
+    c = F.col
+    # Written once, so that the numbers of the rows hold.
+    base = materialize(fresh.withColumn("__row", F.monotonically_increasing_id()))
+    numbered = _numbered(base.select("__row", "job_id", "occurred_at", "receipt_id", material_prefix().alias("prefix")), heads)
+    goes_on = (c("sequence") == c("head_sequence") + 1) & ~starts_segment(c("sequence"), segment)
     folded = (
-        ready.select(*keep, "prefix", "head_sequence", "head_hash")
-        .repartition("job_id")
-        .sortWithinPartitions("job_id", "occurred_at", "receipt_id")
-        .mapInPandas(
-            _fold_chains,
-            f"{schema}, sequence bigint, previous_receipt_hash string, receipt_hash string",
-        )
+        numbered.select("__row", "job_id", "sequence", "prefix", F.when(goes_on, c("head_hash")).alias("start"))
+        .repartition("job_id", segment_of(c("sequence"), segment))
+        .sortWithinPartitions("job_id", "sequence")
+        .mapInPandas(_fold_chains(segment), "__row bigint, sequence bigint, previous_receipt_hash string, receipt_hash string")
     )
-    return sign_receipts(folded.withColumn("signing_key_id", F.lit(signing_key_id)), keys)
+    return sign_receipts(base.join(folded, "__row").drop("__row").withColumn("signing_key_id", F.lit(signing_key_id)), keys)
+
+
+def segment_heads(receipts: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(job_id, segment, receipts, head_hash) of every segment of stored chains."""
+    return receipts.groupBy("job_id", segment_of(F.col("sequence"), segment).alias("segment")).agg(
+        F.count("*").alias("receipts"), F.max_by("receipt_hash", "sequence").alias("head_hash")
+    )
+
+
+def chain_roots(receipts: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """One hash that commits to all receipts of a job: (job_id, segments, root).
+
+    The heads of a job's segments are the leaves of a mountain range: neighbours
+    (0 and 1, 2 and 3, ...) are hashed together level by level, a node without a
+    right neighbour is a peak, and the root is the hash of the peaks from left
+    to right. New segments leave all finished mountains as they are. A level is
+    one aggregation over half the rows of the one before.
+    """
+    level = materialize(segment_heads(receipts, segment).select("job_id", F.col("segment").alias("place"), F.col("head_hash").alias("hash")))
+    sizes = level.groupBy("job_id").agg(F.count("*").alias("segments"))
+    peaks, height = [], 0
+    while True:
+        pairs = level.groupBy("job_id", F.floor(F.col("place") / 2).alias("place")).agg(
+            F.count("*").alias("n"), F.min_by("hash", "place").alias("left"), F.max_by("hash", "place").alias("right")
+        )
+        # A peak's place among the leaves orders the peaks.
+        peaks.append(pairs.filter("n = 1").select("job_id", F.shiftleft(F.col("place") * 2, height).alias("leaf"), F.col("left").alias("hash")))
+        above = pairs.filter("n = 2").select("job_id", "place", sha(F.concat("left", "right")).alias("hash"))
+        if above.isEmpty():
+            break
+        level, height = materialize(above), height + 1
+    every = peaks[0]
+    for more in peaks[1:]:
+        every = every.unionByName(more)
+    # A job has at most one peak of each height.
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "hash"))), lambda p: p["hash"]), "")
+    return sizes.join(every.groupBy("job_id").agg(sha(listed).alias("root")), "job_id")
 
 
 def _padded(keys: DataFrame) -> DataFrame:
@@ -214,47 +278,53 @@ def sign_receipts(receipts: DataFrame, keys: DataFrame) -> DataFrame:
     return signed.withColumn("signature", _signature()).drop("inner_key", "outer_key")
 
 
-def verify_receipts(receipts: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def verify_receipts(receipts: DataFrame, keys: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
     """One row per receipt with the checks that failed.
 
-    The previous receipt is found by an equi join on (job, sequence - 1). That
-    key is unique, so a chain of any length is spread over all tasks.
+    What a receipt shows alone (its hash, payload and signature) is checked
+    where it lies. Hashes and times are then dealt by job and segment, once; a
+    frame of the sequence before gives the previous receipt. The last receipt
+    of a segment is also seen beside the first of the next, so a chain of any
+    length is spread over all tasks.
     """
     c = F.col
-    before = receipts.select(
-        "job_id",
-        (c("sequence") + 1).alias("sequence"),
-        c("receipt_hash").alias("expected_previous"),
-        c("occurred_at").alias("previous_time"),
-        F.lit(True).alias("has_previous"),
-    )
-    copies = receipts.groupBy("job_id", "sequence").agg(F.count("*").alias("copies"))
-    linked = receipts.join(copies, ["job_id", "sequence"]).join(
-        before.dropDuplicates(["job_id", "sequence"]), ["job_id", "sequence"], "left"
-    )
+    alone = [F.when(~c("receipt_hash").eqNullSafe(sha(receipt_material())), F.lit("receipt_hash"))]
+    if "payload" in receipts.columns:
+        alone.append(F.when(~c("payload_sha256").eqNullSafe(sha(c("payload"))), F.lit("payload_hash")))
+    if keys is not None:
+        receipts = lookup_or_broadcast(receipts, _padded(keys), ["signing_key_id"])
+        alone.append(F.when(~c("signature").eqNullSafe(_signature()), F.lit("signature")))
+    own = segment_of(c("sequence"), segment)
+    ghost = F.when(c("sequence") % segment == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    seen = receipts.select(
+        "job_id", "sequence", "previous_receipt_hash", "receipt_hash", "occurred_at", F.array_compact(F.array(*alone)).alias("alone"), F.explode(ghost).alias("next")
+    ).withColumn("segment", own + c("next"))
+    frame = Window.partitionBy("job_id", "segment").orderBy("sequence")
+    before, same = frame.rangeBetween(-1, -1), frame.rangeBetween(0, 0)
+    first = starts_segment(c("sequence"), segment)
+    linked = seen.select(
+        "*",
+        F.count("*").over(same).alias("copies"),
+        (F.count("*").over(before) > 0).alias("has_previous"),
+        F.when(~first, F.min("receipt_hash").over(before)).alias("expected_previous"),
+        F.max("occurred_at").over(before).alias("previous_time"),
+    ).filter("next = 0")
     checks = [
-        F.when((c("sequence") > 1) & c("has_previous").isNull(), F.lit("gap")),
+        F.when((c("sequence") > 1) & ~c("has_previous"), F.lit("gap")),
         F.when((c("sequence") < 1) | (c("copies") > 1), F.lit("sequence")),
         F.when(
-            ~c("previous_receipt_hash").eqNullSafe(c("expected_previous"))
-            & (c("has_previous").isNotNull() | (c("sequence") == 1)),
+            ~c("previous_receipt_hash").eqNullSafe(c("expected_previous")) & (c("has_previous") | first),
             F.lit("previous_hash"),
         ),
         F.when(c("occurred_at") < c("previous_time"), F.lit("time")),
-        F.when(~c("receipt_hash").eqNullSafe(sha(receipt_material())), F.lit("receipt_hash")),
     ]
-    if "payload" in receipts.columns:
-        checks.append(F.when(~c("payload_sha256").eqNullSafe(sha(c("payload"))), F.lit("payload_hash")))
-    if keys is not None:
-        linked = lookup_or_broadcast(linked, _padded(keys), ["signing_key_id"])
-        checks.append(F.when(~c("signature").eqNullSafe(_signature()), F.lit("signature")))
-    return linked.select("job_id", "sequence", F.array_compact(F.array(*checks)).alias("failures"))
+    return linked.select("job_id", "sequence", F.concat(F.array_compact(F.array(*checks)), "alone").alias("failures"))
 
 
-def verify_chains(receipts: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def verify_chains(receipts: DataFrame, keys: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
     """Per chain: receipts, failed receipts, first failed sequence and overall result."""
     failed = F.size("failures") > 0
-    return verify_receipts(receipts, keys).groupBy("job_id").agg(
+    return verify_receipts(receipts, keys, segment).groupBy("job_id").agg(
         F.count("*").alias("receipts"),
         F.count_if(failed).alias("failed"),
         F.min(F.when(failed, F.col("sequence"))).alias("first_failure"),

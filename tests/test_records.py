@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanledger.functions.hashing import canonical_json, hmac_sha256, padded_keys
 from spanledger.operators import audit, cost, governance, jobs, packs, standards
 from spanledger.operators.skew import lookup_join
+from spanledger.session import materialize
 from spanledger.sources import tables
 
 KEY = b"k" * 40
@@ -287,3 +288,62 @@ def test_request_keys_with_a_common_start(spark):
     stored, _ = jobs.create_jobs(traces.limit(1), verdicts)
     fresh, conflicts = jobs.create_jobs(traces, verdicts, stored)
     assert (fresh.count(), conflicts.count()) == (1, 0)
+
+
+@pytest.mark.parametrize("segment", [2, 3, 1 << 16])
+def test_segments_fold_side_by_side(spark, keys, segment):
+    """Chains that start anew at each segment, continued twice, and their mountain ranges."""
+    schema = "job_id string, sequence bigint, receipt_hash string"
+    both = events(spark, 11).unionByName(events(spark, 4, "k"))
+    first = both.filter("occurred_at < timestamp '2025-01-01 00:00:05'")
+    stored = materialize(audit.build_receipts(first, spark.createDataFrame([], schema), "primary", keys, segment))
+    rest = both.join(stored.select("receipt_id"), "receipt_id", "left_anti")
+    chained = stored.unionByName(audit.build_receipts(rest, stored, "primary", keys, segment).select(*stored.columns))
+    rows = sorted(chained.collect(), key=lambda r: (r.job_id, r.sequence))
+    assert [(r.job_id, r.sequence, r.receipt_id) for r in rows] == [("j", i + 1, f"j-{i}") for i in range(11)] + [("k", i + 1, f"k-{i}") for i in range(4)]
+    last = {}
+    for r in rows:
+        assert r.previous_receipt_hash == (None if (r.sequence - 1) % segment == 0 else last[r.job_id])
+        last[r.job_id] = r.receipt_hash
+    assert {tuple(r.failures) for r in audit.verify_receipts(chained, keys, segment).collect()} == {()}
+    # A receipt cut out, at the edge of a segment too, is missed by the next one.
+    for cut in (2, 4, 6):
+        failures = {r.sequence: r.failures for r in audit.verify_receipts(chained.filter(f"job_id = 'j' and sequence <> {cut}"), keys, segment).collect() if r.failures}
+        assert failures == {cut + 1: ["gap"]}
+    twice = chained.unionByName(chained.filter("job_id = 'j' and sequence = 3"))
+    assert {r.sequence for r in audit.verify_receipts(twice, keys, segment).collect() if "sequence" in r.failures} == {3}
+
+    def root(hashes):
+        peaks, at = [], 0
+        while at < len(hashes):
+            size = 1 << (len(hashes) - at).bit_length() - 1
+            level = hashes[at : at + size]
+            while len(level) > 1:
+                level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2], strict=True)]
+            peaks += level
+            at += size
+        return hashlib.sha256("".join(peaks).encode()).hexdigest()
+
+    heads = {job: [r.receipt_hash for n, r in enumerate(own) if (n + 1) % segment == 0 or n == len(own) - 1] for job in "jk" if (own := [r for r in rows if r.job_id == job])}
+    assert {r.job_id: (r.segments, r.root) for r in audit.chain_roots(chained, segment).collect()} == {job: (len(h), root(h)) for job, h in heads.items()}
+
+
+def test_long_chain_is_spread(spark, keys):
+    """One job with all events: its segments are dealt to many tasks, and only slim rows reach Python."""
+    rows = spark.range(600).select(
+        F.concat(F.lit("r"), F.col("id")).alias("receipt_id"), F.lit(None).cast("string").alias("idempotency_key"), F.lit("j").alias("job_id"), F.lit("t").alias("trace_id"),
+        F.lit("job.created").alias("event_type"), F.lit("system").alias("actor_type"), F.lit("a").alias("actor_id"), F.timestamp_seconds(F.lit(0)).alias("occurred_at"), F.lit("{}").alias("payload"),
+    )
+    built = audit.build_receipts(audit.prepare_events(rows)[0], spark.createDataFrame([], "job_id string, sequence bigint, receipt_hash string"), "primary", keys, 10)
+    fold = built._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[1].split("\n")
+    assert "payload" not in fold[0] and built.filter("previous_receipt_hash is null").count() == 60
+    assert built.agg(F.count_distinct("sequence"), F.max("sequence")).first() == (600, 600)
+
+
+def test_receipts_appended_twice_are_stored_once(spark, keys, tmp_path):
+    made = audit.build_receipts(events(spark, 5), spark.createDataFrame([], EMPTY), "primary", keys)
+    path = str(tmp_path / "store")
+    assert audit.append_receipts(made.filter("sequence <= 3"), path).count() == 3
+    assert audit.append_receipts(made, path).count() == 2
+    assert audit.append_receipts(made, path).count() == 0
+    assert sorted(r.sequence for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5]
