@@ -613,7 +613,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = found.filter(F.col("check").isNotNull()).select("id", "check", "n", "digest", "node")
     credits = found.filter(F.col("met").isNotNull()).select("bucket", "blob")
     able = credits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_add_credits, "node long, n int")
-    # One row of each node brings its text along.
+    # One row of each node brings its text along: repeated rows share id and check.
     chosen = (
         rows.filter(F.col("digest").isNotNull())
         .groupBy("node")
@@ -622,7 +622,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .join(able, "node")
     )
     same = texts["id"].eqNullSafe(chosen["id"]) & (texts["check"] == chosen["check"])
-    asked = materialize(texts.join(chosen, same).select("node", "n", texts["id"], texts["check"], "text"))
+    carried = texts.join(chosen, same).select("node", "n", texts["id"], texts["check"], "text")
+    asked = materialize(carried.dropDuplicates(["node"]))
     pairs = _meet(asked.select("id", "check", "text"), shared, asked.count(), edges=True)
     groups = connected_components(pairs.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
 
@@ -637,7 +638,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     placed = placed.select("node", F.concat_ws(":", "root", F.least("own", "block"), F.greatest("own", "block")).alias("task"))
     dealt = asked.select("node", "text").join(placed, "node").repartition("task").sortWithinPartitions("task", "node")
-    # Equal rows come twice; the search looks at a node once.
     links = materialize(dealt.select("task", "node", "text").mapInArrow(_search, "a long, b long"))
     components = connected_components(links)
 
