@@ -1,11 +1,14 @@
 """Texts of an Arrow batch as byte arrays: words and hashes of spans without Python loops.
 
-A span's hash is a difference of prefix sums of byte values times powers of an
-odd number modulo 2**64, moved to place 0 by the inverse power, then mixed.
+:class:`Hashed` hashes spans of any kind: a difference of prefix sums of byte
+values times powers of an odd number modulo 2**64, moved to place 0 by the
+inverse power, then mixed. Spans of a regular pattern can be made to collide.
+:func:`word_hashes` mixes block by block and has no such patterns.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +78,39 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+#: Bytes from which a word is hashed on its own.
+_LONG_WORD = 512
+#: Keeps the first k bytes of a little-endian block.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit hash of each span [start, end), eight bytes at a time.
+
+    A block is mixed in before the next one is added, so that no arithmetic
+    pattern among the bytes makes two spans meet.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) + np.uint64(_BASE))
+    order = np.argsort(-lengths, kind="stable")
+    sizes = -lengths[order]
+    long = int(np.searchsorted(sizes, -_LONG_WORD, side="right"))
+    for i in order[:long]:
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, np.uint64)[0]
+    order, sizes = order[long:], sizes[long:]
+    at, state = starts[order], out[order]
+    for k in range(0, -int(sizes[0]) if len(sizes) else 0, 8):
+        # Lengths fall, so the spans that still have a byte come first.
+        n = int(np.searchsorted(sizes, -k, side="left"))
+        block = np.take(eights, at[:n] + k) & np.take(_FIRST, np.minimum(-sizes[:n] - k, 8))
+        state[:n] = mix(state[:n] ^ (block * np.uint64(0xD6E8FEB86659FD93)))
+    out[order] = state
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each text and in all); no word crosses a text."""
     inside = ~SPACE[data]

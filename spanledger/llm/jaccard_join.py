@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.bytearrays import LOWER, Hashed, mix, pieces, utf8, word_spans
+from spanledger.llm.bytearrays import LOWER, mix, pieces, utf8, word_hashes, word_spans
 from spanledger.llm.common import key_text, pack_row, unpack_row
 from spanledger.llm.components import connected_components
 from spanledger.session import materialize
@@ -50,7 +50,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple
     word sequence as one shingle; one without words has none.
     """
     starts, ends, firsts = word_spans(data, offsets)
-    words = Hashed(LOWER[data]).spans(starts, ends)
+    words = word_hashes(LOWER[data], starts, ends)
     n = len(offsets) - 1
     counts = np.diff(firsts)
     owner = np.repeat(np.arange(n), counts)
