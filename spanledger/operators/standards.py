@@ -206,31 +206,20 @@ def matched_parts(tokens: DataFrame, tables: Tables) -> DataFrame:
     return _parts(subject_inputs(materialize(tokens)), tables).distinct()
 
 
-def match_standards(tokens: DataFrame, tables: Tables, minimum_score: float = 0.0) -> DataFrame:
-    """Score of every standard that shares something with a subject (STD-04).
-
-    The tokens are read by several branches, so they are written once.
-    """
-    c = F.col
-    tokens = materialize(tokens)
-    features, articles, annex = subject_inputs(tokens)
-    parts = _parts((features, articles, annex), tables)
-    counts = parts.groupBy("subject", "standard_id").agg(
-        *(
-            F.count_if(c("part") == part).alias(f"matched_{part}s")
-            for part in ("characteristic", "evidence", "article", "annex")
-        )
-    )
-    # Which weights apply depends on what the subject supplied at all.
-    supplied = (
+def _supplied(features: DataFrame, articles: DataFrame, annex: DataFrame) -> DataFrame:
+    """Which weights apply depends on what a subject supplied at all."""
+    return (
         features.select("subject", F.lit(1).alias("f"), F.lit(0).alias("a"), F.lit(0).alias("x"))
         .unionAll(articles.select("subject", F.lit(0), F.lit(1), F.lit(0)))
         .unionAll(annex.select("subject", F.lit(0), F.lit(0), F.lit(1)))
         .groupBy("subject")
         .agg(F.max("f").alias("has_features"), F.max("a").alias("has_articles"), F.max("x").alias("has_annex"))
     )
-    evidence_sizes = tables["evidence_characteristics"].groupBy("standard_id").agg(F.count("*").alias("evidence_count"))
-    sizes = tables["standards"].join(evidence_sizes, "standard_id", "left").select(
+
+
+def _sizes(tables: Tables) -> DataFrame:
+    evidence = tables["evidence_characteristics"].groupBy("standard_id").agg(F.count("*").alias("evidence_count"))
+    return tables["standards"].join(evidence, "standard_id", "left").select(
         "standard_id",
         "ord",
         "characteristic_count",
@@ -238,27 +227,36 @@ def match_standards(tokens: DataFrame, tables: Tables, minimum_score: float = 0.
         "annex_count",
         F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"),
     )
-    full = _join_dimension(counts.join(supplied, "subject"), sizes, ["standard_id"])
-    characteristic_ratio = c("matched_characteristics") / c("characteristic_count")
-    evidence_ratio = F.when(c("evidence_count") > 0, c("matched_evidences") / c("evidence_count")).otherwise(characteristic_ratio)
+
+
+def _weighted(characteristic: Column, evidence: Column, article: Column, annex: Column) -> tuple[Column, Column]:
+    """Weighted sum of the ratios that apply, and the sum of their weights."""
+    c = F.col
+    zero = F.lit(0.0)
     by_feature = (c("has_features") == 1) & (c("characteristic_count") > 0)
     by_article = (c("has_articles") == 1) & (c("article_count") > 0)
     by_annex = (c("has_annex") == 1) & (c("annex_count") > 0)
-    zero = F.lit(0.0)
-    weighted = (
-        F.when(by_feature, F.lit(0.70) * characteristic_ratio + F.lit(0.15) * evidence_ratio).otherwise(zero)
-        + F.when(by_article, F.lit(0.25) * (c("matched_articles") / c("article_count"))).otherwise(zero)
-        + F.when(by_annex, F.lit(0.15) * (c("matched_annexs") / c("annex_count"))).otherwise(zero)
+    total = (
+        F.when(by_feature, F.lit(0.70) * characteristic + F.lit(0.15) * evidence).otherwise(zero)
+        + F.when(by_article, F.lit(0.25) * article).otherwise(zero)
+        + F.when(by_annex, F.lit(0.15) * annex).otherwise(zero)
     )
     weight = (
         F.when(by_feature, F.lit(0.85)).otherwise(zero)
         + F.when(by_article, F.lit(0.25)).otherwise(zero)
         + F.when(by_annex, F.lit(0.15)).otherwise(zero)
     )
-    scored = full.withColumn("score", F.round(F.when(weight > 0, weighted / weight).otherwise(zero), 6))
-    return scored.filter(
-        (c("score") > minimum_score) if minimum_score else (c("score") > 0)
-    ).select(
+    return total, weight
+
+
+def _scored(counts: DataFrame, minimum: float) -> DataFrame:
+    """Scores from the numbers of matched parts, above ``minimum``."""
+    c = F.col
+    characteristic = c("matched_characteristics") / c("characteristic_count")
+    evidence = F.when(c("evidence_count") > 0, c("matched_evidences") / c("evidence_count")).otherwise(characteristic)
+    total, weight = _weighted(characteristic, evidence, c("matched_articles") / c("article_count"), c("matched_annexs") / c("annex_count"))
+    scored = counts.withColumn("score", F.round(F.when(weight > 0, total / weight).otherwise(F.lit(0.0)), 6))
+    return scored.filter(c("score") > minimum).select(
         "subject",
         "standard_id",
         "ord",
@@ -271,6 +269,116 @@ def match_standards(tokens: DataFrame, tables: Tables, minimum_score: float = 0.
     )
 
 
+def match_standards(tokens: DataFrame, tables: Tables, minimum_score: float = 0.0) -> DataFrame:
+    """Score of every standard that shares something with a subject (STD-04).
+
+    With a minimum, a pair is built only if it can still reach it, see
+    :func:`bounded_matches`. The tokens are read by several branches, so they
+    are written once.
+    """
+    tokens = materialize(tokens)
+    if minimum_score:
+        return bounded_matches(tokens, tables, minimum_score)
+    features, articles, annex = subject_inputs(tokens)
+    parts = _parts((features, articles, annex), tables)
+    counts = parts.groupBy("subject", "standard_id").agg(
+        *(
+            F.count_if(F.col("part") == part).alias(f"matched_{part}s")
+            for part in ("characteristic", "evidence", "article", "annex")
+        )
+    )
+    full = _join_dimension(counts.join(_supplied(features, articles, annex), "subject"), _sizes(tables), ["standard_id"])
+    return _scored(full, 0.0)
+
+
+def _least_matches(minimum: float) -> Column:
+    """Characteristics that a subject must match at least to score above ``minimum``.
+
+    The other parts are taken to match in full. A little less than the exact
+    bound, because the score is rounded; 0 where the minimum can be reached
+    without any.
+    """
+    c = F.col
+    total, weight = _weighted(F.lit(0.0), F.when(c("evidence_count") > 0, 1.0).otherwise(0.0), F.lit(1.0), F.lit(1.0))
+    slope = F.when(c("evidence_count") > 0, 0.70).otherwise(0.85)
+    by_feature = (c("has_features") == 1) & (c("characteristic_count") > 0)
+    least = F.ceil(c("characteristic_count") * ((F.lit(minimum) - 2e-6) * weight - total) / slope - 1e-6)
+    return F.when(by_feature, F.greatest(least, F.lit(0))).otherwise(F.lit(0)).cast("int")
+
+
+def bounded_matches(tokens: DataFrame, tables: Tables, minimum: float, share: float = 0.5) -> DataFrame:
+    """:func:`match_standards` above ``minimum`` without the pairs that cannot reach it.
+
+    A standard's characteristics stand in order of how many subjects match
+    them, the rarest first. A subject that needs t of n characteristics misses
+    at most n - t, so of the first n - t + l it matches l at least. Only these
+    prefixes are joined, and only pairs with l matches there are built (l is
+    ``share`` of t). Their scores come from the subject's matched phrases, one
+    set a subject, and the standard's parts. Pairs that can reach the minimum
+    without any characteristic are found by their other parts.
+    """
+    c = F.col
+    features, articles, annex = subject_inputs(tokens)
+    supplied = materialize(_supplied(features, articles, annex))
+    sizes = _sizes(tables)
+    phrases = tables["characteristics"].union(tables["evidence_characteristics"])
+    matched = materialize(_phrase_matches(features, phrases))
+
+    # Bounds for each standard and each of the eight kinds of subjects.
+    kind = ["has_features", "has_articles", "has_annex"]
+    kinds = F.array(*(F.struct(*(F.lit(n >> i & 1).alias(name) for i, name in enumerate(kind))) for n in range(8)))
+    bounds = sizes.withColumn("kind", F.explode(kinds)).select("*", "kind.*").withColumn("least", _least_matches(minimum))
+    bounds = materialize(bounds.withColumn("met", F.greatest(F.lit(1), F.ceil(c("least") * share)).cast("int")).drop("kind"))
+    often = matched.groupBy("phrase").agg(F.count("*").alias("subjects"))
+    rarest = Window.partitionBy("standard_id").orderBy(F.coalesce("subjects", F.lit(0)), "phrase")
+    listed = tables["characteristics"].withColumnRenamed("characteristic", "phrase").join(often, "phrase", "left")
+    prefixes = (
+        listed.withColumn("place", F.row_number().over(rarest))
+        .join(bounds.filter("least > 0"), "standard_id")
+        .filter(c("place") <= c("characteristic_count") - c("least") + c("met"))
+        .select("phrase", "standard_id", *kind, "met")
+    )
+    subjects = matched.join(supplied, "subject")
+    built = (
+        _join_dimension(subjects, prefixes, ["phrase", *kind])
+        .groupBy("subject", "standard_id", "met")
+        .agg(F.count("*").alias("n"))
+        .filter("n >= met")
+        .select("subject", "standard_id")
+    )
+    # Where no characteristic is needed, whatever part matches makes the pair.
+    free = bounds.filter("least = 0").select("standard_id", *kind)
+    by_part = _parts((features, articles, annex), tables).select("subject", "standard_id").join(supplied, "subject")
+    built = built.unionAll(_join_dimension(by_part, free, ["standard_id", *kind]).select("subject", "standard_id").distinct())
+
+    def gathered(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.collect_set(value).alias(name))
+
+    # A subject's sets hold no more than the catalog has phrases, articles and sections.
+    own = (
+        supplied.join(gathered(matched, "subject", "phrase", "own_phrases"), "subject", "left")
+        .join(gathered(_join_dimension(articles, tables["articles"].select("article").distinct(), ["article"]), "subject", "article", "own_articles"), "subject", "left")
+        .join(gathered(_join_dimension(annex, tables["annex"].select("annex").distinct(), ["annex"]), "subject", "annex", "own_annex"), "subject", "left")
+    )
+    parts = sizes
+    for name, value in (("characteristics", "characteristic"), ("evidence_characteristics", "characteristic"), ("articles", "article"), ("annex", "annex")):
+        parts = parts.join(gathered(tables[name], "standard_id", value, f"all_{name}"), "standard_id", "left")
+    pairs = _join_dimension(built.join(own, "subject"), parts, ["standard_id"])
+
+    def common(one: str, other: str) -> Column:
+        return F.coalesce(F.size(F.array_intersect(one, other)), F.lit(0)).cast("bigint")
+
+    counts = pairs.withColumns(
+        {
+            "matched_characteristics": common("own_phrases", "all_characteristics"),
+            "matched_evidences": common("own_phrases", "all_evidence_characteristics"),
+            "matched_articles": common("own_articles", "all_articles"),
+            "matched_annexs": common("own_annex", "all_annex"),
+        }
+    )
+    return _scored(counts, minimum)
+
+
 def matched_characteristics(tokens: DataFrame, tables: Tables) -> DataFrame:
     """``(subject, standard_id, characteristic, matched)`` for standards with at least one match."""
     features, _, _ = subject_inputs(tokens)
@@ -286,6 +394,27 @@ def top_standards(matches: DataFrame, k: int = 3) -> DataFrame:
     return matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Thresholds that :func:`best_standards` tries in turn.
+THRESHOLDS = (0.8, 0.5)
+
+
+def best_standards(tokens: DataFrame, tables: Tables, k: int = 3, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """Best ``k`` standards per subject (STD-05) without scoring the low ones.
+
+    A threshold algorithm: a subject with ``k`` standards above a threshold is
+    done, for all others score less. Each threshold is tried on the subjects
+    that are left, by :func:`bounded_matches`; the last ones are matched in full.
+    """
+    left, found = materialize(tokens), None
+    for minimum in (*thresholds, 0.0):
+        ranked = materialize(top_standards(match_standards(left, tables, minimum), k))
+        done = ranked.groupBy("subject").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("subject")
+        kept = ranked.join(done, "subject", "left_semi") if minimum else ranked
+        found = kept if found is None else found.unionByName(kept)
+        left = materialize(left.join(done, "subject", "left_anti")) if minimum else left
+    return found
+
+
 # --- pack-time scores --------------------------------------------------------
 
 

@@ -220,8 +220,8 @@ def standards_low_scores(spark, folder):
     select subject, standard_id, cast(rank as integer) as rank from r where rank <= 3""",
 )
 def top_standards(spark, folder):
-    matches = standards.match_standards(_tokens(spark, folder), _tables(spark, folder))
-    return standards.top_standards(matches, 3).select("subject", "standard_id", "rank")
+    best = standards.best_standards(_tokens(spark, folder), _tables(spark, folder), 3)
+    return best.select("subject", "standard_id", "rank")
 
 
 @query(
