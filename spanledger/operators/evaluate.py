@@ -305,6 +305,7 @@ def evaluate_traces(
             F.lit(None).cast("boolean").alias("j_schema"),
             F.lit(None).cast("boolean").alias("j_disclosure"),
             F.lit(None).cast("double").alias("j_confidence"),
+            F.lit(None).cast("string").alias("judge_rationale"),
             F.lit("not-requested").alias("judge_status"),
         )
     else:
@@ -315,6 +316,7 @@ def evaluate_traces(
             c("schema_valid").alias("j_schema"),
             c("disclosure_present").alias("j_disclosure"),
             c("confidence").cast("double").alias("j_confidence"),
+            (clean_text(c("rationale").cast("string")) if "rationale" in judge_verdicts.columns else F.lit(None).cast("string")).alias("judge_rationale"),
             F.lit("completed").alias("judge_status"),
         )
         judged = base.join(verdicts, "trace_id", "left").withColumn(
@@ -395,6 +397,7 @@ def evaluate_traces(
         F.round(score / 3.0, 4).alias("overall_score"),
         F.when(worsened, c("j_confidence")).otherwise(F.lit(1.0)).alias("confidence"),
         "judge_status",
+        "judge_rationale",
         "pattern_hits",
         "schema_issues",
         (c("found").cast("int") + judge_threat.cast("int") + (c("article15_pos") & ~c("injection_detected")).cast("int")).alias("threat_count"),
@@ -550,6 +553,30 @@ def findings(evaluations: DataFrame) -> DataFrame:
     return evaluations.select("trace_id", F.explode(listed).alias("f")).select("trace_id", "f.*")
 
 
+def advisory_evidence(evaluations: DataFrame) -> DataFrame:
+    """What an advisory verdict leaves behind: ``(trace_id, record, code, evidence)``.
+
+    ``record`` is finding or threat. A recorded assessment has the judge's
+    rationale as evidence, a missing one the reason; a threat that only the
+    judge saw names the judge before the rationale. A verdict without rationale
+    has an empty one.
+    """
+    c = F.col
+    said = F.coalesce("judge_rationale", F.lit(""))
+
+    def entry(when: Column, record: str, code: str, evidence: Column) -> Column:
+        return F.when(when, F.struct(F.lit(record).alias("record"), F.lit(code).alias("code"), evidence.alias("evidence")))
+
+    rows = F.array_compact(
+        F.array(
+            entry(c("judge_status") == "completed", "finding", "LLM_ASSESSMENT_RECORDED", said),
+            entry(c("judge_status") == "fallback", "finding", "LLM_FALLBACK_USED", F.lit("judge-error")),
+            entry(c("detected_by_judge") & ~c("detected_by_rules"), "threat", "prompt-injection", F.concat(F.lit("advisory judge: "), said)),
+        )
+    )
+    return evaluations.select("trace_id", F.explode(rows).alias("e")).select("trace_id", "e.*")
+
+
 def criteria(evaluations: DataFrame) -> DataFrame:
     """Three 0/1 criteria per trace."""
     c = F.col

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions import rules
 from spanledger.functions.hashing import canonical_json, digest_of, sha
+from spanledger.session import materialize
 
 SCHEMA_VERSION = "1.0.0"
 
@@ -270,50 +272,46 @@ def compile_packs(decisions: DataFrame, article_12: DataFrame, article_14: DataF
     )
 
 
-#: Folders that the packs of a store are dealt to, by a hash of the pack id.
-PACK_FOLDERS = 64
+_MANIFEST = "pack_id string, job_id string, sha256 string, size int"
+_STORED = _MANIFEST + ", document string"
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the store; empty before the first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def write_packs(packs: DataFrame, path: str) -> DataFrame:
-    """Merge packs into the store at ``path`` by pack id; returns the manifest.
+    """Append packs that the store at ``path`` does not have; returns the manifest (SNK-03).
 
-    A pack id stands for one content, so a replay changes nothing. The store is
-    written as a new generation beside the old one, which stays readable; the
-    newest generation that was finished counts.
+    A pack id stands for one content, so a replay changes nothing. The store
+    has two tables, ``packs`` and ``manifest`` without the documents; only the
+    manifest is read to find what is new. Documents are written first: after a
+    failure between both writes the next call writes them once more, and
+    readers take equal copies as one.
     """
     spark = packs.sparkSession
     columns = ["pack_id", "job_id", "sha256", "size", "document"]
-    new = packs.select(*columns)
-    number = _generation(spark, path)
-    if number:
-        old = spark.read.parquet(f"{path}/{number:08d}").select(*columns)
-        new = new.unionByName(old.join(new.select("pack_id").distinct(), "pack_id", "left_anti"))
+    known = _read(spark, f"{path}/manifest", _MANIFEST)
+    new = packs.select(*columns).join(known.select("pack_id"), "pack_id", "left_anti")
     # Copies inside a batch are equal but for their documents' origin; the smallest digest stays.
-    single = new.groupBy("pack_id").agg(
-        *(F.min_by(n, "sha256").alias(n) for n in columns[1:])
-    ).withColumn("folder", F.pmod(F.xxhash64("pack_id"), F.lit(PACK_FOLDERS)).cast("int"))
-    single.repartition("folder").write.partitionBy("folder").parquet(f"{path}/{number + 1:08d}")
-    return spark.read.parquet(f"{path}/{number + 1:08d}").select(*columns[:-1])
-
-
-def _generation(spark: SparkSession, path: str) -> int:
-    """Number of the newest finished generation, 0 for none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(hadoop):
-        return 0
-    done = [
-        int(entry.getPath().getName())
-        for entry in store.listStatus(hadoop)
-        if store.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS"))
-    ]
-    return max(done, default=0)
+    chosen = materialize(
+        new.select(*columns[:-1]).groupBy("pack_id").agg(F.min(F.struct("sha256", "job_id", "size")).alias("first")).select("pack_id", "first.job_id", "first.sha256", "first.size")
+    )
+    documents = new.join(chosen, ["pack_id", "job_id", "sha256", "size"], "left_semi").dropDuplicates(["pack_id"])
+    documents.write.mode("append").parquet(f"{path}/packs")
+    chosen.write.mode("append").parquet(f"{path}/manifest")
+    return _read(spark, f"{path}/manifest", _MANIFEST)
 
 
 def verify_packs(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """Stored documents against digest and size of the manifest; bad JSON is reported."""
-    stored = spark.read.parquet(f"{path}/{_generation(spark, path):08d}")
-    actual = stored.select(
+    actual = _read(spark, f"{path}/packs", _STORED).select(
         "pack_id",
         sha(F.col("document")).alias("stored_sha256"),
         F.octet_length("document").alias("stored_size"),
@@ -321,4 +319,5 @@ def verify_packs(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
     )
     joined = manifest.join(actual, "pack_id", "left")
     ok = (F.col("sha256") == F.col("stored_sha256")) & (F.col("size") == F.col("stored_size")) & F.col("valid_json")
-    return joined.select("pack_id", "job_id", F.coalesce(ok, F.lit(False)).alias("valid"))
+    # A pack that was stored twice is valid if all its copies are.
+    return joined.groupBy("pack_id", "job_id").agg(F.min(F.coalesce(ok, F.lit(False))).alias("valid"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from spanledger.operators import audit, digests, evaluate, governance, jobs, pac
 from spanledger.plans import views as v
 from spanledger.plans.registry import plain, query, table, view
 from spanledger.plans.trace_queries import _evaluation_sql, _verdicts, _VERDICTS, CONV
-from spanledger.session import broadcast_if_small, materialize
+from spanledger.session import broadcast_if_small, materialize, shared_folder
 from spanledger.sources.tables import review_problem_counts
 
 JOBS = plain(v.JOBS)
@@ -170,6 +172,56 @@ def filtered_receipts(spark, folder):
     return jobs.filter_receipts(_receipts(spark, folder), event_type="review.signed").select("job_id", "receipt_id", "sequence")
 
 
+_IN_FOUR = "'\"' || c.receipt_hash || '\"'"
+_CHAIN_OF_FOURS = f"""{_EVENTS}, chain as (
+  select n.*, sha256({_material('n', _NULL)}) as receipt_hash from num n where sequence = 1
+  union all select n.*, sha256({_material('n', "case when (n.sequence - 1) % 4 = 0 then 'null' else " + _IN_FOUR + " end")})
+  from num n join chain c on n.job_id = c.job_id and n.sequence = c.sequence + 1),
+heads as (select job_id, (sequence - 1) // 4 as segment, count(*) as receipts, max_by(receipt_hash, sequence) as head_hash from chain group by all)"""
+
+
+def _short_segments(spark, folder) -> DataFrame:
+    events, _ = audit.prepare_events(_events(spark, folder))
+    empty = spark.createDataFrame([], "job_id string, sequence bigint, receipt_hash string")
+    return materialize(audit.build_receipts(events, empty, "building", _keys(spark, folder), 4))
+
+
+@query("receipt_segments", f"with recursive {_CHAIN_OF_FOURS} select job_id, cast(segment as bigint) as segment, receipts, head_hash from heads")
+def receipt_segments(spark, folder):
+    return audit.segment_heads(_short_segments(spark, folder), 4)
+
+
+# Neighbours are hashed level by level; a last one without a neighbour is a peak, higher ones stand before it.
+@query(
+    "chain_roots",
+    f"""with recursive {_CHAIN_OF_FOURS}, levels as (
+      select job_id, count(*) as segments, list(head_hash order by segment) as hs, '' as peaks from heads group by job_id
+      union all select job_id, segments, list_transform(range(1, len(hs) // 2 + 1), lambda i: sha256(hs[2 * i - 1] || hs[2 * i])),
+        case when len(hs) % 2 = 1 then hs[len(hs)] else '' end || peaks from levels where len(hs) > 0)
+    select job_id, segments, sha256(peaks) as root from levels where len(hs) = 0""",
+)
+def chain_roots(spark, folder):
+    return audit.chain_roots(_short_segments(spark, folder), 4)
+
+
+@query("verify_segments", f"with {_EVENTS} select job_id, sequence, 'gap' as failure from num where sequence % 4 = 1 and sequence > 1")
+def verify_segments(spark, folder):
+    # The last receipt of every full segment is gone.
+    kept = _short_segments(spark, folder).filter("sequence % 4 <> 0")
+    rows = audit.verify_receipts(kept, _keys(spark, folder), 4)
+    return rows.select("job_id", "sequence", F.explode("failures").alias("failure"))
+
+
+@query("appended_receipts", f"""with recursive {_CHAIN} select job_id, receipt_id, cast(sequence as bigint) as sequence, receipt_hash from chain""")
+def appended_receipts(spark, folder):
+    """Human receipts are appended, then all, then all again: every receipt is stored once."""
+    path = f"{shared_folder(spark).rstrip('/')}/receipts-{uuid.uuid4().hex}"
+    receipts = _receipts(spark, folder)
+    for batch in (receipts.filter("actor_type = 'human'"), receipts, receipts):
+        audit.append_receipts(batch, path)
+    return spark.read.parquet(path).select("job_id", "receipt_id", "sequence", "receipt_hash")
+
+
 # --- registrations and integrity ---------------------------------------------------------
 
 
@@ -652,6 +704,69 @@ def pack_manifest(spark, folder):
     return made.select("trace_id", "job_id", intact.alias("intact"))
 
 
+@query(
+    "pack_documents",
+    f"""with s as ({CONV}), {_VERDICTS}, {_evaluation_sql('jv')}, g as (select 'conv-' || cast(conv_id as string) as trace_id, count(*) as n,
+      string_agg(distinct lower(p_brand), ',' order by lower(p_brand)) as ids, max(p_size / 50) as best
+      from (select distinct conv_id from conversations) join part on p_partkey in (conv_id + 1, 2 * conv_id + 5) group by all)
+    select e.trace_id, 'job-' || e.trace_id as job_id, 'job-' || e.trace_id as named_job, e.span_count, (select count(distinct name) from s where s.trace_id = e.trace_id) as event_types,
+      policy_action, overall_score as score, injection_detected as threat_flagged, coalesce(n, 0) as standards, coalesce(ids, '') as standard_ids, best as best_score, true as exact
+    from ev e left join g on g.trace_id = e.trace_id where {_AUTHORIZED}""",
+)
+def pack_documents(spark, folder):
+    """The compiled documents read back, with their grounding in standards."""
+    decisions, twelve, fourteen, fifteen = _sections(spark, folder)
+    made = packs.compile_packs(decisions, twelve, fourteen, fifteen, _grounding(spark, folder))
+    doc = lambda path, kind: F.try_variant_get(F.try_parse_json("document"), path, kind)
+    grounded = F.coalesce(doc("$.standards", "array<struct<article:string,standard_id:string,score:double>>"), F.array())
+    # The digest, size and id are those of the document that was read.
+    exact = (sha(F.col("document")) == F.col("sha256")) & (F.octet_length("document") == F.col("size")) & (doc("$.pack_id", "string") == F.col("pack_id"))
+    return made.withColumn("grounded", grounded).select(
+        "trace_id",
+        "job_id",
+        doc("$.job_id", "string").alias("named_job"),
+        doc("$.article_12.span_count", "bigint").alias("span_count"),
+        doc("$.article_12.event_type_count", "bigint").alias("event_types"),
+        doc("$.article_14.policy_action", "string").alias("policy_action"),
+        doc("$.article_15.score", "double").alias("score"),
+        doc("$.article_15.threat_flagged", "boolean").alias("threat_flagged"),
+        F.size("grounded").cast("bigint").alias("standards"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("grounded", lambda g: g["standard_id"]))), ",").alias("standard_ids"),
+        F.array_max(F.transform("grounded", lambda g: g["score"])).alias("best_score"),
+        exact.alias("exact"),
+    )
+
+
+def _grounding(spark, folder) -> DataFrame:
+    """Up to two parts for each conversation, read as scores of standards."""
+    c = F.col
+    traces = table(spark, folder, "conversations").select("conv_id").distinct()
+    wanted = traces.select("conv_id", F.explode(F.array_distinct(F.array(c("conv_id") + 1, 2 * c("conv_id") + 5))).alias("p_partkey"))
+    return wanted.join(table(spark, folder, "part"), "p_partkey").select(
+        F.concat(F.lit("conv-"), c("conv_id").cast("string")).alias("subject"),
+        F.lit("Article 12").alias("article"),
+        F.lower("p_brand").alias("standard_id"),
+        (c("p_size") / 50).alias("score"),
+    )
+
+
+@query(
+    "verified_packs",
+    f"with s as ({CONV}), {_VERDICTS}, {_evaluation_sql('jv')} select 'job-' || trace_id as job_id, policy_action <> 'queue' as valid from ev where {_AUTHORIZED}",
+)
+def verified_packs(spark, folder):
+    """Queued packs are stored first, then all; the manifest says too much of the queued ones."""
+    decisions, twelve, fourteen, fifteen = _sections(spark, folder)
+    made = materialize(packs.compile_packs(decisions, twelve, fourteen, fifteen))
+    queued = F.get_json_object("document", "$.article_14.policy_action") == "queue"
+    path = f"{shared_folder(spark).rstrip('/')}/packs-{uuid.uuid4().hex}"
+    packs.write_packs(made.filter(queued), path)
+    manifest = packs.write_packs(made, path)
+    forged = made.filter(queued).select("pack_id", F.lit(1).alias("more"))
+    manifest = manifest.join(forged, "pack_id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+    return packs.verify_packs(spark, path, manifest).select("job_id", "valid")
+
+
 @query(
     "job_summary",
     f"""with s as ({CONV}), {_VERDICTS}, {_evaluation_sql('jv')} select 'job-' || trace_id as job_id, trace_id, span_count, schema_valid,

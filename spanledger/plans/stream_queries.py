@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,24 @@ def stream_trace_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "trace_id", "span_count", "root_count", F.unix_micros("first_start").alias("first_us"), F.unix_micros("last_start").alias("last_us")
     )
+
+
+def _streamed(spark: SparkSession, folder: str, copies: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str, str]:
+    """A stream of spans over the event records, and folders for its output and progress; ``copies`` gives further records."""
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    records = event_records(spark, folder).select("text")
+    records.write.text(f"{base}/files")
+    copies(records).write.mode("append").text(f"{base}/files")
+    spans = streaming.stream_spans(spark, f"{base}/files")
+    return spans, f"{base}/out", f"{base}/progress"
+
+
+@query(
+    "stream_deduplicated",
+    f"select 'u' || cast(user_id as string) as trace_id, lpad(printf('%x', event_id), 16, '0') as span_id from ({_VALID})",
+)
+def stream_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
+    """All records come twice; each span passes once."""
+    spans, out, progress = _streamed(spark, folder, lambda records: records)
+    streaming.append_spans(streaming.dedup_stream(spans), out, progress).awaitTermination()
+    return spark.read.parquet(out).select("trace_id", "span_id")

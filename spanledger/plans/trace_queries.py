@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.functions import rules
@@ -434,7 +434,7 @@ def _verdicts(spark, folder) -> DataFrame:
         (F.col("quality") == 1).alias("schema_valid"),
         (F.col("quality") == 1).alias("disclosure_present"),
         (F.lit(0.6) + F.col("quality") * 0.2).alias("confidence"),
-        F.lit("label").alias("rationale"),
+        F.concat(F.lit("  label of\n"), F.col("doc_id").cast("string")).alias("rationale"),
     )
 
 
@@ -562,6 +562,67 @@ def conv_finding_evidence(spark, folder):
     return evaluate.finding_evidence(spans, evaluate.evaluate_traces(spans)).drop("evidence")
 
 
+@query(
+    "advisory_evidence",
+    f"""with s as ({CONV}), {_VERDICTS}, {_evaluation_sql('jv')}, said as (select *, 'label of ' || substr(trace_id, 6) as rationale from ev)
+    select trace_id, 'finding' as record, 'LLM_ASSESSMENT_RECORDED' as code, rationale as evidence from said where judge_status = 'completed'
+    union all select trace_id, 'finding', 'LLM_FALLBACK_USED', 'judge-error' from said where judge_status = 'fallback'
+    union all select trace_id, 'threat', 'prompt-injection', 'advisory judge: ' || rationale from said where jd and not found""",
+)
+def advisory_evidence(spark, folder):
+    return evaluate.advisory_evidence(evaluate.evaluate_traces(v.conv_spans(spark, folder), _verdicts(spark, folder)))
+
+
+@query(
+    "declared_threats",
+    """select 'user-' || cast(user_id as string) as trace_id, 'declared-security-threat' as category, 'medium' as severity from events where event_type <> 'error' group by user_id
+    having bool_or(event_type = 'purchase' and (value > 20 and value <= 60 or value <= 5))""",
+)
+def declared_threats(spark, folder):
+    """Threats that a flag declares and no rule sees."""
+    # Error events carry the flags of detected injections; without them a trace has declared threats only.
+    spans = v.evt_spans(spark, folder).filter("name <> 'error'")
+    return evaluate.threats(evaluate.evaluate_traces(spans))
+
+
+@query(
+    "span_events",
+    f"""with s as ({CONV}) select trace_id, span_id, 0 as event_index, 'message.' || name as name, 1704067200 + turn * 60 as seconds, text_length as size from s""",
+)
+def span_events(spark, folder):
+    rows = normalize.explode_events(v.conv_spans(spark, folder))
+    return rows.select(
+        "trace_id", "span_id", "event_index", "name", F.unix_seconds("timestamp").alias("seconds"), F.try_variant_get("attributes", "$.size", "int").alias("size")
+    )
+
+
+@query(
+    "span_links",
+    """select 'u' || cast(user_id as string) as trace_id, lpad(printf('%x', event_id), 16, '0') as span_id, i as link_index, 'v' || cast(user_id + i as string) as linked_trace_id,
+    lpad(printf('%x', event_id + i), 16, '0') as linked_span_id, case when i = 0 then cast(user_id as bigint) end as follows from events, lateral (select unnest(range(0, 1 + event_id % 3)) as i)""",
+)
+def span_links(spark, folder):
+    """Events as records with one to three links, in the spellings that readers accept."""
+    user, event = F.col("user_id").cast("bigint"), F.col("event_id")
+
+    def link(i: int) -> Column:
+        trace = F.concat(F.lit('"v'), (user + i).cast("string"), F.lit('"'))
+        names = ('"traceId"', '"spanId"') if i % 2 else ('"trace_id"', '"linked_span_id"')
+        attributes = F.concat(F.lit(',"attributes":[{"key":"follows","value":{"intValue":"'), user.cast("string"), F.lit('"}}]')) if i == 0 else F.lit("")
+        return F.concat(F.lit("{" + names[0] + ":"), trace, F.lit("," + names[1] + ':"0x'), F.lower(F.hex(event + i)), F.lit('"'), attributes, F.lit("}"))
+
+    several = F.concat(F.lit("["), F.concat_ws(",", link(0), F.when(event % 3 >= 1, link(1)), F.when(event % 3 >= 2, link(2))), F.lit("]"))
+    links = F.when(event % 3 == 0, link(0)).otherwise(several)
+    body = F.concat(
+        F.lit('{"trace_id":"u'), user.cast("string"), F.lit('","span_id":"'), F.lower(F.hex("event_id")), F.lit('","name":"n","start_time":1,"links":'), links, F.lit("}")
+    )
+    records = _raw(table(spark, folder, "events").withColumn("row", event), body)
+    rows = normalize.explode_links(normalize.normalize_spans(sources.unwrap_envelopes(records)))
+    return rows.select(
+        "trace_id", "span_id", "link_index", "linked_trace_id", "linked_span_id", F.try_variant_get("attributes", "$.follows", "bigint").alias("follows")
+    )
+
+
 @query("conv_judge_inputs")
 def conv_judge_inputs(spark, folder):
     rows = evaluate.judge_inputs(v.conv_spans(spark, folder))
