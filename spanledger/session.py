@@ -37,16 +37,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; in local runs without one, a new temporary folder."""
+    """The folder that all executors share; in local runs without one, a temporary folder of the application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL:
+        _LOCAL[name] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[name]
 
 
 def materialize(df: DataFrame) -> DataFrame:
