@@ -306,33 +306,33 @@ def _least_matches(minimum: float) -> Column:
     return F.when(by_feature, F.greatest(least, F.lit(0))).otherwise(F.lit(0)).cast("int")
 
 
-def bounded_matches(tokens: DataFrame, tables: Tables, minimum: float, share: float = 0.5) -> DataFrame:
-    """:func:`match_standards` above ``minimum`` without the pairs that cannot reach it.
+def built_pairs(tokens: DataFrame, tables: Tables, minimum: float, share: float = 0.5) -> DataFrame:
+    """``(subject, standard_id)`` that :func:`bounded_matches` builds for ``minimum``."""
+    features, articles, annex = subject_inputs(tokens)
+    matched = materialize(_phrase_matches(features, _phrases(tables)))
+    return _built(matched, materialize(_supplied(features, articles, annex)), (features, articles, annex), tables, minimum, share)
 
-    A standard's characteristics stand in order of how many subjects match
-    them, the rarest first. A subject that needs t of n characteristics misses
-    at most n - t, so of the first n - t + l it matches l at least. Only these
-    prefixes are joined, and only pairs with l matches there are built (l is
-    ``share`` of t). Their scores come from the subject's matched phrases, one
-    set a subject, and the standard's parts. Pairs that can reach the minimum
-    without any characteristic are found by their other parts.
-    """
+
+def _phrases(tables: Tables) -> DataFrame:
+    return tables["characteristics"].union(tables["evidence_characteristics"])
+
+
+def _built(matched: DataFrame, supplied: DataFrame, inputs: tuple[DataFrame, DataFrame, DataFrame], tables: Tables, minimum: float, share: float) -> DataFrame:
     c = F.col
-    features, articles, annex = subject_inputs(tokens)
-    supplied = materialize(_supplied(features, articles, annex))
     sizes = _sizes(tables)
-    phrases = tables["characteristics"].union(tables["evidence_characteristics"])
-    matched = materialize(_phrase_matches(features, phrases))
 
-    # Bounds for each standard and each of the eight kinds of subjects.
+    # Bounds for each standard and each kind of subjects, of which there are eight at most.
     kind = ["has_features", "has_articles", "has_annex"]
-    kinds = F.array(*(F.struct(*(F.lit(n >> i & 1).alias(name) for i, name in enumerate(kind))) for n in range(8)))
+    present = supplied.select(*kind).distinct().collect()
+    if not present:
+        return matched.select("subject", F.lit(None).cast("string").alias("standard_id")).limit(0)
+    kinds = F.array(*(F.struct(*(F.lit(row[name]).alias(name) for name in kind)) for row in present))
     bounds = sizes.withColumn("kind", F.explode(kinds)).select("*", "kind.*").withColumn("least", _least_matches(minimum))
     bounds = materialize(bounds.withColumn("met", F.greatest(F.lit(1), F.ceil(c("least") * share)).cast("int")).drop("kind"))
     often = matched.groupBy("phrase").agg(F.count("*").alias("subjects"))
     rarest = Window.partitionBy("standard_id").orderBy(F.coalesce("subjects", F.lit(0)), "phrase")
     listed = tables["characteristics"].withColumnRenamed("characteristic", "phrase").join(often, "phrase", "left")
-    prefixes = (
+    prefixes = materialize(
         listed.withColumn("place", F.row_number().over(rarest))
         .join(bounds.filter("least > 0"), "standard_id")
         .filter(c("place") <= c("characteristic_count") - c("least") + c("met"))
@@ -348,8 +348,36 @@ def bounded_matches(tokens: DataFrame, tables: Tables, minimum: float, share: fl
     )
     # Where no characteristic is needed, whatever part matches makes the pair.
     free = bounds.filter("least = 0").select("standard_id", *kind)
-    by_part = _parts((features, articles, annex), tables).select("subject", "standard_id").join(supplied, "subject")
-    built = built.unionAll(_join_dimension(by_part, free, ["standard_id", *kind]).select("subject", "standard_id").distinct())
+    if free.isEmpty():
+        return built
+    _, articles, annex = inputs
+    found = []
+    for table, column, on, facts in (
+        ("characteristics", "characteristic", "phrase", subjects),
+        ("evidence_characteristics", "characteristic", "phrase", subjects),
+        ("articles", "article", "article", articles.join(supplied, "subject")),
+        ("annex", "annex", "annex", annex.join(supplied, "subject")),
+    ):
+        lists = tables[table].withColumnRenamed(column, on).join(free, "standard_id")
+        found.append(_join_dimension(facts, lists, [on, *kind]).select("subject", "standard_id"))
+    return built.unionAll(found[0].unionAll(found[1]).unionAll(found[2]).unionAll(found[3]).distinct())
+
+
+def bounded_matches(tokens: DataFrame, tables: Tables, minimum: float, share: float = 0.5) -> DataFrame:
+    """:func:`match_standards` above ``minimum`` without the pairs that cannot reach it.
+
+    A standard's characteristics stand in order of how many subjects match
+    them, the rarest first. A subject that needs t of n characteristics misses
+    at most n - t, so of the first n - t + l it matches l at least. Only these
+    prefixes are joined, and only pairs with l matches there are built (l is
+    ``share`` of t). Their scores come from the subject's matched phrases, one
+    set a subject, and the standard's parts. Pairs that can reach the minimum
+    without any characteristic are found by their other parts.
+    """
+    features, articles, annex = subject_inputs(tokens)
+    supplied = materialize(_supplied(features, articles, annex))
+    matched = materialize(_phrase_matches(features, _phrases(tables)))
+    built = _built(matched, supplied, (features, articles, annex), tables, minimum, share)
 
     def gathered(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
         return rows.groupBy(key).agg(F.collect_set(value).alias(name))
@@ -360,10 +388,10 @@ def bounded_matches(tokens: DataFrame, tables: Tables, minimum: float, share: fl
         .join(gathered(_join_dimension(articles, tables["articles"].select("article").distinct(), ["article"]), "subject", "article", "own_articles"), "subject", "left")
         .join(gathered(_join_dimension(annex, tables["annex"].select("annex").distinct(), ["annex"]), "subject", "annex", "own_annex"), "subject", "left")
     )
-    parts = sizes
+    parts = _sizes(tables)
     for name, value in (("characteristics", "characteristic"), ("evidence_characteristics", "characteristic"), ("articles", "article"), ("annex", "annex")):
         parts = parts.join(gathered(tables[name], "standard_id", value, f"all_{name}"), "standard_id", "left")
-    pairs = _join_dimension(built.join(own, "subject"), parts, ["standard_id"])
+    pairs = _join_dimension(built.join(own, "subject"), materialize(parts), ["standard_id"])
 
     def common(one: str, other: str) -> Column:
         return F.coalesce(F.size(F.array_intersect(one, other)), F.lit(0)).cast("bigint")

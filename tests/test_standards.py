@@ -1,5 +1,7 @@
 """Pack-time scores and matches of standards on a small catalog."""
 
+import random
+
 import pytest
 
 from spanledger.operators import standards
@@ -78,3 +80,59 @@ def test_low_scores_are_compared():
 
     assert "score <= 0.8" in entry.oracle_sql()["standards_low_scores"]
     assert "standards_low_scores" in entry.queries()
+
+
+def random_catalog(spark, rng):
+    words = [f"w{i}" for i in range(14)]
+    phrases = ["-".join(rng.sample(words, rng.randint(1, 3))) for _ in range(30)]
+    parts = {name: [] for name in ("characteristics", "evidence_characteristics", "articles", "annex")}
+    rows = []
+    for n in range(12):
+        name = f"s{n}"
+        own = sorted(set(rng.sample(phrases, rng.randint(1, 12))))
+        parts["characteristics"] += [(name, p) for p in own]
+        parts["evidence_characteristics"] += [(name, p) for p in sorted(set(rng.sample(phrases, rng.randint(0, 3))))]
+        articles, annex = rng.sample([12, 14, 15], rng.randint(0, 2)), rng.sample([1, 2, 3], rng.randint(0, 2))
+        parts["articles"] += [(name, f"Article {a}") for a in articles]
+        parts["annex"] += [(name, f"annex-iv-{a}") for a in annex]
+        rows.append((name, n, len(own), len(articles), len(annex)))
+    value = {"articles": "article", "annex": "annex"}
+    known = {k: spark.createDataFrame(v, f"standard_id string, {value.get(k, 'characteristic')} string") for k, v in parts.items()}
+    known["standards"] = spark.createDataFrame(rows, "standard_id string, ord int, characteristic_count long, article_count long, annex_count long")
+    tokens = [(s, "-".join(rng.sample(words, rng.randint(1, 3)))) for s in range(40) for _ in range(rng.randint(0, 8))]
+    tokens += [(s, t) for s in range(0, 40, 3) for t in ("Article 12", "12", "article-12")] + [(s, "annex-iv-2") for s in range(0, 40, 4)]
+    return spark.createDataFrame(sorted(set(tokens)), "subject int, token string"), known
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bounded_matches_equal_the_plain_ones(spark, seed):
+    """Every minimum gives the plain scores above it; top k by thresholds is the plain one."""
+    tokens, known = random_catalog(spark, random.Random(seed))
+    plain = {tuple(r) for r in standards.match_standards(tokens, known).collect()}
+    assert len({r[3] for r in plain}) > 20
+    for minimum in (0.1, 0.45, 0.7):
+        found = [tuple(r) for r in standards.match_standards(tokens, known, minimum).collect()]
+        assert len(found) == len(set(found)) and set(found) == {r for r in plain if r[3] > minimum}
+    best = {}
+    for r in sorted(plain, key=lambda r: (r[0], -r[3], r[2])):
+        best.setdefault(r[0], []).append(r[1])
+    found = {(r.subject, r["rank"], r.standard_id) for r in standards.best_standards(tokens, known, 2, (0.7, 0.4)).collect()}
+    assert found == {(s, i + 1, x) for s, own in best.items() for i, x in enumerate(own[:2])}
+
+
+def test_pairs_below_the_bound_are_not_built(spark):
+    """Subjects that share one common phrase of many with each standard meet none of the prefixes."""
+    phrases = [f"p{i}" for i in range(10)]
+    known = {
+        "standards": spark.createDataFrame([(f"s{n}", n, 10, 0, 0) for n in range(20)], "standard_id string, ord int, characteristic_count long, article_count long, annex_count long"),
+        "characteristics": spark.createDataFrame([(f"s{n}", f"{p}x{n}" if p != "p0" else "p0") for n in range(20) for p in phrases], "standard_id string, characteristic string"),
+        "evidence_characteristics": spark.createDataFrame([], "standard_id string, characteristic string"),
+        "articles": spark.createDataFrame([], "standard_id string, article string"),
+        "annex": spark.createDataFrame([], "standard_id string, annex string"),
+    }
+    tokens = [(s, "p0") for s in range(50)] + [(s, f"{p}x{s}") for s in range(5) for p in phrases[1:]]
+    rows = spark.createDataFrame(tokens, "subject int, token string")
+    assert standards.match_standards(rows, known).count() == 50 * 20
+    built = standards.built_pairs(rows, known, 0.5)
+    assert built.count() == 5
+    assert {(r.subject, r.standard_id, r.score) for r in standards.match_standards(rows, known, 0.5).collect()} == {(s, f"s{s}", 1.0) for s in range(5)}
