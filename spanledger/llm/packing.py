@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanledger.llm.common import hash_bits, key_text, lower_ascii, word_count
 from spanledger.llm.jaccard_join import jaccard_groups
+from spanledger.session import materialize
 
 #: Words in a sequence.
 CAPACITY = 2048
@@ -188,6 +189,8 @@ def pack_documents(
     if clusters is not None:
         near = clusters.select("text_key", F.col("cluster").cast("string").alias("near"))
         slim = slim.join(near, "text_key", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near")
+    # The texts are read once; what follows looks at names and sizes alone.
+    slim = materialize(slim)
     last = F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("int")
     pieces = slim.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     first = F.col("piece").cast("long") * capacity
@@ -202,7 +205,7 @@ def pack_documents(
         "text_key",
     )
     # Rows of the table bound the pieces that need placing: one rest each.
-    parts = max(1, -(-docs.count() // group_rows))
+    parts = max(1, -(-slim.count() // group_rows))
     # 60 hash bits; the full bins get ids of their own above those of the tasks.
     whole = (
         pieces.filter(F.col("n_words") == capacity)
