@@ -272,13 +272,11 @@ def _scored(counts: DataFrame, minimum: float) -> DataFrame:
 def match_standards(tokens: DataFrame, tables: Tables, minimum_score: float = 0.0) -> DataFrame:
     """Score of every standard that shares something with a subject (STD-04).
 
-    With a minimum, a pair is built only if it can still reach it, see
-    :func:`bounded_matches`. The tokens are read by several branches, so they
-    are written once.
+    Every pair that shares something is counted; where pairs are many and few
+    reach the minimum, :func:`bounded_matches` builds fewer. The tokens are read
+    by several branches, so they are written once.
     """
     tokens = materialize(tokens)
-    if minimum_score:
-        return bounded_matches(tokens, tables, minimum_score)
     features, articles, annex = subject_inputs(tokens)
     parts = _parts((features, articles, annex), tables)
     counts = parts.groupBy("subject", "standard_id").agg(
@@ -288,7 +286,7 @@ def match_standards(tokens: DataFrame, tables: Tables, minimum_score: float = 0.
         )
     )
     full = _join_dimension(counts.join(_supplied(features, articles, annex), "subject"), _sizes(tables), ["standard_id"])
-    return _scored(full, 0.0)
+    return _scored(full, minimum_score)
 
 
 def _least_matches(minimum: float) -> Column:
@@ -435,7 +433,8 @@ def best_standards(tokens: DataFrame, tables: Tables, k: int = 3, thresholds: tu
     """
     left, found = materialize(tokens), None
     for minimum in (*thresholds, 0.0):
-        ranked = materialize(top_standards(match_standards(left, tables, minimum), k))
+        matches = bounded_matches(left, tables, minimum) if minimum else match_standards(left, tables)
+        ranked = materialize(top_standards(matches, k))
         done = ranked.groupBy("subject").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("subject")
         kept = ranked.join(done, "subject", "left_semi") if minimum else ranked
         found = kept if found is None else found.unionByName(kept)

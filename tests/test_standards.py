@@ -111,7 +111,7 @@ def test_bounded_matches_equal_the_plain_ones(spark, seed):
     plain = {tuple(r) for r in standards.match_standards(tokens, known).collect()}
     assert len({r[3] for r in plain}) > 20
     for minimum in (0.1, 0.45, 0.7):
-        found = [tuple(r) for r in standards.match_standards(tokens, known, minimum).collect()]
+        found = [tuple(r) for r in standards.bounded_matches(tokens, known, minimum).collect()]
         assert len(found) == len(set(found)) and set(found) == {r for r in plain if r[3] > minimum}
     best = {}
     for r in sorted(plain, key=lambda r: (r[0], -r[3], r[2])):
@@ -135,4 +135,4 @@ def test_pairs_below_the_bound_are_not_built(spark):
     assert standards.match_standards(rows, known).count() == 50 * 20
     built = standards.built_pairs(rows, known, 0.5)
     assert built.count() == 5
-    assert {(r.subject, r.standard_id, r.score) for r in standards.match_standards(rows, known, 0.5).collect()} == {(s, f"s{s}", 1.0) for s in range(5)}
+    assert {(r.subject, r.standard_id, r.score) for r in standards.bounded_matches(rows, known, 0.5).collect()} == {(s, f"s{s}", 1.0) for s in range(5)}
