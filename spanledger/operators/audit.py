@@ -399,9 +399,10 @@ def verify_integrity(
     ids = receipts.select("receipt_id").distinct().withColumn("has_receipt", F.lit(True))
 
     def violations(df: DataFrame, record: str, key: Column, checks: list[Column]) -> DataFrame:
-        linked = df.join(ids, "receipt_id", "left")
-        all_checks = [F.when(c("has_receipt").isNull(), F.lit("receipt_missing")), *checks]
-        return linked.select(F.lit(record).alias("record"), key.alias("key"), F.explode(F.array_compact(F.array(*all_checks))).alias("problem"))
+        # What a record shows alone is checked where it lies; only its key and the problems are dealt by receipt.
+        slim = df.select("receipt_id", key.alias("key"), F.array_compact(F.array(*checks)).alias("alone"))
+        missing = F.when(F.col("has_receipt").isNull(), F.array(F.lit("receipt_missing"))).otherwise(F.array().cast("array<string>"))
+        return slim.join(ids, "receipt_id", "left").select(F.lit(record).alias("record"), "key", F.explode(F.concat(missing, "alone")).alias("problem"))
 
     expected = digest_of(
         job_id=c("job_id"),
@@ -417,13 +418,15 @@ def verify_integrity(
         [F.when(c("registration_sha256") != expected, F.lit("digest_mismatch"))],
     )
     registered = registrations.select("job_id", "trace_id", c("trace_sha256").alias("registered_sha256"))
+    mismatch = (c("payload_sha256") != sha(c("payload"))).alias("payload_differs")
+    own = evaluations.select("job_id", "trace_id", "evaluation_id", "receipt_id", "trace_sha256", mismatch)
     found = found.unionByName(
         violations(
-            evaluations.join(registered, ["job_id", "trace_id"], "left"),
+            own.join(registered, ["job_id", "trace_id"], "left"),
             "evaluation",
             c("evaluation_id"),
             [
-                F.when(c("payload_sha256") != sha(c("payload")), F.lit("digest_mismatch")),
+                F.when(c("payload_differs"), F.lit("digest_mismatch")),
                 F.when(c("registered_sha256").isNull(), F.lit("registration_missing")),
                 F.when(c("registered_sha256") != c("trace_sha256"), F.lit("trace_hash_mismatch")),
             ],

@@ -235,6 +235,7 @@ def _registered(spark, folder) -> DataFrame:
             F.length("o_orderpriority").alias("span_count"),
             "o_orderkey",
             "o_orderpriority",
+            "o_orderstatus",
         )
     )
 
@@ -273,7 +274,7 @@ def registration_conflicts(spark, folder):
 )
 def integrity_violations(spark, folder):
     c = F.col
-    base = _registered(spark, folder).join(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    base = _registered(spark, folder)
     receipts = base.filter("o_orderstatus <> 'F'").select("receipt_id")
     registrations = base.withColumn("span_count", c("span_count") + F.when(c("o_orderpriority") == "1-URGENT", 1).otherwise(0))
     payload = F.concat(F.lit('{"order":'), c("o_orderkey").cast("string"), F.lit("}"))
