@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanledger.functions import rules
 from spanledger.functions import variants as V
 from spanledger.session import hold
+from spanledger.sources.spans import UNPARSED
 
 
 def _id_sql(v: str, width: int | None) -> str:
@@ -441,7 +442,9 @@ def normalize_spans(records: DataFrame) -> DataFrame:
         "span",
     )
     # The text of a record is needed for rejected ones only.
-    return hold(normalized.withColumn("raw", F.when(F.size("issues") > 0, F.to_json("span"))).drop("span"))
+    unparsed = F.array_contains("issues", UNPARSED)
+    text = F.when(unparsed, V.text(F.col("span"))).when(F.size("issues") > 0, F.to_json("span"))
+    return hold(normalized.withColumn("raw", text).drop("span"))
 
 
 SPAN_COLUMNS = (
@@ -468,13 +471,15 @@ def split_valid(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(spans, quarantine)`` of a permissive read; no record is lost.
 
     Both outputs parse the records; write ``normalized`` first to use both.
+    Lines that are no JSON are among the rejected ones if the envelopes were
+    unwrapped with ``keep_unparsed``.
     """
     spans = normalized.filter(F.size("issues") == 0).select(*SPAN_COLUMNS)
     rejected = normalized.filter(F.size("issues") > 0).select(
         "source",
         "block",
         "row",
-        F.lit("invalid_span").alias("code"),
+        F.when(F.array_contains("issues", UNPARSED), "invalid_json").otherwise("invalid_span").alias("code"),
         F.array_join("issues", "; ").alias("reason"),
         "raw",
     )

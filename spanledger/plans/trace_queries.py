@@ -750,9 +750,10 @@ def spans_from_records(spark, folder):
         when 4 then 'attributes are invalid' else 'start time is invalid' end end as reason from events where event_type = 'error'""",
 )
 def quarantined_records(spark, folder):
-    raw = event_records(spark, folder)
-    _, rejected = normalize.split_valid(normalize.normalize_spans(sources.unwrap_envelopes(raw)))
-    return sources.unparsed(raw).unionByName(rejected).select("row", "code", "reason")
+    # One pass: lines that are no JSON come with the records.
+    records = sources.unwrap_envelopes(event_records(spark, folder), keep_unparsed=True)
+    _, rejected = normalize.split_valid(normalize.normalize_spans(records))
+    return rejected.select("row", "code", "reason")
 
 
 @query(

@@ -194,20 +194,28 @@ def _open_item(x: str) -> str:
     return f"if({x}.found, array({x}), {_within(doc, 'm', body)})"
 
 
-def unwrap_envelopes(raw: DataFrame) -> DataFrame:
+#: Error of a line that is no JSON.
+UNPARSED = "record is not valid JSON or repeats a key"
+
+
+def unwrap_envelopes(raw: DataFrame, keep_unparsed: bool = False) -> DataFrame:
     """Span records ``(source, block, row, item, span, trace_hint, layers, error)``.
 
     Handles bare spans, ``span``, ``spans``, nested ``data`` / ``records`` /
     ``items`` (also as JSON text), arrays of any of them, and OTLP documents.
     A record's keys are looked at once: bare spans pass as they are, the others
-    are opened one level per step until only spans are left.
+    are opened one level per step until only spans are left. With
+    ``keep_unparsed`` a line that is no JSON is a record with its text and the
+    error ``UNPARSED``, so that one pass gives spans and quarantine.
     """
     wrappers = ("span", "spans", *_CONTAINER_KEYS, *_OTLP_KEYS)
     keys = raw.select("source", "block", "row", "doc", "text", F.expr(f"map_keys({V.sql_fields('doc')})").alias("keys"))
     found = F.arrays_overlap("keys", F.array(*map(F.lit, SPAN_ID_KEYS))) & ~F.arrays_overlap("keys", F.array(*map(F.lit, wrappers)))
-    shaped = keys.select("source", "block", "row", "doc", F.coalesce(found, F.lit(False)).alias("bare"), F.length(F.regexp_replace("text", r"[^\{\[]", "")).alias("depth"))
+    text = ("text",) if keep_unparsed else ()
+    shaped = keys.select("source", "block", "row", "doc", *text, F.coalesce(found, F.lit(False)).alias("bare"), F.length(F.regexp_replace("text", r"[^\{\[]", "")).alias("depth"))
     # A filter on the document would be pushed down and parse every record twice.
-    items = f"""case when doc is null then cast(array() as array<{_ITEM}>)
+    none = _failed("cast(text as variant)", UNPARSED) if keep_unparsed else f"cast(array() as array<{_ITEM}>)"
+    items = f"""case when doc is null then {none}
         when bare then array({_item('doc', _NO_TRACE, '', True)})
         else aggregate(sequence(0, depth + 1),
             named_struct('done', false, 'items', array({_item('doc', _NO_TRACE, '', False)})),
@@ -244,7 +252,7 @@ def unparsed(raw: DataFrame) -> DataFrame:
         "block",
         "row",
         F.lit("invalid_json").alias("code"),
-        F.lit("record is not valid JSON or repeats a key").alias("reason"),
+        F.lit(UNPARSED).alias("reason"),
         F.col("text").alias("raw"),
     )
 
