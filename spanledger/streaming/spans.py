@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from spanledger.operators.digests import tree_digest, with_span_digest
 from spanledger.operators.normalize import SPAN_COLUMNS, normalize_spans, split_valid
 from spanledger.operators.validate import conflicting_duplicates, drop_identical_duplicates
-from spanledger.sources.spans import document_digest, stream_span_lines, unparsed, unwrap_envelopes
+from spanledger.sources.spans import document_digest, stream_span_lines, unwrap_envelopes
 
 
 def stream_spans(spark: SparkSession, path: str) -> DataFrame:
@@ -143,15 +143,14 @@ def current_spans(spark: SparkSession, table_path: str) -> tuple[DataFrame, Data
 def ingest_stream(spark: SparkSession, path: str, store: str, checkpoint: str) -> StreamingQuery:
     """Take in all files of a growing directory; nothing late or invalid is lost.
 
-    Every micro-batch writes its parsed records, its lines that are no JSON and
-    its digests to folders of its own, so a replay replaces them. The readers
-    below see finished folders only.
+    Every micro-batch writes its parsed records, with the lines that are no
+    JSON, and its digests to folders of its own, so a replay replaces them. Each
+    line is parsed once. The readers below see finished folders only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own = f"batch_id={batch_id}"
-        normalize_spans(unwrap_envelopes(batch)).write.mode("overwrite").parquet(f"{store}/parsed/{own}")
-        unparsed(batch).write.mode("overwrite").parquet(f"{store}/unparsed/{own}")
+        normalize_spans(unwrap_envelopes(batch, keep_unparsed=True)).write.mode("overwrite").parquet(f"{store}/parsed/{own}")
         document_digest(batch).write.mode("overwrite").parquet(f"{store}/log/{own}")
 
     return (
@@ -172,8 +171,7 @@ def ingested_spans(spark: SparkSession, store: str) -> tuple[DataFrame, DataFram
 
 def quarantined(spark: SparkSession, store: str) -> DataFrame:
     """Records of a store that are no spans, with code and reason."""
-    _, rejected = split_valid(spark.read.parquet(f"{store}/parsed").drop("batch_id"))
-    return spark.read.parquet(f"{store}/unparsed").drop("batch_id").unionByName(rejected)
+    return split_valid(spark.read.parquet(f"{store}/parsed").drop("batch_id"))[1]
 
 
 def trace_summaries(spark: SparkSession, store: str) -> DataFrame:
