@@ -23,6 +23,13 @@ def digest_of(**fields: Column) -> Column:
     return sha(canonical_json(**fields))
 
 
+def plain_json(**fields: Column) -> Column:
+    """:func:`canonical_json` of fields without a variant or a nested object, given in the order of their names; no variant is built."""
+    if [*fields] != sorted(fields):
+        raise ValueError("fields must stand in the order of their names")
+    return F.to_json(F.struct(*(value.alias(name) for name, value in fields.items())), {"ignoreNullFields": "false"})
+
+
 def json_string(c: Column) -> Column:
     """A JSON string literal, or ``null``."""
     quoted = F.to_json(F.array(c))

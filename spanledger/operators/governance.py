@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import rules
-from spanledger.functions.hashing import canonical_json, digest_of, hmac_sha256, padded_keys
+from spanledger.functions.hashing import canonical_json, digest_of, hmac_sha256, padded_keys, plain_json, sha
 from spanledger.functions.text import dash_token
 from spanledger.operators.cost import lookup_or_broadcast
 
@@ -263,41 +263,47 @@ _NODES = (
 )
 
 
+def _node_issues(name: str, issues: str | None) -> tuple[Column, Column]:
+    """Whether a node is required, and its issues."""
+    required = F.col("human_review_required") if name == "signed_human_review" else F.lit(True)
+    return required, F.array_distinct(issues) if issues else F.array().cast(CODES)
+
+
+def _node_result(node_id: Column, required: Column, issues: Column) -> tuple[Column, Column, Column]:
+    """Status, detail and evidence digest of a node."""
+    c = F.col
+    text = plain_json(
+        evaluation_id=c("g_evaluation_id"),
+        issues=issues,
+        job_id=c("g_job_id"),
+        node_id=node_id,
+        required=required,
+        rule=F.lit(rules.CONSTITUTIONAL_RULE),
+        trace_id=c("trace_id"),
+        trace_sha256=c("g_trace_sha256"),
+    )
+    return F.when(F.size(issues) > 0, "fail").otherwise("pass"), F.array_join(issues, "; "), sha(text)
+
+
 def governance_nodes(decisions: DataFrame) -> DataFrame:
     """Six nodes per request with status, detail and evidence digest."""
     c = F.col
-    nodes = F.array(
-        *(
-            F.struct(
-                F.lit(n).alias("node_order"),
-                F.lit(name).alias("node_id"),
-                (c("human_review_required") if name == "signed_human_review" else F.lit(True)).alias("required"),
-                (F.array_distinct(issues) if issues else F.array().cast(CODES)).alias("issues"),
-            )
-            for n, (name, issues) in enumerate(_NODES)
-        )
-    )
+    listed = []
+    for n, (name, codes) in enumerate(_NODES):
+        required, issues = _node_issues(name, codes)
+        listed.append(F.struct(F.lit(n).alias("node_order"), F.lit(name).alias("node_id"), required.alias("required"), issues.alias("issues")))
     rows = decisions.select(
-        "request_id", "trace_id", "g_trace_sha256", "g_evaluation_id", "g_job_id", F.explode(nodes).alias("n")
+        "request_id", "trace_id", "g_trace_sha256", "g_evaluation_id", "g_job_id", F.explode(F.array(*listed)).alias("n")
     )
-    detail = F.array_join("n.issues", "; ")
+    status, detail, digest = _node_result(c("n.node_id"), c("n.required"), c("n.issues"))
     return rows.select(
         "request_id",
         c("n.node_order").alias("node_order"),
         c("n.node_id").alias("node_id"),
         c("n.required").alias("required"),
-        F.when(F.size("n.issues") > 0, "fail").otherwise("pass").alias("status"),
+        status.alias("status"),
         detail.alias("detail"),
-        digest_of(
-            evaluation_id=c("g_evaluation_id"),
-            issues=c("n.issues"),
-            job_id=c("g_job_id"),
-            node_id=c("n.node_id"),
-            required=c("n.required"),
-            rule=F.lit(rules.CONSTITUTIONAL_RULE),
-            trace_id=c("trace_id"),
-            trace_sha256=c("g_trace_sha256"),
-        ).alias("evidence_digest"),
+        digest.alias("evidence_digest"),
     )
 
 
@@ -310,3 +316,24 @@ def decision_graph_digest(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("request_id").agg(ordered.alias("nodes")).select(
         "request_id", digest_of(nodes=F.col("nodes")).alias("graph_sha256")
     )
+
+
+def decision_graphs(decisions: DataFrame) -> DataFrame:
+    """:func:`decision_graph_digest` from the decisions, one row per request: its nodes are made and digested in its row."""
+    c = F.col
+    rows = decisions.select(
+        "request_id",
+        "trace_id",
+        "g_trace_sha256",
+        "g_evaluation_id",
+        "g_job_id",
+        "human_review_required",
+        *(_node_issues(name, codes)[1].alias(f"issues_{n}") for n, (name, codes) in enumerate(_NODES)),
+    )
+    nodes = []
+    for n, (name, codes) in enumerate(_NODES):
+        required, _ = _node_issues(name, codes)
+        status, detail, digest = _node_result(F.lit(name), required, c(f"issues_{n}"))
+        # Named in the order of canonical JSON.
+        nodes.append(F.struct(detail.alias("detail"), digest.alias("evidence_digest"), F.lit(name).alias("node_id"), F.lit(n).alias("node_order"), status.alias("status")))
+    return rows.select("request_id", sha(plain_json(nodes=F.array(*nodes))).alias("graph_sha256"))

@@ -463,7 +463,7 @@ def governance_nodes(spark, folder):
 
 @query("decision_graph_digests")
 def decision_graph_digests(spark, folder):
-    return governance.decision_graph_digest(governance.governance_nodes(governance.authorize_exports(_gated(spark, folder))))
+    return governance.decision_graphs(governance.authorize_exports(_gated(spark, folder)))
 
 
 # --- jobs ---------------------------------------------------------------------------------------
