@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions import rules
-from spanledger.functions.hashing import canonical_json, digest_of, hmac_sha256, padded_keys, plain_json, sha
+from spanledger.functions.hashing import digest_of, hmac_sha256, padded_keys, plain_json, sha
 from spanledger.functions.text import dash_token
 from spanledger.operators.cost import lookup_or_broadcast
 
@@ -101,11 +101,9 @@ def review_message() -> Column:
         "attestation",
         "signing_key_id",
     )
-    body = canonical_json(
-        **{name: F.col(name) for name in names},
-        scope=F.col("scope"),
-        signed_at=F.date_format("signed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
-    )
+    fields = {name: F.col(name) for name in (*names, "scope")}
+    fields["signed_at"] = F.date_format("signed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    body = plain_json(**dict(sorted(fields.items())))
     prefix = F.concat(F.lit(REVIEW_CONTEXT).cast("binary"), F.unhex(F.lit("00")))
     return F.concat(prefix, body.cast("binary"))
 
