@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanledger.functions import rules
 from spanledger.functions.hashing import base64url, digest_of, hmac_sha256, json_string, padded_keys, sha
 from spanledger.operators.cost import lookup_or_broadcast
 from spanledger.operators.skew import lookup_join
-from spanledger.session import hold, materialize
+from spanledger.session import HASHES, broadcast_if_small, hold, materialize
 
 #: Domain prefix of receipt signatures.
 RECEIPT_CONTEXT = "spanledger/audit-receipt/v1"
@@ -196,31 +199,86 @@ def _numbered(slim: DataFrame, heads: DataFrame) -> DataFrame:
     return placed.withColumn("sequence", sequence.cast("bigint"))
 
 
-def build_receipts(fresh: DataFrame, existing: DataFrame, signing_key_id: str, keys: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Chain new events behind the stored head of each job and sign them.
+def _fold_jobs(segment: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Number and walk rows sorted by job, time and id; the other columns pass as they are."""
+        job, last, sequence = object(), None, 0
+        for batch in batches:
+            numbers, previous, hashes = [], [], []
+            given = (batch.column(name).to_pylist() for name in ("job_id", "head_sequence", "head_hash", "prefix"))
+            for own, head, start, prefix in zip(*given, strict=True):
+                if own != job:
+                    job, last, sequence = own, start, head or 0
+                sequence += 1
+                if (sequence - 1) % segment == 0:
+                    last = None
+                quoted = "null" if last is None else f'"{last}"'
+                material = f'{prefix}{quoted},"schema_version":1,"sequence":{sequence}}}'
+                numbers.append(sequence)
+                previous.append(last)
+                last = hashlib.sha256(material.encode("utf-8")).hexdigest()
+                hashes.append(last)
+            made = {"sequence": pa.array(numbers, pa.int64()), "previous_receipt_hash": pa.array(previous, pa.string()), "receipt_hash": pa.array(hashes, pa.string())}
+            kept = {name: batch.column(name) for name in batch.schema.names if name not in ("head_sequence", "head_hash", "prefix")}
+            yield pa.RecordBatch.from_pydict({**kept, **made})
 
-    Each hash needs the one before it, up to the segment's first receipt, which
-    has none before it. Segments of ``segment`` receipts fold side by side, so a
-    job of any length is spread over all tasks; :func:`chain_roots` binds its
-    segments together. The fold gets the job, the sequence and the canonical
-    beginning of each receipt, nothing else, as a stream of Arrow batches, and
-    keeps one hash; the other columns join by the row's number.
+    return run
+
+
+def _chained(*fields: T.StructField) -> T.StructType:
+    """A schema with the columns of a chain behind ``fields``."""
+    return T.StructType([*fields]).add("sequence", "long").add("previous_receipt_hash", "string").add("receipt_hash", "string")
+
+
+def _whole_jobs(events: DataFrame, heads: DataFrame, segment: int) -> DataFrame:
+    """Chain jobs that a task can hold: whole rows are dealt by job once, and numbered and folded where they then lie."""
+    order = ["job_id", "occurred_at", "receipt_id"]
+    dealt = events.withColumn("prefix", material_prefix()).join(heads, "job_id", "left").select(*events.columns, "prefix", "head_sequence", "head_hash")
+    return dealt.repartition("job_id").sortWithinPartitions(*order).mapInArrow(_fold_jobs(segment), _chained(*events.schema.fields))
+
+
+def _long_jobs(events: DataFrame, heads: DataFrame, segment: int) -> DataFrame:
+    """Chain jobs of any length: rows are numbered by ranges, and segments fold side by side.
+
+    The fold gets the job, the sequence and the canonical beginning of each
+    receipt, nothing else; the other columns join by the row's number.
     """
-    heads = existing.groupBy("job_id").agg(
-        F.max("sequence").alias("head_sequence"), F.max_by("receipt_hash", "sequence").alias("head_hash")
-    )
     c = F.col
     # Written once, so that the numbers of the rows hold.
-    base = materialize(fresh.withColumn("__row", F.monotonically_increasing_id()))
+    base = materialize(events.withColumn("__row", F.monotonically_increasing_id()))
     numbered = _numbered(base.select("__row", "job_id", "occurred_at", "receipt_id", material_prefix().alias("prefix")), heads)
     goes_on = (c("sequence") == c("head_sequence") + 1) & ~starts_segment(c("sequence"), segment)
     folded = (
         numbered.select("__row", "job_id", "sequence", "prefix", F.when(goes_on, c("head_hash")).alias("start"))
         .repartition("job_id", segment_of(c("sequence"), segment))
         .sortWithinPartitions("job_id", "sequence")
-        .mapInPandas(_fold_chains(segment), "__row bigint, sequence bigint, previous_receipt_hash string, receipt_hash string")
+        .mapInPandas(_fold_chains(segment), _chained(T.StructField("__row", T.LongType())))
     )
-    return sign_receipts(base.join(folded, "__row").drop("__row").withColumn("signing_key_id", F.lit(signing_key_id)), keys)
+    return base.join(folded, "__row").drop("__row")
+
+
+def build_receipts(fresh: DataFrame, existing: DataFrame, signing_key_id: str, keys: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Chain new events behind the stored head of each job and sign them.
+
+    Each hash needs the one before it, up to the segment's first receipt, which
+    has none before it. Jobs of up to ``segment`` new events are dealt whole, by
+    one shuffle. Longer ones are numbered by ranges, and their segments fold
+    side by side, so a job of any length is spread over all tasks;
+    :func:`chain_roots` binds its segments together.
+    """
+    heads = existing.groupBy("job_id").agg(
+        F.max("sequence").alias("head_sequence"), F.max_by("receipt_hash", "sequence").alias("head_hash")
+    )
+    # Written once: jobs are counted before they are dealt.
+    base = materialize(fresh, HASHES)
+    long = materialize(base.groupBy("job_id").agg(F.count("*").alias("n")).filter(F.col("n") > segment).select("job_id"))
+    if long.isEmpty():
+        chained = _whole_jobs(base, heads, segment)
+    else:
+        long = broadcast_if_small(long)
+        some, others = base.join(long, "job_id", "left_semi"), base.join(long, "job_id", "left_anti")
+        chained = _whole_jobs(others, heads, segment).unionByName(_long_jobs(some, heads, segment))
+    return sign_receipts(chained.withColumn("signing_key_id", F.lit(signing_key_id)), keys)
 
 
 def segment_heads(receipts: DataFrame, segment: int = SEGMENT) -> DataFrame:
@@ -439,22 +497,51 @@ def verify_integrity(
     return found
 
 
+#: Rows of a month that a task of an append takes.
+_APPENDED = 500_000
+
+
+def _packed(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``rows`` with hexadecimal digests as bytes for a shuffle, and the columns that give ``rows`` again.
+
+    A digest that is not lower-case hexadecimal stays as it is beside them.
+    """
+    given = {f.name for f in rows.schema.fields if f.dataType == T.StringType() and f.name.endswith(("_hash", "_sha256"))}
+    plain = {name: F.col(name).rlike("^(?:[0-9a-f][0-9a-f])+$") for name in given}
+    packed = rows.select(
+        *(n for n in rows.columns if n not in given),
+        *(F.when(plain[n], F.unhex(n)).alias(f"{n}__bytes") for n in given),
+        *(F.when(~plain[n], F.col(n)).alias(f"{n}__text") for n in given),
+    )
+    return packed, [F.coalesce(F.lower(F.hex(f"{n}__bytes")), F.col(f"{n}__text")).alias(n) if n in given else F.col(n) for n in rows.columns]
+
+
 def append_receipts(receipts: DataFrame, path: str) -> DataFrame:
     """Append-only write, partitioned by month; returns what was new (SNK-01).
 
-    Receipts that the store has already, by receipt id and hash, are left out,
-    so a repeated append changes nothing. Of the store, only the two columns of
-    the months that the batch touches are read.
+    Receipts that the store has already, by receipt id and hash, which covers
+    the time, are left out, so a repeated append changes nothing. Of the store,
+    only the two columns of the months that the batch touches are read. Rows are
+    dealt once, by month and parts of large months, beside the stored keys, and
+    written where copies have met; ``batch`` names the append.
     """
     spark = receipts.sparkSession
-    rows = receipts.withColumn("month", F.date_format("occurred_at", "yyyy-MM")).dropDuplicates(["receipt_id", "receipt_hash"])
+    batch = uuid.uuid4().hex
+    rows = receipts.drop("batch").withColumn("month", F.date_format("occurred_at", "yyyy-MM")).withColumn("batch", F.lit(batch))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
+    # A few names a year, for the parts of a month and so that the filter prunes folders.
+    sizes = {r["month"]: r["n"] for r in rows.groupBy("month").agg(F.count("*").alias("n")).collect()}
+    beside = rows.withColumn("stored", F.lit(False))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        # A few names a year, so that the filter prunes folders.
-        months = [r["month"] for r in rows.select("month").distinct().collect()]
-        stored = spark.read.schema(rows.schema).parquet(path).filter(F.col("month").isin(months))
-        rows = rows.join(stored.select("receipt_id", "receipt_hash"), ["receipt_id", "receipt_hash"], "left_anti")
-    fresh = materialize(rows)
-    # One or few files a month; adaptive execution splits a large month.
-    fresh.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
-    return fresh
+        stored = spark.read.schema(schema).parquet(path).filter(F.coalesce(F.col("month").isin(*(m for m in sizes if m is not None)), F.lit(None in sizes)))
+        beside = beside.unionByName(stored.select("receipt_id", "receipt_hash", "month", F.lit(True).alias("stored")), allowMissingColumns=True)
+    parts = F.lit(1)
+    for month, n in sizes.items():
+        if n > _APPENDED:
+            parts = F.when(F.col("month").eqNullSafe(F.lit(month)), F.lit(-(-n // _APPENDED))).otherwise(parts)
+    packed, whole = _packed(beside.withColumn("part", F.pmod(F.xxhash64("receipt_id", "receipt_hash"), parts).cast("int")))
+    same = Window.partitionBy("month", "part", "receipt_id", "receipt_hash__bytes", "receipt_hash__text").orderBy(F.desc("stored"))
+    fresh = packed.repartition("month", "part").withColumn("place", F.row_number().over(same)).filter("place = 1 and not stored").select(*whole)
+    fresh.select(*schema.names).write.mode("append").partitionBy("month").option("compression", HASHES).parquet(path)
+    return spark.read.schema(schema).parquet(path).filter(F.col("batch") == batch)

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import hmac
 import json
+import os
 from decimal import Decimal
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from spanledger.functions.hashing import canonical_json, hmac_sha256, padded_keys
 from spanledger.operators import audit, cost, governance, jobs, packs, standards
 from spanledger.operators.skew import lookup_join
-from spanledger.session import materialize
+from spanledger.session import materialize, shared_folder
 from spanledger.sources import tables
 
 KEY = b"k" * 40
@@ -347,3 +348,17 @@ def test_receipts_appended_twice_are_stored_once(spark, keys, tmp_path):
     assert audit.append_receipts(made, path).count() == 2
     assert audit.append_receipts(made, path).count() == 0
     assert sorted(r.sequence for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_appended_rows_are_written_once(spark, keys, tmp_path):
+    """An append deals and writes rows once, copies within it meet, and digests that are none are kept as they are."""
+    folder, path = shared_folder(spark), str(tmp_path / "store")
+    made = materialize(audit.build_receipts(events(spark, 4), spark.createDataFrame([], EMPTY), "primary", keys))
+    odd = made.withColumn("receipt_hash", F.when(F.col("sequence") == 1, F.upper("receipt_hash")).when(F.col("sequence") == 2, "x").when(F.col("sequence") > 3, None).otherwise(F.col("receipt_hash")))
+    before = sorted(os.listdir(folder))
+    assert audit.append_receipts(odd.unionByName(odd), path).count() == 4
+    assert audit.append_receipts(odd, path).count() == 0
+    assert audit.append_receipts(made, path).count() == 3
+    assert sorted(os.listdir(folder)) == before
+    rows = spark.read.parquet(path).select(*made.columns).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, odd.unionByName(made.filter("sequence <> 3")).collect()))
