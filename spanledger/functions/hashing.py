@@ -31,13 +31,20 @@ def plain_json(**fields: Column) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string literal, or ``null``."""
+    """A JSON string literal, or ``null``; only texts with other than plain ASCII characters go through the JSON writer."""
     quoted = F.to_json(F.array(c))
-    return F.when(c.isNull(), F.lit("null")).otherwise(
-        F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return (
+        F.when(c.isNull(), F.lit("null"))
+        .when(c.rlike(r'[^ !#-\[\]-~]'), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+        .otherwise(F.concat(F.lit('"'), c, F.lit('"')))
     )
 
 
+def without_nulls(*texts: Column) -> Column:
+    """The texts, which all differ, that are not null. Unlike ``array_compact`` it stays in generated code, as do its arguments."""
+    return F.array_except(F.array(*texts), F.array(F.lit(None).cast("string")))
+
+
 def padded_keys(key: Column) -> tuple[Column, Column]:
     """Inner and outer 64-byte HMAC pads of a binary key."""
     block = F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)

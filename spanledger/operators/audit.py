@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanledger.functions import rules
-from spanledger.functions.hashing import base64url, digest_of, hmac_sha256, json_string, padded_keys, sha
+from spanledger.functions.hashing import base64url, digest_of, hmac_sha256, json_string, padded_keys, sha, without_nulls
 from spanledger.operators.cost import lookup_or_broadcast
 from spanledger.operators.skew import lookup_join
 from spanledger.session import HASHES, broadcast_if_small, hold, materialize
@@ -49,16 +49,14 @@ def prepare_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         _lookup(c("actor_type"), rules.RECEIPT_ACTORS).alias("actor_type"),
     ).withColumn("canonical_payload", F.to_json(F.try_parse_json("payload")))
     human_event = c("event_type").isin(*rules.REVIEW_EVENTS)
-    problems = F.array_compact(
-        F.array(
-            F.when(~F.coalesce(c("event_type").rlike(_EVENT), F.lit(False)), F.lit("event type is invalid")),
-            F.when(c("actor_type").isNull(), F.lit("actor type is unknown")),
-            F.when(~F.coalesce(c("actor_id").rlike(_IDENTIFIER), F.lit(False)), F.lit("actor id is invalid")),
-            F.when(~F.coalesce(c("job_id").rlike(_IDENTIFIER), F.lit(False)), F.lit("job id is invalid")),
-            F.when(c("canonical_payload").isNull(), F.lit("payload is not a JSON object")),
-            F.when((c("actor_type") == "human") & ~human_event, F.lit("human actor outside a review")),
-            F.when((c("actor_type") != "human") & human_event, F.lit("review without a human actor")),
-        )
+    problems = without_nulls(
+        F.when(~F.coalesce(c("event_type").rlike(_EVENT), F.lit(False)), F.lit("event type is invalid")),
+        F.when(c("actor_type").isNull(), F.lit("actor type is unknown")),
+        F.when(~F.coalesce(c("actor_id").rlike(_IDENTIFIER), F.lit(False)), F.lit("actor id is invalid")),
+        F.when(~F.coalesce(c("job_id").rlike(_IDENTIFIER), F.lit(False)), F.lit("job id is invalid")),
+        F.when(c("canonical_payload").isNull(), F.lit("payload is not a JSON object")),
+        F.when((c("actor_type") == "human") & ~human_event, F.lit("human actor outside a review")),
+        F.when((c("actor_type") != "human") & human_event, F.lit("review without a human actor")),
     )
     checked = hold(staged.withColumn("problems", problems))
     good = checked.filter(F.size("problems") == 0).drop("problems", "payload").withColumn(
@@ -355,7 +353,7 @@ def verify_receipts(receipts: DataFrame, keys: DataFrame | None = None, segment:
     own = segment_of(c("sequence"), segment)
     ghost = F.when(c("sequence") % segment == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     seen = receipts.select(
-        "job_id", "sequence", "previous_receipt_hash", "receipt_hash", "occurred_at", F.array_compact(F.array(*alone)).alias("alone"), F.explode(ghost).alias("next")
+        "job_id", "sequence", "previous_receipt_hash", "receipt_hash", "occurred_at", without_nulls(*alone).alias("alone"), F.explode(ghost).alias("next")
     ).withColumn("segment", own + c("next"))
     frame = Window.partitionBy("job_id", "segment").orderBy("sequence")
     before, same = frame.rangeBetween(-1, -1), frame.rangeBetween(0, 0)
@@ -376,7 +374,7 @@ def verify_receipts(receipts: DataFrame, keys: DataFrame | None = None, segment:
         ),
         F.when(c("occurred_at") < c("previous_time"), F.lit("time")),
     ]
-    return linked.select("job_id", "sequence", F.concat(F.array_compact(F.array(*checks)), "alone").alias("failures"))
+    return linked.select("job_id", "sequence", F.concat(without_nulls(*checks), "alone").alias("failures"))
 
 
 def verify_chains(receipts: DataFrame, keys: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
@@ -458,7 +456,7 @@ def verify_integrity(
 
     def violations(df: DataFrame, record: str, key: Column, checks: list[Column]) -> DataFrame:
         # What a record shows alone is checked where it lies; only its key and the problems are dealt by receipt.
-        slim = df.select("receipt_id", key.alias("key"), F.array_compact(F.array(*checks)).alias("alone"))
+        slim = df.select("receipt_id", key.alias("key"), without_nulls(*checks).alias("alone"))
         missing = F.when(F.col("has_receipt").isNull(), F.array(F.lit("receipt_missing"))).otherwise(F.array().cast("array<string>"))
         return slim.join(ids, "receipt_id", "left").select(F.lit(record).alias("record"), "key", F.explode(F.concat(missing, "alone")).alias("problem"))
 

@@ -362,3 +362,14 @@ def test_appended_rows_are_written_once(spark, keys, tmp_path):
     assert sorted(os.listdir(folder)) == before
     rows = spark.read.parquet(path).select(*made.columns).collect()
     assert sorted(map(str, rows)) == sorted(map(str, odd.unionByName(made.filter("sequence <> 3")).collect()))
+
+
+def test_checks_of_receipts_stay_in_generated_code(spark, keys):
+    """Checks inside a higher-order function are interpreted, and with them the hashes they look at."""
+    good, bad = audit.prepare_events(spark.createDataFrame([("r", "k", "j", "t", "Job.Created ", "robot", "a\u00e9\"b", "{}")], "receipt_id string, idempotency_key string, job_id string, trace_id string, event_type string, actor_type string, actor_id string, payload string").withColumn("occurred_at", F.timestamp_seconds(F.lit(0))))
+    assert (good.count(), bad.first().reason) == (0, "actor type is unknown")
+    stored = audit.build_receipts(events(spark, 2), spark.createDataFrame([], EMPTY), "primary", keys)
+    checked = audit.verify_receipts(stored.withColumn("actor_id", F.lit('\u00e9"')), keys)
+    for made in (bad, checked):
+        assert "filter(array" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.sequence, r.failures) for r in checked.collect()) == [(n, ["receipt_hash", "signature"]) for n in (1, 2)]
