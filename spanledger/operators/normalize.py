@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import rules
 from spanledger.functions import variants as V
+from spanledger.functions.hashing import without_nulls
 from spanledger.session import hold
 from spanledger.sources.spans import UNPARSED
 
@@ -285,7 +286,8 @@ def _link_id_sql(v: str, width: int) -> str:
     """Link ids may be base64; decoded only when the byte length is exact."""
     text = f"trim({V.sql_text('q')})"
     decoded = f"lower(hex(try_to_binary({text}, 'base64')))"
-    base64_form = f"not {text} rlike '^(?:0x)?[0-9a-fA-F]+$' and length({decoded}) = {width}"
+    # Shorter texts cannot hold the bytes, and a failed decoding costs an exception.
+    base64_form = f"length({text}) >= {-(-width * 2 // 3)} and not {text} rlike '^(?:0x)?[0-9a-fA-F]+$' and length({decoded}) = {width}"
     return f"get(transform(array({v}), q -> if({base64_form}, {decoded}, {_id_sql('q', width)}.id)), 0)"
 
 
@@ -391,35 +393,33 @@ def normalize_spans(records: DataFrame) -> DataFrame:
         "span",
     )
     control = r"[\x00-\x1f\x7f]"
-    issues = F.array_compact(
-        F.array(
-            _issue(F.col("trace_empty"), "trace_id is required"),
-            _issue(~F.col("trace_ok"), "trace_id is invalid"),
-            _issue(F.col("id_empty"), "span_id is required"),
-            _issue(~F.col("id_ok"), "span_id is invalid"),
-            _issue(~F.col("parent_ok"), "parent_span_id is invalid"),
-            _issue(F.coalesce(F.col("name"), F.lit("")) == "", "span name is required"),
-            _issue((F.length("name") > 512) | F.col("name").rlike(control), "span name is invalid"),
-            _issue(~F.col("start_given"), "start time is required"),
-            _issue(F.col("start_given") & F.col("start_time").isNull(), "start time is invalid"),
-            _issue(F.col("end_given") & F.col("end_time").isNull(), "end time is invalid"),
-            _issue(F.col("end_time") < F.col("start_time"), "end_time cannot precede start_time"),
-            _issue(F.col("kind").isNull(), "span kind is invalid"),
-            _issue(F.col("status").isNull(), "status is invalid"),
-            _issue(F.length("status_message") > 2000, "status_message is too long"),
-            _issue(F.col("bad_attributes"), "attributes are invalid"),
-            _issue(F.col("bad_lists"), "events and links must be arrays"),
-            _issue(
-                F.exists(
-                    "events",
-                    lambda e: e["timestamp"].isNull()
-                    | ~F.coalesce(F.length(e["name"]).between(1, 128), F.lit(False))
-                    | e["name"].rlike(control),
-                ),
-                "span event is invalid",
+    issues = without_nulls(
+        _issue(F.col("trace_empty"), "trace_id is required"),
+        _issue(~F.col("trace_ok"), "trace_id is invalid"),
+        _issue(F.col("id_empty"), "span_id is required"),
+        _issue(~F.col("id_ok"), "span_id is invalid"),
+        _issue(~F.col("parent_ok"), "parent_span_id is invalid"),
+        _issue(F.coalesce(F.col("name"), F.lit("")) == "", "span name is required"),
+        _issue((F.length("name") > 512) | F.col("name").rlike(control), "span name is invalid"),
+        _issue(~F.col("start_given"), "start time is required"),
+        _issue(F.col("start_given") & F.col("start_time").isNull(), "start time is invalid"),
+        _issue(F.col("end_given") & F.col("end_time").isNull(), "end time is invalid"),
+        _issue(F.col("end_time") < F.col("start_time"), "end_time cannot precede start_time"),
+        _issue(F.col("kind").isNull(), "span kind is invalid"),
+        _issue(F.col("status").isNull(), "status is invalid"),
+        _issue(F.length("status_message") > 2000, "status_message is too long"),
+        _issue(F.col("bad_attributes"), "attributes are invalid"),
+        _issue(F.col("bad_lists"), "events and links must be arrays"),
+        _issue(
+            F.exists(
+                "events",
+                lambda e: e["timestamp"].isNull()
+                | ~F.coalesce(F.length(e["name"]).between(1, 128), F.lit(False))
+                | e["name"].rlike(control),
             ),
-            _issue(F.exists("links", lambda e: e["span_id"].isNull()), "span link is invalid"),
-        )
+            "span event is invalid",
+        ),
+        _issue(F.exists("links", lambda e: e["span_id"].isNull()), "span link is invalid"),
     )
     normalized = staged.select(
         F.col("trace_id").alias("trace_id"),

@@ -373,3 +373,17 @@ def test_checks_of_receipts_stay_in_generated_code(spark, keys):
     for made in (bad, checked):
         assert "filter(array" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.sequence, r.failures) for r in checked.collect()) == [(n, ["receipt_hash", "signature"]) for n in (1, 2)]
+
+
+def test_issues_of_spans_stay_in_generated_code(spark):
+    """Issues are listed outside higher-order functions; short link ids are not tried as base64, whole ones are decoded."""
+    from spanledger.operators import normalize
+
+    link = '{"trace_id":"%s","span_id":"%s"}' % (base64.b64encode(bytes(range(240, 256))).decode().rstrip("="), base64.b64encode(bytes(range(248, 256))).decode())
+    body = '{"trace_id":"t","span_id":"1","start_time":1,"links":[%s,{"trace_id":"v1","span_id":"2"}]}' % link
+    records = spark.sql("select 's' as source, 0L as block, 0L as row, 0 as item, parse_json(:body) as span, cast(null as variant) as trace_hint, cast(array() as array<variant>) as layers", {"body": body})
+    rows = normalize.normalize_spans(records)
+    assert "array_except(array(CASE WHEN" in rows._jdf.queryExecution().analyzed().toString()
+    row = rows.select("issues", "links.trace_id", "links.span_id").first()
+    assert row.issues == ["span name is required"]
+    assert row.trace_id == [bytes(range(240, 256)).hex(), "v1"] and row.span_id == [bytes(range(248, 256)).hex(), "0" * 15 + "2"]
