@@ -27,6 +27,8 @@ _STARTS = LENGTH - ANCHOR + 1
 _SLICE = 1 << 20
 #: Anchors of one batch (a new suffix array), and of a bucket of the index.
 BATCH_ENTRIES, BUCKET_ENTRIES = 200_000, 300_000
+#: Least entries of a suffix array that joins a family, and matches of a row batch.
+ARRAY_ENTRIES, _MATCHES = 1 << 16, 50_000
 #: Bytes of text that share a byte suffix array, and the largest group of one anchor in it.
 ARRAY_BYTES = 1 << 20
 _HOT = 2000
@@ -144,6 +146,23 @@ class Family:
             power += 1
         self.levels[power] = batch
 
+    def gather(self, batches: list[np.ndarray]) -> None:
+        """Add batches of one bucket, small ones together.
+
+        A bucket keeps its size as the input grows, but gets a batch from every
+        stretch of the input; added one by one, each would be scanned against
+        the whole bucket.
+        """
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= ARRAY_ENTRIES:
+                self.add(_condensed(np.concatenate(held)))
+                held, size = [], 0
+        if held:
+            self.add(_condensed(np.concatenate(held)))
+
     def entries(self) -> np.ndarray:
         parts = [*self.levels.values()] or [np.zeros(0, _ENTRY)]
         return np.concatenate(parts)
@@ -212,8 +231,8 @@ def _batches(buckets: int):
 
 
 def _match_rows(entries: np.ndarray, state: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(entries), 50_000):
-        own = entries[at : at + 50_000]
+    for at in range(0, len(entries), _MATCHES):
+        own = entries[at : at + _MATCHES]
         n = len(own)
         yield pa.RecordBatch.from_arrays(
             [
@@ -250,10 +269,10 @@ def _families(keep_levels: bool, references: bool):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, family, batches = None, Family({}), []
+        passed, size = [], 0
 
         def closed() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                family.add(batch)
+            family.gather(batches)
             found = suffix_order(family.entries())
             hit = found[found["state"] == WHOLE]
             out = [(hit, WHOLE)]
@@ -278,7 +297,11 @@ def _families(keep_levels: bool, references: bool):
                     bucket, family, batches = now, Family({}), []
                 entries = np.frombuffer(blob, _ENTRY).copy()
                 if level == PASSED:
-                    yield from _match_rows(entries, WHOLE)
+                    passed.append(entries)
+                    size += len(entries)
+                    if size >= _MATCHES:
+                        yield from _match_rows(np.concatenate(passed), WHOLE)
+                        passed, size = [], 0
                     if keep_levels:
                         yield _level_row(bucket, PASSED, blob)
                 elif level is None:
@@ -287,6 +310,8 @@ def _families(keep_levels: bool, references: bool):
                     family.levels[level] = entries
         if bucket is not None:
             yield from closed()
+        if passed:
+            yield from _match_rows(np.concatenate(passed), WHOLE)
 
     return run
 

@@ -134,3 +134,52 @@ def test_equal_runs_of_a_batch_send_one_entry_on():
     places = collections.Counter((e[2], e[3]) for own in many.values() for e in own)
     assert set(places.values()) == {1} and len(places) == 50 * len(many[True])
     assert all(e[-1] == suffix_dedup.WHOLE for own in many.values() for e in own)
+
+
+def test_many_small_batches_of_a_bucket_are_scanned_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    blobs = []
+    for i in range(300):
+        entries = np.zeros(20, suffix_dedup._ENTRY)
+        entries["key"], entries["region"] = rng.integers(0, 4000, 20), rng.integers(0, 3, 20)
+        entries["text"], entries["first"] = i, np.arange(20)
+        blobs.append(suffix_dedup._condensed(entries))
+    scanned = []
+    plain = suffix_dedup.Family._scan
+    monkeypatch.setattr(suffix_dedup.Family, "_scan", staticmethod(lambda new, old: scanned.append(len(old)) or plain(new, old)))
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 300, pa.int32()), pa.nulls(300, pa.int32()), pa.array([b.tobytes() for b in blobs])], ["bucket", "level", "blob"]
+    )
+
+    def found():
+        out = collections.Counter()
+        for batch in suffix_dedup._families(False, False)(iter([rows])):
+            out.update(zip(*(batch.column(c).to_pylist() for c in ("text", "first", "state")), strict=True))
+        return out
+
+    together = found()
+    # The entries of a bucket that are looked at grow with the bucket, not with its batches.
+    assert sum(scanned) <= 2 * 300 * 20
+    entries = np.concatenate(blobs)
+    runs = collections.Counter(zip(entries["key"].tolist(), entries["region"].tolist(), strict=True))
+    keys = collections.Counter(entries["key"].tolist())
+    expected = collections.Counter()
+    for e in entries:
+        if runs[int(e["key"]), int(e["region"])] > 1:
+            expected[int(e["text"]), int(e["first"]), suffix_dedup.WHOLE] += 1
+        elif keys[int(e["key"])] > 1:
+            expected[int(e["text"]), int(e["first"]), suffix_dedup.SHARED] += 1
+    assert together == expected
+    monkeypatch.setattr(suffix_dedup, "ARRAY_ENTRIES", 700)
+    assert found() == expected
+
+
+def test_passed_matches_are_given_in_few_batches():
+    entries = np.zeros(10, suffix_dedup._ENTRY)
+    entries["first"] = np.arange(10)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(50), pa.int32()), pa.array([suffix_dedup.PASSED] * 50, pa.int32()), pa.array([entries.tobytes()] * 50)],
+        ["bucket", "level", "blob"],
+    )
+    batches = [b for b in suffix_dedup._families(False, False)(iter([rows])) if b.num_rows]
+    assert len(batches) == 1 and batches[0].num_rows == 500
