@@ -94,7 +94,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     lengths = ends - starts
     out = mix(lengths.astype(np.uint64) + np.uint64(_BASE))
-    order = np.argsort(-lengths, kind="stable")
+    # Short numbers are sorted by their digits.
+    order = np.argsort(-np.minimum(lengths, 1 << 14).astype(np.int16), kind="stable")
     sizes = -lengths[order]
     long = int(np.searchsorted(sizes, -_LONG_WORD, side="right"))
     for i in order[:long]:

@@ -23,28 +23,32 @@ from spanledger.session import materialize
 
 #: Words of a shingle and the least similarity, in percent.
 WORDS, PERCENT = 5, 80
-#: Frequent shingles that are ordered by frequency; a bound on what is broadcast.
-FREQUENT = 1 << 16
+#: Frequent shingles that are told apart, a bound on what is broadcast, and texts that hold them at least.
+FREQUENT, OFTEN = 1 << 16, 50
 #: Shingles of one search task; larger candidate groups are cut into blocks.
 TASK_SHINGLES = 4_000_000
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
-#: Shingles that a task holds before it works on them.
-_COUNTED = 1_000_000
-#: Prefix shingles of a mean text, and of a bucket in which they meet.
-_POSTINGS, _BUCKET = 100, 400_000
+#: Signatures that a task holds before it works on them.
+_HELD = 1_000_000
+#: Signatures of a mean text, and of a bucket in which they meet.
+_POSTINGS, _BUCKET = 150, 500_000
+#: A set shares at least a signature for so many shingles with a partner.
+_SPARE = 64
+#: Mean shingles of a part of the largest sets of a level, by attempt.
+_MEANS = (2.8, 2.5, 3.1, 2.2)
 #: Entries of short lists that are merged with a heap.
-_HEAPED = 2000
+_HEAPED = 50
 #: Members from which a cluster keeps places.
 _LARGE = 16
-#: Most parts into which a bucket's counts are dealt by node.
-_CREDIT_BUCKETS = 1024
+#: Links of a row batch.
+_LINKS = 50_000
 
 
 # Shingle sets
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, cuts): the sorted distinct shingles of text i are hashes[cuts[i]:cuts[i + 1]].
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, cuts, words): the sorted distinct shingles of text i are hashes[cuts[i]:cuts[i + 1]], its words words[i].
 
     Texts are UTF-8 bytes. A text with fewer words than ``width`` has its whole
     word sequence as one shingle; one without words has none.
@@ -59,31 +63,41 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple
         hashes = hashes * _FACTOR + words[i : i + len(hashes)]
     owners = owner[: len(hashes)]
     inside = owners == owner[width - 1 : width - 1 + len(hashes)]
-    hashes, owners = [mix(hashes[inside])], [owners[inside]]
-    for text in np.flatnonzero((counts > 0) & (counts < width)):
-        value = np.uint64(counts[text])
-        for word in words[firsts[text] : firsts[text + 1]]:
-            value = value * _FACTOR + word
-        hashes.append(mix(np.array([value], np.uint64)))
-        owners.append(np.array([text]))
-    hashes, owners = np.concatenate(hashes).view(np.int64), np.concatenate(owners)
-    order = np.lexsort((hashes, owners))
-    hashes, owners = hashes[order], owners[order]
+    hashes, owners = mix(hashes[inside]), owners[inside]
+    few = np.flatnonzero((counts > 0) & (counts < width))
+    if len(few):
+        whole = counts[few].astype(np.uint64)
+        for i in range(width - 1):
+            more = i < counts[few]
+            whole[more] = whole[more] * _FACTOR + words[firsts[few[more]] + i]
+        owners = np.concatenate((owners, few))
+        order = np.argsort(owners, kind="stable")
+        hashes, owners = np.concatenate((hashes, mix(whole)))[order], owners[order]
+    hashes = hashes.view(np.int64)
+    bounds = np.searchsorted(owners, np.arange(n + 1)).tolist()
+    for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+        if end - start > 1:
+            hashes[start:end].sort()
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
     hashes, owners = hashes[fresh], owners[fresh]
-    return hashes, np.searchsorted(owners, np.arange(n + 1))
+    return hashes, np.searchsorted(owners, np.arange(n + 1)), counts
 
 
-def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, distinct shingles) of every text."""
+def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``shingles`` of all texts, some at a time, in order."""
     data, offsets = utf8(column)
     for start, end in pieces(offsets):
         part = offsets[start : end + 1]
         with np.errstate(over="ignore"):
-            hashes, cuts = shingles(data[part[0] : part[-1]], part - part[0])
-        for i in range(end - start):
-            yield start + i, hashes[cuts[i] : cuts[i + 1]]
+            yield shingles(data[part[0] : part[-1]], part - part[0])
+
+
+def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct shingles of every text."""
+    for hashes, cuts, _ in _parts(column):
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield hashes[start:end]
 
 
 def least_overlap(n: int) -> int:
@@ -113,140 +127,129 @@ def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often].astype(np.int64))], ["shingle", "texts"])
 
     for batch in batches:
-        for _, own in _sets(batch.column("text")):
-            held.append(own.copy())
-            size += len(own)
-            if size > _COUNTED:
+        for hashes, _, _ in _parts(batch.column("text")):
+            held.append(hashes)
+            size += len(hashes)
+            if size > _HELD:
                 yield counted()
                 held, size = [], 0
     if held:
         yield counted()
 
 
-def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their approximate frequencies.
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """The most frequent shingles, sorted. They only choose signatures; any answer gives the same links."""
+    counted = texts.mapInArrow(_count_frequent, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts"))
+    top = counted.filter(F.col("texts") >= OFTEN).orderBy(F.desc("texts"), "shingle").limit(FREQUENT).toPandas()
+    return np.sort(top["shingle"].to_numpy(np.int64))
 
-    They only order the search, so that frequent shingles come last and open
-    few candidate groups. Any answer gives the same links.
-    """
-    counted = texts.mapInArrow(_count_frequent, "shingle long, texts long")
-    top = counted.groupBy("shingle").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "shingle").limit(FREQUENT).toPandas()
-    order = np.argsort(top["shingle"].to_numpy(np.int64))
-    return top["shingle"].to_numpy(np.int64)[order], top["texts"].to_numpy(np.int64)[order]
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """Power of two that bounds a size."""
+    return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
 
-def least_meetings(n: int) -> int:
-    """Prefix shingles that a set shares with every partner at least."""
-    return max(1, n // 10)
 
+def most_apart(n: np.ndarray) -> np.ndarray:
+    """Shingles that only one of two linked sets has, at most, if one of them has ``n``: the other has 100 n / PERCENT at most."""
+    return (n + n * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
 
-def _prefix(own: np.ndarray, frequent: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """The first n - T + c shingles in the order (frequency, hash), c as above.
 
-    Linked sets share at least T shingles of either, so each has at least c
-    shared ones here.
-    """
-    keep = len(own) - least_overlap(len(own)) + least_meetings(len(own))
-    if not len(frequent):
-        return own[:keep]
-    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-    often = np.where(frequent[at] == own, texts[at], 0)
-    return own[np.argsort(often, kind="stable")[:keep]]
+def least_meetings(n):
+    """Signatures that a set has beyond those that a partner of it may lack, so that it shares as many with each."""
+    return np.maximum(1, n // _SPARE)
+
 
+def _cut(hashes: np.ndarray, rare: np.ndarray, counts: np.ndarray, parts: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, size, whether one is rare, signature) of what each text has in each of ``parts`` ranges of hashes, where it has something."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    unsigned = hashes.view(np.uint64)
+    # Hashes are sorted as signed numbers, and so are their ranges.
+    high = (unsigned ^ np.uint64(1 << 63)) >> np.uint64(32)
+    part = (high * parts.astype(np.uint64)[owner]) >> np.uint64(32)
+    edge = np.ones(len(hashes), bool)
+    edge[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(edge)
+    text = owner[first]
+    name = mix((salt.astype(np.uint64)[text] << np.uint64(32)) + part[first])
+    sums = np.add.reduceat(unsigned, first) if len(first) else unsigned
+    some = np.logical_or.reduceat(rare, first) if len(first) else rare
+    return text, np.diff(first, append=len(hashes)), some, mix(sums ^ name)
 
-_SEGMENT = np.dtype([("shingle", "<i8"), ("low_node", "<i8"), ("high_node", "<i8"), ("low", "<i4"), ("high", "<i4")])
-_SINGLE = np.dtype([("shingle", "<i8"), ("node", "<i4")])
-_NODE = np.dtype([("node", "<i8"), ("n", "<i4")])
-_CREDIT = np.dtype([("node", "<i8"), ("n", "<i4"), ("met", "<i4")])
 
+def signatures(hashes: np.ndarray, cuts: np.ndarray, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature): of two linked sets that are not equal, one shares its ``least_meetings`` with the other at least.
 
-def _groups(shingle: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Group numbers of segments sorted by (shingle, low).
+    A level (a bound on sizes) cuts all hashes into ranges, and a signature names
+    what a set has in one range. Linked sets differ in ``most_apart`` shingles,
+    so in as many ranges at most. A set with so many more ranges of two shingles or more
+    has some of these in common with each partner, and gives these alone:
+    other texts rarely share all that they have in a range. A set with fewer
+    gives them too and goes on to other ranges, in the end to those with one
+    shingle. Of two partners the one that has enough first decides, and both
+    have given that level's ranges. A set goes to its own level and to that of
+    its largest partner.
 
-    Segments of one shingle are together while sizes may link: the smaller of
-    two linked sets holds ``PERCENT`` of the larger at least.
+    With ``frequent`` shingles, ranges that hold others too are tried first:
+    texts that share common lines alone do not meet in these.
+    """
+    n = np.diff(cuts)
+    rare = np.ones(len(hashes), bool)
+    tries = [(mean, 2, False) for mean in _MEANS] + [(1.0, 1, False)]
+    if frequent is not None and len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] != hashes
+        tries = [(mean, 2, True) for mean in _MEANS] + tries
+    apart = most_apart(n)
+    least = apart + least_meetings(n)
+    own, up = _level(n), _level(n * 100 // PERCENT)
+    texts, found = [], []
+    for step in range(int((up - own).max(initial=0)) + 1):
+        level = own + step
+        left = np.flatnonzero((apart > 0) & (level <= up))
+        for attempt, (mean, fewest, mixed) in enumerate(tries):
+            if not len(left):
+                break
+            counts = n[left]
+            at = np.repeat(cuts[left] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+            parts = np.maximum(2, (np.exp2(level[left]) / mean).astype(np.int64))
+            text, size, some, signature = _cut(hashes[at], rare[at], counts, parts, level[left] * 16 + attempt)
+            use = (size >= fewest) & (some | (not mixed))
+            texts.append(left[text[use]])
+            found.append(signature[use])
+            left = left[np.bincount(text[use], minlength=len(left)) < least[left]]
+        # All shingles in so few ranges: these sets meet by their level.
+        many = np.maximum(1, np.exp2(level[left]).astype(np.int64) // _SPARE)
+        texts.append(np.repeat(left, many))
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        found.append(mix((np.repeat(level[left], many) << 32 | place).astype(np.uint64)))
+    return np.concatenate(texts), np.concatenate(found)
+
+
+_POSTING = np.dtype([("signature", "<u4"), ("node", "<i8")])
+
+
+def _meetings(signature: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the first entry of each signature, and of those with several nodes: smallest node, node).
+
+    Signatures are sorted; a node counts once for each.
     """
-    new = np.ones(len(shingle), bool)
-    other = shingle[1:] != shingle[:-1]
-    number = np.concatenate(([0], np.cumsum(other)))
-    wide = 1 << 40
-    reach = np.maximum.accumulate(number * wide + high)[:-1] % wide
-    new[1:] = other | (100 * reach < PERCENT * low[1:].astype(np.int64))
-    return np.cumsum(new) - 1
-
-
-class _Meetings:
-    """Prefixes of one stretch of rows, cut into groups of one shingle and like sizes."""
-
-    def __init__(self, held: list[tuple[np.ndarray, int, int]]) -> None:
-        counts = [len(p) for p, _, _ in held]
-        self.nodes = np.array([k for _, _, k in held], np.int64)
-        self.sizes = np.array([n for _, n, _ in held], np.int32)
-        shingle, doc = np.concatenate([p for p, _, _ in held]), np.repeat(np.arange(len(held)), counts)
-        order = np.lexsort((self.nodes[doc], self.sizes[doc], shingle))
-        self.shingle, self.doc = shingle[order], doc[order]
-        size = self.sizes[self.doc]
-        self.group = _groups(self.shingle, size, size)
-        self.first = np.flatnonzero(np.diff(self.group, prepend=-1))
-        self.length = np.diff(self.first, append=len(self.group))
-
-    def credits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node, size, prefix shingles that it shares with another of the stretch)."""
-        met = np.repeat(self.length > 1, self.length)
-        count = np.bincount(self.doc[met], minlength=len(self.nodes))
-        some = count > 0
-        return self.nodes[some], self.sizes[some], count[some]
-
-    def edges(self) -> np.ndarray:
-        head = np.repeat(self.doc[self.first], self.length)
-        pairs = np.unique(np.column_stack((head, self.doc)), axis=0)
-        pairs = self.nodes[pairs]
-        return pairs[pairs[:, 0] != pairs[:, 1]]
-
-    def blobs(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """By bucket of the shingle: groups of one, then larger ones by their ends."""
-        head = self.shingle[self.first]
-        bucket = (head.view(np.uint64) >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        last = self.first + self.length - 1
-        for number in np.flatnonzero(np.diff(cuts)):
-            own = order[cuts[number] : cuts[number + 1]]
-            one = own[self.length[own] == 1]
-            more = own[self.length[own] > 1]
-            docs, at = np.unique(self.doc[self.first[one]], return_inverse=True)
-            names = np.zeros(len(docs), _NODE)
-            names["node"], names["n"] = self.nodes[docs], self.sizes[docs]
-            singles = np.zeros(len(one), _SINGLE)
-            singles["shingle"], singles["node"] = self.shingle[self.first[one]], at
-            segments = np.zeros(len(more), _SEGMENT)
-            segments["shingle"] = self.shingle[self.first[more]]
-            for end, place in (("low", self.first[more]), ("high", last[more])):
-                segments[end] = self.sizes[self.doc[place]]
-                segments[f"{end}_node"] = self.nodes[self.doc[place]]
-            head = np.array([len(names), len(singles)], "<i4")
-            yield int(number), head.tobytes() + names.tobytes() + singles.tobytes() + segments.tobytes()
-
-
-def _read_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(segments, whether each is of one node)."""
-    n, m = np.frombuffer(blob, "<i4", 2)
-    at = 8
-    names = np.frombuffer(blob, _NODE, n, at)
-    at += names.nbytes
-    singles = np.frombuffer(blob, _SINGLE, m, at)
-    at += singles.nbytes
-    rest = np.frombuffer(blob, _SEGMENT, -1, at) if at < len(blob) else np.zeros(0, _SEGMENT)
-    out = np.zeros(m + len(rest), _SEGMENT)
-    out["shingle"][:m] = singles["shingle"]
-    for end in ("low", "high"):
-        out[end][:m] = names["n"][singles["node"]]
-        out[f"{end}_node"][:m] = names["node"][singles["node"]]
-    out[m:] = rest
-    return out, np.arange(len(out)) < m
-
-
-_FOUND = "id {id}, check long, n int, digest binary, node long, other long, met int, bucket int, blob binary"
+    new = np.ones(len(signature), bool)
+    new[1:] = signature[1:] != signature[:-1]
+    first = np.flatnonzero(new)
+    length = np.diff(first, append=len(signature))
+    several = np.flatnonzero(np.repeat(length > 1, length))
+    own, number = node[several], np.repeat(np.arange(len(first)), length)[several]
+    order = np.lexsort((own, number))
+    own, number = own[order], number[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (number[1:] != number[:-1])
+    own, number = own[fresh], number[fresh]
+    heads = np.flatnonzero(np.diff(number, prepend=-1))
+    length = np.diff(heads, append=len(number))
+    mixed = np.repeat(length > 1, length)
+    return first, np.repeat(own[heads], length)[mixed], own[mixed]
+
+
+_FOUND = "id {id}, check long, n int, words long, digest binary, node long, other long, met long, bucket int, blob binary"
 
 
 def _found_schema(id_type: pa.DataType) -> pa.Schema:
@@ -255,10 +258,11 @@ def _found_schema(id_type: pa.DataType) -> pa.Schema:
             ("id", id_type),
             ("check", pa.int64()),
             ("n", pa.int32()),
+            ("words", pa.int64()),
             ("digest", pa.binary()),
             ("node", pa.int64()),
             ("other", pa.int64()),
-            ("met", pa.int32()),
+            ("met", pa.int64()),
             ("bucket", pa.int32()),
             ("blob", pa.binary()),
         ]
@@ -272,131 +276,97 @@ def _rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     )
 
 
-def _meeting_rows(schema: pa.Schema, meetings, edges: bool, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Edges, or how many prefix shingles of each node meet, packed by a hash of the node."""
-    if edges:
-        pairs = meetings.edges()
-        if len(pairs):
-            yield _rows(schema, {"node": pairs[:, 0], "other": pairs[:, 1]})
+def _meeting_rows(schema: pa.Schema, least: np.ndarray, node: np.ndarray, edges: bool) -> Iterator[pa.RecordBatch]:
+    """Edges, or how many signatures of each node meet another node."""
+    if not edges:
+        nodes, counts = np.unique(node, return_counts=True)
+        if len(nodes):
+            yield _rows(schema, {"node": nodes, "met": counts})
         return
-    nodes, sizes, counts = meetings.credits()
-    found = np.zeros(len(nodes), _CREDIT)
-    found["node"], found["n"], found["met"] = nodes, sizes, counts
-    bucket = (nodes.astype(np.int64).view(np.uint64) >> np.uint64(20)) % np.uint64(min(buckets, _CREDIT_BUCKETS))
-    order = np.argsort(bucket, kind="stable")
-    own, cuts = np.unique(bucket[order], return_index=True)
-    blobs = [part.tobytes() for part in np.split(found[order], cuts[1:])] if len(own) else []
-    if blobs:
-        yield _rows(schema, {"bucket": own.astype(np.int32), "met": np.ones(len(own), np.int32), "blob": blobs})
-
-
-def _add_credits(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed counts, sorted by bucket, to the nodes that meet often enough to have a partner."""
-
-    def summed(held: list[np.ndarray]) -> np.ndarray:
-        found = np.concatenate(held)
-        nodes, at, place = np.unique(found["node"], return_index=True, return_inverse=True)
-        out = found[at]
-        out["met"] = np.minimum(np.bincount(place, found["met"], minlength=len(nodes)), 1 << 30)
-        return out
-
-    def able(held: list[np.ndarray]) -> pa.RecordBatch:
-        found = summed(held)
-        found = found[found["met"] >= np.maximum(1, found["n"] // 10)]
-        return pa.RecordBatch.from_arrays([pa.array(found["node"]), pa.array(found["n"])], ["node", "n"])
-
-    bucket, held, size = None, [], 0
-    for batch in rows:
-        for now, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            if now != bucket:
-                if held:
-                    yield able(held)
-                bucket, held, size = now, [], 0
-            held.append(np.frombuffer(blob, _CREDIT))
-            size += len(held[-1])
-            if size > _COUNTED:
-                # Nodes of a bucket are few; their counts are many.
-                held = [summed(held)]
-                size = 0
-    if held:
-        yield able(held)
-
-
-def _scan(shared, schema: pa.Schema, buckets: int, edges: bool):
-    """Every text to its set's digest; its prefix to meetings in the task and to blobs."""
+    pairs = np.column_stack((least, node))[least != node]
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = np.any(pairs[1:] != pairs[:-1], axis=1)
+    if len(pairs):
+        yield _rows(schema, {"node": pairs[fresh, 0], "other": pairs[fresh, 1]})
+
+
+def _met(schema: pa.Schema, signature: np.ndarray, node: np.ndarray, buckets: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    """Signatures of a stretch of rows to its meetings, and to blobs of one node for each signature by ranges of them."""
+    order = np.argsort(signature)
+    signature, node = signature[order], node[order]
+    first, *meetings = _meetings(signature, node)
+    yield from _meeting_rows(schema, *meetings, edges)
+    signature = signature[first]
+    postings = np.zeros(len(first), _POSTING)
+    # A bucket is a range; within it 32 other bits tell signatures apart. A false meeting is a candidate that no comparison accepts.
+    postings["signature"], postings["node"] = signature & np.uint64(0xFFFFFFFF), node[first]
+    bucket = ((signature >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    some = np.flatnonzero(np.diff(cuts))
+    if len(some):
+        yield _rows(schema, {"bucket": some.astype(np.int32), "blob": [postings[cuts[i] : cuts[i + 1]].tobytes() for i in some]})
+
+
+def _scan(schema: pa.Schema, buckets: int, edges: bool, shared=None):
+    """Every text to its set's digest; its signatures to meetings in the task and to blobs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, texts = shared.value
-        held: list[tuple[np.ndarray, int, int]] = []
+        frequent = shared.value if shared is not None else None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            meetings = _Meetings(held)
-            yield from _meeting_rows(schema, meetings, edges, buckets)
-            for bucket, blob in meetings.blobs(buckets):
-                yield _rows(schema, {"bucket": [bucket], "blob": [blob]})
-
         seen: set[int] = set()
         for batch in batches:
-            sizes, digests, nodes = [], [], []
-            for _, own in _sets(batch.column("text")):
-                digest = hashlib.md5(own.tobytes()).digest() if len(own) else None
-                node = int.from_bytes(digest[:8], "big", signed=True) if digest else None
-                sizes.append(len(own))
-                digests.append(digest)
-                nodes.append(node)
-                if digest and node not in seen:
-                    seen.add(node)
-                    held.append((_prefix(own, frequent, texts), len(own), node))
-                    size += len(held[-1][0])
-                    if size > _COUNTED:
-                        yield from flushed()
-                        held, size = [], 0
-                        seen.clear()
+            out: dict[str, list] = {"n": [], "words": [], "digest": [], "node": []}
+            for hashes, cuts, words in _parts(batch.column("text")):
+                ends = cuts.tolist()
+                fresh = []
+                for i, (start, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    digest = hashlib.md5(hashes[start:end]).digest() if end > start else None
+                    node = int.from_bytes(digest[:8], "big", signed=True) if digest else None
+                    out["n"].append(end - start)
+                    out["digest"].append(digest)
+                    out["node"].append(node)
+                    if digest and node not in seen:
+                        seen.add(node)
+                        fresh.append((i, node))
+                out["words"].extend(words.tolist())
+                if not fresh:
+                    continue
+                texts, nodes = (np.array(x, np.int64) for x in zip(*fresh, strict=True))
+                counts = np.diff(cuts)[texts]
+                use = np.zeros(len(words), bool)
+                use[texts] = True
+                own = hashes[np.repeat(use, np.diff(cuts))]
+                with np.errstate(over="ignore"):
+                    text, signature = signatures(own, np.concatenate(([0], np.cumsum(counts))), frequent)
+                held.append((signature, nodes[text]))
+                size += len(text)
+                if size > _HELD:
+                    yield from _met(schema, *(np.concatenate(x) for x in zip(*held, strict=True)), buckets, edges)
+                    held, size = [], 0
+                    seen.clear()
             if not edges:
-                yield _rows(
-                    schema, {"id": batch.column("id"), "check": batch.column("check"), "n": sizes, "digest": digests, "node": nodes}
-                )
+                yield _rows(schema, {"id": batch.column("id"), "check": batch.column("check"), **out})
         if held:
-            yield from flushed()
+            yield from _met(schema, *(np.concatenate(x) for x in zip(*held, strict=True)), buckets, edges)
 
     return run
 
 
-class _Joined:
-    """Meetings between the stretches whose blobs are in one bucket."""
+def _join_blobs(schema: pa.Schema, edges: bool):
+    """Rows sorted by bucket: blobs to meetings between their stretches; other rows pass."""
 
-    def __init__(self, blobs: list[bytes]) -> None:
-        parts = [_read_blob(b) for b in blobs]
-        found, single = np.concatenate([p for p, _ in parts]), np.concatenate([o for _, o in parts])
-        order = np.lexsort((found["low_node"], found["low"], found["shingle"]))
-        self.found, self.single = found[order], single[order]
-        self.group = _groups(self.found["shingle"], self.found["low"], self.found["high"])
-        self.first = np.flatnonzero(np.diff(self.group, prepend=-1))
-        self.length = np.diff(self.first, append=len(self.group))
-
-    def credits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A set met in its own stretch has its credit already."""
-        low, high = self.found["low_node"], self.found["high_node"]
-        # A node alone in a group, be it from several stretches, meets no other.
-        mixed = np.bitwise_or.reduceat((low != np.repeat(low[self.first], self.length)) | (low != high), self.first) if len(low) else low
-        met = self.single & np.repeat(mixed, self.length)
-        nodes, at, counts = np.unique(low[met], return_index=True, return_counts=True)
-        return nodes, self.found["low"][met][at], counts
-
-    def edges(self) -> np.ndarray:
-        head = np.repeat(self.found["low_node"][self.first], self.length)
-        pairs = np.unique(np.column_stack((head, self.found["low_node"])), axis=0)
-        return pairs[pairs[:, 0] != pairs[:, 1]]
-
-
-def _join_blobs(schema: pa.Schema, edges: bool, buckets: int):
-    """Rows sorted by bucket: blobs to their meetings; other rows pass."""
+    def joined(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = np.frombuffer(b"".join(blobs), _POSTING)
+        order = np.argsort(found["signature"])
+        _, *meetings = _meetings(found["signature"][order], found["node"][order])
+        yield from _meeting_rows(schema, *meetings, edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            is_blob = pc.and_(batch.column("bucket").is_valid(), batch.column("met").is_null())
+            is_blob = batch.column("bucket").is_valid()
             plain = batch.filter(pc.invert(is_blob))
             if plain.num_rows:
                 yield plain
@@ -404,24 +374,24 @@ def _join_blobs(schema: pa.Schema, edges: bool, buckets: int):
             for now, blob in zip(blobs.column("bucket").to_pylist(), blobs.column("blob").to_pylist(), strict=True):
                 if now != bucket:
                     if held:
-                        yield from _meeting_rows(schema, _Joined(held), edges, buckets)
+                        yield from joined(held)
                     bucket, held = now, []
                 held.append(blob)
         if held:
-            yield from _meeting_rows(schema, _Joined(held), edges, buckets)
+            yield from joined(held)
 
     return run
 
 
-def _meet(texts: DataFrame, shared, rows: int, edges: bool) -> DataFrame:
+def _meet(texts: DataFrame, rows: int, edges: bool, shared=None) -> DataFrame:
     """Rows of ``_FOUND`` for (id, check, text), written to the shared folder."""
     kind = _FOUND.format(id=texts.schema["id"].dataType.simpleString())
     id_type = texts.sparkSession.createDataFrame([], texts.select("id").schema).toArrow().schema.field("id").type
     schema = _found_schema(id_type)
     buckets = max(1, math.ceil(rows * _POSTINGS / _BUCKET))
-    scanned = texts.mapInArrow(_scan(shared, schema, buckets, edges), kind)
+    scanned = texts.mapInArrow(_scan(schema, buckets, edges, shared), kind)
     dealt = scanned.repartition(F.coalesce("bucket", F.xxhash64("id", "node", "check"))).sortWithinPartitions("bucket")
-    return materialize(dealt.mapInArrow(_join_blobs(schema, edges, buckets), kind))
+    return materialize(dealt.mapInArrow(_join_blobs(schema, edges), kind))
 
 
 # Search
@@ -447,7 +417,7 @@ def divide_skip(lists: list, least: int) -> tuple[np.ndarray, np.ndarray]:
             counts.append(sum(1 for _ in group))
         numbers, counts = np.array(numbers, np.int64), np.array(counts, np.int64)
     else:
-        numbers, counts = np.unique(np.concatenate([np.frombuffer(own, np.int32) for own in short]), return_counts=True)
+        numbers, counts = np.unique(np.frombuffer(b"".join(short), np.int32), return_counts=True)
     for left, own in zip(range(len(long), 0, -1), long, strict=True):
         possible = counts + left >= least
         numbers, counts = numbers[possible], counts[possible]
@@ -471,7 +441,7 @@ class Linker:
 
     def __init__(self) -> None:
         self.lists: dict[int, array] = {}
-        self.members: list[list[tuple[np.ndarray, object]]] = []
+        self.members: list[list[tuple[np.ndarray, object, int]]] = []
         self.parent: list[int] = []
         # Of large clusters: by shingle the places of the members that hold it.
         self.places: dict[int, dict[int, array]] = {}
@@ -489,23 +459,23 @@ class Linker:
             return
         if cluster not in self.places:
             self.places[cluster] = {}
-            for at, (own, _) in enumerate(members[:-1]):
+            for at, (own, _, _) in enumerate(members[:-1]):
                 for v in own.tolist():
                     self.places[cluster].setdefault(v, array("i")).append(at)
         places = self.places[cluster]
         for v in values:
             places.setdefault(v, array("i")).append(len(members) - 1)
 
-    def _partner(self, cluster: int, own: np.ndarray, values: list[int]) -> int | None:
+    def _partner(self, cluster: int, own: np.ndarray, values: list[int], n: int) -> int | None:
         """Place of a member that links, the last ones first; members stand in order of size."""
-        members, n = self.members[cluster], len(own)
+        members = self.members[cluster]
         first = len(members)
         while first and len(members) - first < _LARGE:
-            other = members[first - 1][0]
-            if not _compatible(len(other), n):
+            other, _, size = members[first - 1]
+            if not _compatible(size, n):
                 return None
-            at = np.minimum(np.searchsorted(own, other), n - 1)
-            if linked(int((own[at] == other).sum()), n, len(other)):
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            if linked(int((own[at] == other).sum()), n, size):
                 return first - 1
             first -= 1
         if not first:
@@ -514,13 +484,16 @@ class Linker:
         places = self.places[cluster]
         lists = [np.frombuffer(places[v], np.int32) for v in values if v in places]
         common = np.bincount(np.concatenate(lists), minlength=len(members)) if lists else np.zeros(len(members), np.int64)
-        sizes = np.array([len(o) for o, _ in members])
+        sizes = np.array([size for _, _, size in members])
         hits = np.flatnonzero(100 * common >= PERCENT * (n + sizes - common))
         return int(hits[-1]) if len(hits) else None
 
-    def add(self, own: np.ndarray, name: object) -> list[object]:
-        """Link a set, not smaller than those before; returns a linked name of each cluster it joins."""
-        n = len(own)
+    def add(self, own: np.ndarray, name: object, size: int | None = None) -> list[object]:
+        """Link a set, not smaller than those before; returns a linked name of each cluster it joins.
+
+        Elements that no other set has may be left out of ``own``; ``size`` counts them.
+        """
+        n = len(own) if size is None else size
         values = own.tolist()
         lists = [found for v in values if (found := self.lists.get(v))]
         home, partners = None, []
@@ -529,9 +502,9 @@ class Linker:
                 continue
             if len(self.members[cluster]) == 1:
                 # The count is the exact overlap with its only set.
-                found = 0 if linked(common, n, len(self.members[cluster][0][0])) else None
+                found = 0 if linked(common, n, self.members[cluster][0][2]) else None
             else:
-                found = self._partner(cluster, own, values)
+                found = self._partner(cluster, own, values, n)
             if found is not None:
                 partners.append(self.members[cluster][found][1])
                 if home is None:
@@ -542,7 +515,7 @@ class Linker:
             home = len(self.members)
             self.members.append([])
             self.parent.append(home)
-        self.members[home].append((own, name))
+        self.members[home].append((own, name, n))
         self._note(home, values)
         for v in values:
             found = self.lists.get(v)
@@ -557,33 +530,44 @@ class Linker:
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by task to links between nodes of one task."""
-    task, held = None, []
+    task, held = None, {}
+    a, b = [], []
 
-    def links() -> pa.RecordBatch:
+    def search() -> None:
+        if len(held) < 2:
+            return
+        sets = sorted(held.items(), key=lambda x: (len(x[1]), x[0]))
+        sizes = [len(own) for _, own in sets]
+        _, number, counts = np.unique(np.concatenate([own for _, own in sets]), return_inverse=True, return_counts=True)
+        # A shingle of one set alone meets nothing.
+        common = counts[number] > 1
+        cuts = np.concatenate(([0], np.cumsum(common)))[np.cumsum([0, *sizes])]
+        number = number[common].astype(np.int32)
         linker = Linker()
-        a, b, seen = [], [], set()
-        for own, node in sorted(held, key=lambda x: (len(x[0]), x[1])):
-            if node not in seen:
-                seen.add(node)
-                for other in linker.add(own, node):
-                    a.append(node)
-                    b.append(other)
+        for (node, _), size, start, end in zip(sets, sizes, cuts[:-1], cuts[1:], strict=True):
+            for other in linker.add(number[start:end], node, size):
+                a.append(node)
+                b.append(other)
+
+    def links() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
         sets = _sets(batch.column("text"))
-        for now, node, (_, own) in zip(batch.column("task").to_pylist(), batch.column("node").to_pylist(), sets, strict=True):
+        for now, node, own in zip(batch.column("task").to_pylist(), batch.column("node").to_pylist(), sets, strict=True):
             if now != task:
-                if len(held) > 1:
+                search()
+                task, held = now, {}
+                if len(a) > _LINKS:
                     yield links()
-                task, held = now, []
-            held.append((own.copy(), node))
-    if len(held) > 1:
-        yield links()
+                    a, b = [], []
+            held.setdefault(node, own.copy())
+    search()
+    yield links()
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, check, n_shingles, class_id, component_id) of every row.
+    """(id, check, n_shingles, class_id, component_id, n_words) of every row.
 
     Two texts link when their sets of ``WORDS``-word shingles (A to Z in lower
     case) have a Jaccard similarity of ``PERCENT`` percent or more. ``class_id``
@@ -591,12 +575,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reachable by links.
 
     1. Every text is hashed to its set; equal sets are one node from here on.
-       Rare shingles first, a prefix of each set is made to meet the others'. A
-       set of which too few prefix shingles meet another of compatible size has
-       no partner. This needs no pairs: a frequent shingle leaves a stretch of
-       rows as one segment.
-    2. The texts of the remaining nodes meet again, now for edges. Components
-       of these edges are candidate groups; groups above ``TASK_SHINGLES`` are
+       Nodes meet where they share a signature (:func:`signatures`), and a node
+       with too few meetings has no partner. This needs no pairs: a frequent
+       signature leaves a stretch of rows once.
+    2. The texts of the remaining nodes meet again, now for edges and by what they
+       share besides frequent shingles. Components of these edges are candidate groups; groups above ``TASK_SHINGLES`` are
        cut into blocks and searched by pairs of blocks.
     3. Within a task, T-occurrence search over inverted lists of clusters finds
        partners; an exact comparison decides.
@@ -608,23 +591,25 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("check"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = spark.sparkContext.broadcast(frequent_shingles(texts.select("text")))
-    found = _meet(texts, shared, docs.count(), edges=False)
-    rows = found.filter(F.col("check").isNotNull()).select("id", "check", "n", "digest", "node")
-    credits = found.filter(F.col("met").isNotNull()).select("bucket", "blob")
-    able = credits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_add_credits, "node long, n int")
+    found = _meet(texts, docs.count(), edges=False)
+    rows = found.filter(F.col("check").isNotNull()).select("id", "check", "n", "words", "digest", "node")
+    met = found.filter(F.col("met").isNotNull()).groupBy("node").agg(F.sum("met").alias("met"))
+    # A partner that decides may be smaller, and need fewer meetings.
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / _SPARE))
     # One row of each node brings its text along: repeated rows share id and check.
     chosen = (
         rows.filter(F.col("digest").isNotNull())
         .groupBy("node")
         # A set that only rows without id have still has a text.
-        .agg(F.min("id").alias("id"), F.coalesce(F.min_by("check", "id"), F.min("check")).alias("check"))
-        .join(able, "node")
+        .agg(F.min("id").alias("id"), F.coalesce(F.min_by("check", "id"), F.min("check")).alias("check"), F.min("n").alias("n"))
+        .join(met, "node")
+        .filter(F.col("met") >= need)
     )
     same = texts["id"].eqNullSafe(chosen["id"]) & (texts["check"] == chosen["check"])
     carried = texts.join(chosen, same).select("node", "n", texts["id"], texts["check"], "text")
     asked = materialize(carried.dropDuplicates(["node"]))
-    pairs = _meet(asked.select("id", "check", "text"), shared, asked.count(), edges=True)
+    shared = spark.sparkContext.broadcast(frequent_shingles(asked.select("text")))
+    pairs = _meet(asked.select("id", "check", "text"), asked.count(), True, shared)
     groups = connected_components(pairs.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
 
     groups = materialize(asked.select("node", "n").join(groups, "node"))
@@ -651,6 +636,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("component_id", "id").alias("component_id"),
+        F.col("words").alias("n_words"),
     )
 
 
