@@ -41,30 +41,27 @@ def with_span_digest(spans: DataFrame) -> DataFrame:
 def tree_digest(rows: DataFrame, keys: list[str], digest: str, out: str = "digest") -> DataFrame:
     """One order-independent digest per key over all its row digests.
 
-    The digests are hashed in buckets of their first four, then first two hex
-    digits, then once per key. No task sees more than one bucket of a key, so a
-    key that holds a third of all rows is spread like any other, and equal
-    digests are counted before the first bucket is built.
+    The digests (hexadecimal) are hashed in buckets of their first four, then first two hex
+    digits, then once per key. No task sees more than the rows of one key with the same two
+    digits, so a key that holds a third of all rows is spread like any other, and equal
+    digests are counted before they are dealt. Digests are dealt as bytes, one to a row:
+    most buckets hold one, and lists of one cost more than it.
     """
-    counted = rows.groupBy(*keys, digest).agg(F.count("*").alias("copies"))
+    raw = F.unhex(digest)
+    counted = rows.select(*keys, raw.alias("raw")).groupBy(*keys, "raw").agg(F.count("*").alias("copies"))
 
-    def level(df: DataFrame, bucket: list[Column], item: Column) -> DataFrame:
+    def level(df: DataFrame, bucket: list[str], item: Column) -> DataFrame:
         joined = F.array_join(F.array_sort(F.collect_list(item)), "\n")
         return df.groupBy(*keys, *bucket).agg(sha(joined).alias("node"), F.sum("copies").alias("copies"))
 
-    fine = level(
-        counted,
-        [F.substring(digest, 1, 4).alias("bucket")],
-        F.concat_ws(":", F.col(digest), F.col("copies").cast("string")),
-    )
-    coarse = level(
-        fine.withColumnRenamed("bucket", "inner"),
-        [F.substring("inner", 1, 2).alias("bucket")],
-        F.concat_ws(":", "inner", "node"),
-    )
-    top = coarse.withColumnRenamed("bucket", "inner")
+    # One deal serves the two inner levels, another the last.
+    dealt = counted.withColumn("outer", F.substring("raw", 1, 1)).repartition(*keys, "outer")
+    text = F.lower(F.hex("raw"))
+    fine = level(dealt.withColumn("bucket", F.substring(text, 1, 4)), ["outer", "bucket"], F.concat_ws(":", text, F.col("copies").cast("string")))
+    coarse = level(fine.withColumnRenamed("node", "inner"), ["outer"], F.concat_ws(":", "bucket", "inner"))
+    top = coarse.select(*keys, "outer", F.unhex("node").alias("raw"), "copies").repartition(*keys)
     return (
-        level(top, [], F.concat_ws(":", "inner", "node"))
+        level(top, [], F.concat_ws(":", F.lower(F.hex("outer")), text))
         .withColumnRenamed("node", out)
         .withColumnRenamed("copies", "items")
     )
