@@ -32,14 +32,14 @@ def text_key(text: Column) -> Column:
 
 
 def near_clusters(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(text_key, cluster)`` of every text: one cluster for copies and near copies (``jaccard_groups``).
+    """``(text_key, cluster, words)`` of every text: one cluster for copies and near copies (``jaccard_groups``), and its number of words.
 
     Texts are named by their hash, so rows without id and ids with two texts
     have their own clusters.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     groups = jaccard_groups(docs.select(text_key(text).alias("text_key"), text.alias("text")), "text_key")
-    return groups.select(F.col("id").alias("text_key"), F.col("component_id").alias("cluster")).distinct()
+    return groups.select(F.col("id").alias("text_key"), F.col("component_id").alias("cluster"), F.col("n_words").alias("words")).distinct()
 
 
 class Bins:
@@ -164,7 +164,7 @@ def pack_documents(
     words and a rest; a full piece is a bin of its own. Other pieces are placed
     by decreasing size into the tightest open bin that holds neither their
     source nor their duplicate cluster (``cluster``, by default equal words, or
-    ``clusters``, see :func:`near_clusters`); without such a bin a new one opens. Every word of every text is in exactly
+    ``clusters``, see :func:`near_clusters`; with its ``words`` it must have every text, and the texts are not parsed again); without such a bin a new one opens. Every word of every text is in exactly
     one bin and no bin exceeds the capacity.
 
     Columns: id, piece (from 0), first_word, n_words, bin_id, bin_position,
@@ -178,15 +178,20 @@ def pack_documents(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
+    counted = clusters is not None and "words" in clusters.columns
+    parsed = [] if counted else [(cluster if cluster is not None else cluster_key(text)).cast("string").alias("cluster"), word_count(text).alias("words")]
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")).alias("source"),
-        (cluster if cluster is not None else cluster_key(text)).cast("string").alias("cluster"),
-        word_count(text).alias("words"),
+        *parsed,
         hash_bits(key_text(F.col(id_col))).alias("place"),
         text_key(text).alias("text_key"),
     )
-    if clusters is not None:
+    if counted:
+        known = clusters.select("text_key", F.col("cluster").cast("string").alias("cluster"), "words")
+        missing = F.raise_error(F.lit("clusters lack a text")).cast("long")
+        slim = slim.join(known, "text_key", "left").withColumn("words", F.coalesce("words", missing))
+    elif clusters is not None:
         near = clusters.select("text_key", F.col("cluster").cast("string").alias("near"))
         slim = slim.join(near, "text_key", "left").withColumn("cluster", F.coalesce("near", "cluster")).drop("near")
     # The texts are read once; what follows looks at names and sizes alone.

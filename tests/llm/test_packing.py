@@ -35,3 +35,14 @@ def test_a_hot_id_is_dealt_to_all_groups(spark, same_text):
     assert len(found) == 400
     groups = collections.Counter(r.bin_id >> 32 for r in found)
     assert len(groups) >= 15 and max(groups.values()) <= 50
+
+
+def test_words_come_with_the_clusters(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(words(rng, n)), "xx", str(i)) for i, n in enumerate((0, 1, 4, 60, 250))] + [(5, None, "xx", "a"), (6, "a\tb\u00a0c \n d", "xx", "b")]
+    docs = table(spark, rows)
+    clusters = packing.near_clusters(docs)
+    assert "words" in clusters.columns
+    columns = ["doc_id", "piece", "first_word", "n_words"]
+    found, plain = (sorted(tuple(r[c] for c in columns) for r in packing.pack_documents(docs, 100, clusters=c).collect()) for c in (clusters, None))
+    assert found == plain
